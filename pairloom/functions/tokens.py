@@ -15,7 +15,7 @@ def _column(col: Column | str) -> Column:
 
 def words(col: Column | str) -> Column:
     """Parts of a text between runs of white space."""
-    return F.filter(F.split(_column(col), r"\s+"), lambda word: word != "")
+    return F.array_remove(F.split(_column(col), r"\s+"), "")
 
 
 @dataclass(frozen=True)

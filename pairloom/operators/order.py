@@ -7,6 +7,8 @@ the first n rows, runs of ten rows) works on a unique sort key. The key space is
 2. a small sample of keys gives the cut keys;
 3. one aggregation over the key columns gives the total of each range, and so each range's start.
 
+Of few rows (at most EXACT_ROWS) one pass over the sorted keys gives both cuts and starts.
+
 Cut keys and starts then stand in the plan as literals, so a row's range never depends on how
 Spark happened to partition the data or on a task being run again. Results do not depend on where
 the cuts fall. Only the key columns are read for 1-3; wide rows are shuffled once, by range.
@@ -17,15 +19,21 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.session import scratch_dir
+
 # Rows that one window task should hold, and the most ranges a plan may carry as literals.
 ROWS_PER_RANGE = 50_000
 MAX_RANGES = 65_536
+# Inputs that fit one task are still cut for the sake of the cores, into ranges of this many rows.
+MIN_ROWS_PER_RANGE = 1_000
+# Up to this many keys, one task sorts them all and gives exact cuts; beyond, keys are sampled.
+EXACT_ROWS = 500_000
 # Keys sampled per range; with 20 a range rarely grows past twice its share.
 SAMPLE_PER_RANGE = 20
 _RANGE = "_range"
@@ -107,28 +115,39 @@ def plan_ranges(
     value: Column | None = None,
     align: int = 1,
     rows_per_range: int | None = None,
+    spread: bool = True,
 ) -> KeyRanges:
     """Cut the sort key into ranges of about ``rows_per_range`` rows.
 
     ``value`` is summed for the starts (rows are counted by default). With ``align`` above one,
     every range starts at a row number that is a multiple of it, so that a run of ``align`` rows
-    never crosses two ranges. The key must be unique: equal keys always share a range.
+    never crosses two ranges. ``spread`` makes at least as many ranges as there are cores when there
+    are rows enough. The key must be unique: equal keys always share a range.
     """
     order_by = _as_list(order_by)
-    rows_per_range = rows_per_range or ROWS_PER_RANGE
     key_type = df.select(_key(order_by).alias("k")).schema["k"].dataType
     amount = F.lit(1) if value is None else value
     narrow = df.select(*order_by, amount.cast("bigint").alias("_amount"))
+    if value is not None:
+        # A value such as a token count may be costly. Keys and values are written once to the
+        # shared folder, a small part of the data, and the steps below read that.
+        narrow = _written(narrow)
     totals = narrow.agg(
         F.count("*").alias("n"), F.coalesce(F.sum("_amount"), F.lit(0)).alias("total")
     ).first()
-    n_ranges = min(MAX_RANGES, math.ceil(totals.n / rows_per_range))
-    single = KeyRanges(order_by, key_type, [], [0], totals.total, totals.n)
+    n_ranges = math.ceil(totals.n / (rows_per_range or ROWS_PER_RANGE))
+    if spread and rows_per_range is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n_ranges = max(n_ranges, min(cores, totals.n // MIN_ROWS_PER_RANGE))
+    n_ranges = min(MAX_RANGES, n_ranges)
+    whole = KeyRanges(order_by, key_type, [], [0], totals.total, totals.n)
     if n_ranges <= 1:
-        return single
+        return whole
+    if totals.n <= EXACT_ROWS:
+        return _exact(narrow, whole, n_ranges, align)
 
     cuts = _sample_cuts(narrow.select(*order_by), order_by, n_ranges, totals.n)
-    ranges = KeyRanges(order_by, key_type, cuts, [0] * (len(cuts) + 1), totals.total, totals.n)
+    ranges = replace(whole, cuts=cuts, starts=[0] * (len(cuts) + 1))
     sums = {
         row[_RANGE]: row.s
         for row in ranges.assign(narrow).groupBy(_RANGE).agg(F.sum("_amount").alias("s")).collect()
@@ -137,10 +156,37 @@ def plan_ranges(
     for i in range(len(cuts) + 1):
         starts.append(running)
         running += sums.get(i, 0)
-    ranges = KeyRanges(order_by, key_type, cuts, starts, totals.total, totals.n)
-    if align > 1:
-        ranges = _align(narrow.select(*order_by), ranges, align)
-    return ranges
+    ranges = replace(ranges, starts=starts)
+    return _align(narrow.select(*order_by), ranges, align) if align > 1 else ranges
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_dir(spark, "keys")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _cut_json(order_by: Sequence[str]) -> Column:
+    return F.to_json(F.struct(_key(order_by).alias("k")), _TIMESTAMPS).alias("cut")
+
+
+def _exact(narrow: DataFrame, whole: KeyRanges, n_ranges: int, align: int) -> KeyRanges:
+    """Every n-th key of at most EXACT_ROWS rows, with the running total before it."""
+    step = math.ceil(whole.n_rows / n_ranges / align) * align
+    window = Window.orderBy(*whole.order_by)
+    before = F.sum("_amount").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    rows = (
+        narrow.withColumn("_i", F.row_number().over(window) - 1)
+        .withColumn("_before", before)
+        .filter((F.col("_i") > 0) & (F.col("_i") % step == 0))
+        .orderBy("_i")
+        .select(_cut_json(whole.order_by), "_before")
+        .collect()
+    )
+    return replace(
+        whole, cuts=[row.cut for row in rows], starts=[0, *[row._before for row in rows]]
+    )
 
 
 def _sample_cuts(keys: DataFrame, order_by: list[str], n_ranges: int, n_rows: int) -> list[str]:
@@ -152,7 +198,7 @@ def _sample_cuts(keys: DataFrame, order_by: list[str], n_ranges: int, n_rows: in
     rows = (
         numbered.filter(F.col("_i") % step == 0)
         .orderBy("_i")
-        .select(F.to_json(F.struct(_key(order_by).alias("k")), _TIMESTAMPS).alias("cut"))
+        .select(_cut_json(order_by))
         .limit(MAX_RANGES)
         .collect()
     )
@@ -172,14 +218,14 @@ def _align(keys: DataFrame, ranges: KeyRanges, size: int) -> KeyRanges:
             F.col("_i") - 1 == F.get(_literal(json.dumps(skip), T.ArrayType(T.LongType())), F.col(_RANGE))
         )
         .filter(F.col(_RANGE) > 0)
-        .select(_RANGE, F.to_json(F.struct(_key(ranges.order_by).alias("k")), _TIMESTAMPS).alias("cut"))
+        .select(_RANGE, _cut_json(ranges.order_by))
         .collect()
     )
     cuts, starts = [], [0]
     for row in sorted(firsts, key=lambda r: r[_RANGE]):
         cuts.append(row.cut)
         starts.append(ranges.starts[row[_RANGE]] + skip[row[_RANGE]])
-    return KeyRanges(ranges.order_by, ranges.key_type, cuts, starts, ranges.total, ranges.n_rows)
+    return replace(ranges, cuts=cuts, starts=starts)
 
 
 def _window(ranges: KeyRanges):
@@ -250,7 +296,7 @@ def nth_keys(
     """
     order_by = _as_list(order_by)
     keys = df.select(*order_by)
-    ranges = plan_ranges(keys, order_by, rows_per_range=rows_per_range)
+    ranges = plan_ranges(keys, order_by, rows_per_range=rows_per_range, spread=False)
     found: dict[int, tuple] = {}
     for position in positions(ranges.n_rows):
         if 1 <= position <= ranges.n_rows and position not in found:
@@ -266,7 +312,9 @@ def _nth_in(keys: DataFrame, ranges: KeyRanges, position: int, rows_per_range: i
         keys = ranges.assign(keys).filter(F.col(_RANGE) == here).select(*ranges.order_by)
         # A range is still large when MAX_RANGES bounds the first cut: cut it again.
         if size > 4 * (rows_per_range or ROWS_PER_RANGE) and size < ranges.n_rows:
-            inner = plan_ranges(keys, ranges.order_by, rows_per_range=rows_per_range)
+            inner = plan_ranges(
+                keys, ranges.order_by, rows_per_range=rows_per_range, spread=False
+            )
             return _nth_in(keys, inner, local, rows_per_range)
     row = keys.orderBy(*ranges.order_by).offset(local - 1).limit(1).collect()[0]
     return tuple(row)

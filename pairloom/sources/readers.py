@@ -61,7 +61,7 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """Headed CSV whose cells may hold quotes, commas and line breaks.
 
     Such a file cannot be split, so one file is one task: keep files small, as ``write_csv_text``
-    does. An empty cell is null; a quoted empty one is an empty text.
+    does. An empty cell is null, quoted or not; any other text, 'None' or 'NA' too, is data.
     """
     return (
         spark.read.schema(schema)

@@ -67,42 +67,24 @@ def responses(
     broken = F.col("b") % 13 == 0
     kind = F.when(broken, F.expr("(b div 13) % 6"))
     shorter = ~broken & (F.col("b") % 7 == 3)
-    fields = [F.col("texts").alias("sentences_en")]
+    kept = F.size("texts") - F.when(shorter, 1).otherwise(0)
+    content = [F.lit('{"sentences_en":'), F.when(kind == 5, F.lit('"text"')).otherwise(F.to_json("texts"))]
     for lang in langs[1:]:
-        target = F.transform("texts", _marked(lang))
-        cut = F.when(shorter, F.slice(target, F.lit(1), F.size(target) - 1)).otherwise(target)
-        fields.append(cut.alias(f"sentences_{lang}"))
-    content = (
-        F.when(kind == 3, F.concat(F.to_json(F.struct(*fields)), F.lit(" trailing")))
-        .when(kind == 4, F.to_json(F.struct(fields[0])))
-        .when(kind == 5, F.to_json(F.struct(F.lit("text").alias("sentences_en"), *fields[1:])))
-        .otherwise(F.to_json(F.struct(*fields)))
-    )
-    choice = F.struct(F.struct(F.col("content")).alias("message"))
+        target = F.to_json(F.transform(F.slice("texts", F.lit(1), kept), _marked(lang)))
+        field = F.concat(F.lit(f',"sentences_{lang}":'), target)
+        content.append(F.when(kind == 4, F.lit("")).otherwise(field))
+    content.append(F.when(kind == 3, F.lit("} trailing")).otherwise(F.lit("}")))
+    choice = F.struct(F.struct(F.concat(*content).alias("content")).alias("message"))
+    choices = F.slice(F.array(choice), F.lit(1), F.when(kind == 2, 0).otherwise(1))
+    task = F.when(kind == 1, F.lit("task")).otherwise(F.concat(F.lit("task-"), F.col("b").cast("string")))
     line = F.to_json(
         F.struct(
-            F.when(kind == 1, F.lit("task"))
-            .otherwise(F.concat(F.lit("task-"), F.col("b").cast("string")))
-            .alias("custom_id"),
-            F.struct(
-                F.struct(
-                    F.when(kind == 2, F.slice(F.array(choice), 1, 0))
-                    .otherwise(F.array(choice))
-                    .alias("choices")
-                ).alias("body")
-            ).alias("response"),
-        )
-    )
-    return (
-        batches.withColumn("content", content)
-        .select(F.col("b").alias("batch_id"), kind.alias("kind"), line.alias("line"))
-        .select(
-            "batch_id",
-            F.when(F.col("kind") == 0, F.substring("line", F.lit(1), F.length("line") - 1))
-            .otherwise(F.col("line"))
-            .alias("value"),
+            task.alias("custom_id"),
+            F.struct(F.struct(choices.alias("choices")).alias("body")).alias("response"),
         )
     )
+    cut = F.when(kind == 0, r"\}$").otherwise("$")
+    return batches.select(F.col("b").alias("batch_id"), F.regexp_replace(line, cut, F.lit("")).alias("value"))
 
 
 def joined(array: str | Column) -> Column:
