@@ -232,10 +232,19 @@ def _window(ranges: KeyRanges):
     return Window.partitionBy(_RANGE).orderBy(*ranges.order_by)
 
 
+def _by_range(df: DataFrame, ranges: KeyRanges) -> DataFrame:
+    """Rows with their range, in at least as many shuffle partitions as there are ranges.
+
+    The number of ranges follows the number of rows, so partitions keep their size as data grows.
+    """
+    df = ranges.assign(df)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(len(ranges.starts), _RANGE) if len(ranges.starts) > configured else df
+
+
 def number_rows(df: DataFrame, ranges: KeyRanges, name: str) -> DataFrame:
     """Add the 0-based row number; the range column stays for operators that group by it."""
-    numbered = ranges.assign(df)
-    return numbered.withColumn(
+    return _by_range(df, ranges).withColumn(
         name, (F.row_number().over(_window(ranges)) - 1).cast("bigint") + ranges.start()
     )
 
@@ -264,7 +273,7 @@ def indexed(
 def running_total(df: DataFrame, ranges: KeyRanges, value: Column, name: str) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows; the range column stays."""
     before = _window(ranges).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.assign(df).withColumn(
+    return _by_range(df, ranges).withColumn(
         name,
         F.coalesce(F.sum(value.cast("bigint")).over(before), F.lit(0).cast("bigint"))
         + ranges.start(),

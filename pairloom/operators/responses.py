@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import constants, schemas
+from pairloom.functions.rows import once
 from pairloom.operators.combine import dedup_pairs
 
 # The JSON reader would otherwise take 'single quoted' text, which is not JSON.
@@ -38,16 +39,6 @@ def _only(items: Column, closed: Column) -> Column:
     return F.when((F.size(items) == 1) & closed, F.get(items, F.lit(0)))
 
 
-def _once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
-    """Select columns so that each is computed once per row.
-
-    Filters on a plain projection are copied below it together with the projection's expressions,
-    and JSON would be parsed again for each of them. They are not copied below a generator.
-    """
-    row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select(*keep, F.inline(F.array(row)))
-
-
 def parse_responses(
     df: DataFrame, langs: Sequence[str] = ("en", "ko"), raw: str = "value", strict: bool = True
 ) -> DataFrame:
@@ -64,7 +55,7 @@ def parse_responses(
         return _closed(F.col(text)) if strict else F.lit(True)
 
     lines = df.select(F.col(raw).alias("raw"))
-    outer = _once(lines, ["raw"], _items=_parsed(F.col("raw"), schemas.RESPONSE), _closed=closed("raw"))
+    outer = once(lines, ["raw"], _items=_parsed(F.col("raw"), schemas.RESPONSE), _closed=closed("raw"))
     outer = outer.select("raw", _only(F.col("_items"), F.col("_closed")).alias("_outer"))
     choice = F.get(F.col("_outer.response.body.choices"), F.lit(0))
     outer = outer.select(
@@ -74,7 +65,7 @@ def parse_responses(
         F.expr("try_cast(get(split(_outer.custom_id, '-'), 1) as bigint)").alias("task_idx"),
         choice["message"]["content"].alias("_content"),
     )
-    inner = _once(
+    inner = once(
         outer,
         ["raw", "_good_json", "custom_id", "task_idx", "_content"],
         _items=_parsed(F.col("_content"), schemas.sentences(langs)),

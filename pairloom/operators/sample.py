@@ -18,15 +18,19 @@ from pairloom.operators import order
 _RANK = "_rank"
 
 
-def rank_key(seed: int, key: str | Sequence[str]) -> Column:
-    """Pseudo-random rank of a row: md5 over seed and unique key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-
+def rank_key(seed: int, key: str | Sequence[str], types: dict | None = None) -> Column:
+    """Pseudo-random rank of a row: md5 over seed and unique key.
 
-def _ranked(df: DataFrame, seed: int, key: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
+    Of several key columns, texts go in as their own md5, so that no text can look like two columns.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.withColumn(_RANK, rank_key(seed, keys)), [_RANK, *keys]
+    parts = []
+    for name in keys:
+        part = F.col(name).cast("string")
+        if len(keys) > 1 and (types or {}).get(name) == "string":
+            part = F.md5(part)
+        parts.append(F.coalesce(part, F.lit("")) if len(keys) > 1 else part)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def _cut(
@@ -37,10 +41,16 @@ def _cut(
     rows_per_range: int | None = None,
 ) -> tuple[DataFrame, int, int, Column | None]:
     """Ranked frame, row count, sample size, and the condition that picks the sample."""
-    ranked, rank = _ranked(df, seed, key)
-    total, keys = order.nth_keys(ranked, rank, lambda total: [size_of(total)], rows_per_range)
+    ranked = df.withColumn(_RANK, rank_key(seed, key, dict(df.dtypes)))
+
+    def positions(total: int) -> list[int]:
+        return [size_of(total), size_of(total) + 1]
+
+    total, keys = order.nth_keys(ranked, _RANK, positions, rows_per_range)
     size = size_of(total)
-    condition = order.up_to(ranked, rank, keys[size]) if size in keys else None
+    if size in keys and keys[size] == keys.get(size + 1):
+        raise ValueError("the key is not unique: two rows have the same rank at the cut")
+    condition = order.up_to(ranked, _RANK, keys[size]) if size in keys else None
     return ranked, total, size, condition
 
 
@@ -81,9 +91,8 @@ def shuffle_head(
     rows_per_range: int | None = None,
 ) -> DataFrame:
     """First ``n`` rows of a seeded shuffle, with their place in it."""
-    keys = [key] if isinstance(key, str) else list(key)
-    chosen = _sampled(df, n, seed, keys, "all", rows_per_range)
-    return order.dense_index(chosen, [_RANK, *keys], rank_name, rows_per_range).drop(_RANK)
+    chosen = _sampled(df, n, seed, key, "all", rows_per_range)
+    return order.dense_index(chosen, _RANK, rank_name, rows_per_range).drop(_RANK)
 
 
 def _split(df, seed, key, size_of, rows_per_range) -> tuple[DataFrame, DataFrame]:

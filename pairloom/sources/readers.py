@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.rows import once
 from pairloom.functions.text import strip
 
 # Offsets of up to this many file splits are broadcast; more are joined by a shuffle.
@@ -81,7 +82,8 @@ def read_jsonl(
     """One JSON object per line. The raw line stays as ``value``; a bad line is kept in ``corrupt``."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": corrupt})
-    return spark.read.text(path).select("value", parsed.alias("_r")).select("value", "_r.*")
+    rows = once(spark.read.text(path), ["value"], _r=parsed)
+    return rows.select("value", "_r.*")
 
 
 def load_split(spark: SparkSession, base: str, name: str, split: str = "train") -> DataFrame:

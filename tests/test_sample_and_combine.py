@@ -129,3 +129,19 @@ def test_profile(spark):
     df = spark.createDataFrame([("abc",), (None,), ("",)], "t string")
     row = select.profile({"c": (df, "t")}).first()
     assert tuple(row) == ("c", 3, "t", 1, 0, 3)
+
+
+def test_key_that_is_not_unique_is_refused(spark):
+    df = spark.range(20).select(F.lit(1).alias("k"))
+    with pytest.raises(ValueError, match="not unique"):
+        sample.sample_n(df, 5, 42, "k")
+
+
+def test_text_keys_do_not_run_together(spark):
+    data = [("a:b", "c"), ("a", "b:c"), (None, "a"), ("a", None), ("", "a"), ("a", "")]
+    df = spark.createDataFrame(data, "x string, y string")
+    ranks = df.select(sample.rank_key(1, ["x", "y"], dict(df.dtypes))).distinct().count()
+    assert ranks == len(data)
+    for n in range(len(data) + 1):
+        train, test = sample.split_count(df, n, 1, ["x", "y"])
+        assert train.count() == len(data) - n
