@@ -15,4 +15,5 @@ def once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
     and JSON would be parsed again for each of them. They are not copied below a generator.
     """
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select(*keep, F.inline(F.array(row)))
+    kept = [F.col("`" + name.replace("`", "``") + "`") for name in keep]
+    return df.select(*kept, F.inline(F.array(row)))

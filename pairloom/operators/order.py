@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.rows import once
 from pairloom.session import scratch_dir
 
 # Rows that one window task should hold, and the most ranges a plan may carry as literals.
@@ -65,19 +66,20 @@ class KeyRanges:
     total: int
     n_rows: int
 
-    def range_of(self) -> list[tuple[str, Column]]:
-        """Columns to add, one after the other; the last is the range number of the row's key."""
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Add the number of the range that the row's key falls into."""
         if not self.cuts:
-            return [(_RANGE, F.lit(0))]
-        key = _key(self.order_by)
+            return df.withColumn(_RANGE, F.lit(0))
         cut_type = T.StructType([T.StructField("k", self.key_type)])
 
         def below(cuts: Column) -> Column:
-            return F.size(F.filter(cuts, lambda cut: cut["k"] <= key))
+            return F.size(F.filter(cuts, lambda cut: cut["k"] <= F.col("_key")))
 
-        if len(self.cuts) <= 64:
+        # The key may be an expression such as a hash, and would be computed once per comparison.
+        keyed = once(df, df.columns, _key=_key(self.order_by))
+        if len(self.cuts) <= 16:
             flat = _literal(f"[{','.join(self.cuts)}]", T.ArrayType(cut_type))
-            return [(_RANGE, below(flat))]
+            return keyed.withColumn(_RANGE, below(flat)).drop("_key")
         # Two steps: which group of cuts, then where in the group.
         width = math.isqrt(len(self.cuts) - 1) + 1
         groups = [self.cuts[i : i + width] for i in range(0, len(self.cuts), width)]
@@ -88,15 +90,20 @@ class KeyRanges:
         )
         group = F.col("_group")
         inside = below(F.get(nested, group - 1))
-        return [
-            ("_group", below(heads)),
-            (_RANGE, F.when(group == 0, 0).otherwise((group - 1) * width + inside)),
-        ]
+        number = F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+        return keyed.withColumn("_group", below(heads)).withColumn(_RANGE, number).drop("_key", "_group")
 
-    def assign(self, df: DataFrame) -> DataFrame:
-        for name, column in self.range_of():
-            df = df.withColumn(name, column)
-        return df.drop("_group")
+    def inside(self, number: int) -> Column:
+        """Condition: the row's key lies in this range. On one column it reaches the scan."""
+        key = _key(self.order_by)
+        cut_type = T.StructType([T.StructField("k", self.key_type)])
+        condition = F.lit(True)
+        if number > 0:
+            condition = key >= _literal(self.cuts[number - 1], cut_type)["k"]
+        if number < len(self.cuts):
+            below = key < _literal(self.cuts[number], cut_type)["k"]
+            condition = condition & (below if number > 0 else below | key.isNull())
+        return condition
 
     def start(self) -> Column:
         if len(self.starts) == 1:
@@ -191,7 +198,8 @@ def _exact(narrow: DataFrame, whole: KeyRanges, n_ranges: int, align: int) -> Ke
 
 def _sample_cuts(keys: DataFrame, order_by: list[str], n_ranges: int, n_rows: int) -> list[str]:
     wanted = SAMPLE_PER_RANGE * n_ranges
-    sample = keys.sample(min(1.0, wanted / n_rows), seed=7)
+    # A null cannot be compared with, so it is no cut; null keys sort into the first range.
+    sample = keys.sample(min(1.0, wanted / n_rows), seed=7).filter(_key(order_by).isNotNull())
     # One task sorts this sample: at most SAMPLE_PER_RANGE * MAX_RANGES keys, whatever the input.
     numbered = sample.withColumn("_i", F.row_number().over(Window.orderBy(*order_by)))
     step = max(1, min(wanted, n_rows) // n_ranges)
@@ -300,8 +308,9 @@ def nth_keys(
 ) -> tuple[int, dict[int, tuple]]:
     """Row count, and the keys at the given 1-based positions of the key order.
 
-    ``positions`` gets the row count. Positions outside 1..count are left out. Only the key columns
-    are read, and only the one range that holds a position is sorted.
+    ``positions`` gets the row count. Positions outside 1..count are left out; the key after a
+    position may come along. Only the key columns are read, and only the one range that holds a
+    position is sorted.
     """
     order_by = _as_list(order_by)
     keys = df.select(*order_by)
@@ -309,24 +318,28 @@ def nth_keys(
     found: dict[int, tuple] = {}
     for position in positions(ranges.n_rows):
         if 1 <= position <= ranges.n_rows and position not in found:
-            found[position] = _nth_in(keys, ranges, position, rows_per_range)
+            rows = _from_position(keys, ranges, position, rows_per_range)
+            found.update((position + i, row) for i, row in enumerate(rows))
     return ranges.n_rows, found
 
 
-def _nth_in(keys: DataFrame, ranges: KeyRanges, position: int, rows_per_range: int | None) -> tuple:
+def _from_position(
+    keys: DataFrame, ranges: KeyRanges, position: int, rows_per_range: int | None
+) -> list[tuple]:
+    """The key at the position, and the next one if it lies in the same range."""
     here = max(i for i, start in enumerate(ranges.starts) if start < position)
     size = ranges.sizes()[here]
     local = position - ranges.starts[here]
     if ranges.cuts:
-        keys = ranges.assign(keys).filter(F.col(_RANGE) == here).select(*ranges.order_by)
+        keys = keys.filter(ranges.inside(here))
         # A range is still large when MAX_RANGES bounds the first cut: cut it again.
         if size > 4 * (rows_per_range or ROWS_PER_RANGE) and size < ranges.n_rows:
             inner = plan_ranges(
                 keys, ranges.order_by, rows_per_range=rows_per_range, spread=False
             )
-            return _nth_in(keys, inner, local, rows_per_range)
-    row = keys.orderBy(*ranges.order_by).offset(local - 1).limit(1).collect()[0]
-    return tuple(row)
+            return _from_position(keys, inner, local, rows_per_range)
+    rows = keys.orderBy(*ranges.order_by).offset(local - 1).limit(2).collect()
+    return [tuple(row) for row in rows]
 
 
 def up_to(df: DataFrame, order_by: str | Sequence[str], key: tuple) -> Column:
