@@ -68,7 +68,7 @@ def message_header(role: Column, template: str) -> Column:
 def render_chat(
     messages: Column | str, template: str, add_generation_prompt: bool = False
 ) -> Column:
-    """One training or inference string from a message array."""
+    """One training or inference string from a message array; null if any content is."""
     layout = constants.CHAT_TEMPLATES[template]
     parts = F.transform(
         _column(messages),
@@ -76,7 +76,8 @@ def render_chat(
             message_header(m["role"], template), m["content"], F.lit(layout["end"])
         ),
     )
-    text = F.concat(F.lit(layout["begin"]), F.array_join(parts, ""))
+    # Joined one by one: a null content makes the text null, where array_join would skip it.
+    text = F.aggregate(parts, F.lit(layout["begin"]), lambda text, part: F.concat(text, part))
     if add_generation_prompt:
         text = F.concat(text, message_header(F.lit("assistant"), template))
     return text

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,8 +86,7 @@ def python_tokenizer(
     pad_id: int | None = None,
 ) -> Tokenizer:
     """Wrap a Python tokenizer. ``factory`` runs once per task; texts arrive in Arrow batches."""
-    import pandas as pd
-
+    @F.pandas_udf("array<array<int>>")
     def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()
         for texts in batches:
@@ -96,5 +96,4 @@ def python_tokenizer(
                 else [None if text is None else list(encode(text)) for text in row]
             )
 
-    udf = F.pandas_udf(encode_batches, "array<array<int>>", F.PandasUDFType.SCALAR_ITER)
-    return Tokenizer(udf, bos_id, eos_id, pad_id)
+    return Tokenizer(encode_batches, bos_id, eos_id, pad_id)

@@ -149,10 +149,12 @@ def pack_sequences(
 
     Each row's place is the running total of lengths before it. A row is sliced into the pieces
     that fall into each block, never into single tokens, and a block collects at most ``block``
-    pieces. Blocks inside one range are finished where the range is; only the few that cross into
-    the next range are brought together by a second, small shuffle. ``eos_id`` is put after each row.
+    pieces. A block inside one range is put together where the range is. Which blocks cross into
+    the next range is known from the ranges' starts; only rows that reach into such a block are
+    shuffled again. ``eos_id`` is put after each row.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    block = int(block)
     tokens = F.col(ids) if eos_id is None else F.concat(ids, F.array(F.lit(eos_id)))
     narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], tokens.alias("_ids"))
     length = F.coalesce(F.size("_ids"), F.lit(0))
@@ -162,39 +164,45 @@ def pack_sequences(
     placed = (
         order.running_total(narrow, ranges, length, "_start")
         .filter(length > 0)
-        .withColumn("_end", F.col("_start") + F.size("_ids"))
-    )
-    end = F.col("_end")
-    pieces = F.transform(
-        F.sequence(F.expr(f"_start div {int(block)}"), F.expr(f"(_end - 1) div {int(block)}")),
-        lambda b: F.struct(
-            b.alias("block"),
-            F.greatest(F.col("_start"), b * block).alias("at"),
-            F.slice(
-                F.col("_ids"),
-                (F.greatest(b * block - F.col("_start"), F.lit(0)) + 1).cast("int"),
-                (F.least(end, (b + 1) * block) - F.greatest(F.col("_start"), b * block)).cast("int"),
-            ).alias("part"),
-        ),
-    )
-    rows = placed.select("_range", F.explode(pieces).alias("p")).select(
-        "_range", "p.block", F.struct("p.at", "p.part").alias("piece")
-    )
-    joined = F.flatten(F.transform(F.array_sort("pieces"), lambda p: p["part"])).alias("input_ids")
-    local = rows.groupBy("_range", "block").agg(
-        F.collect_list("piece").alias("pieces"), F.sum(F.size("piece.part")).alias("n")
+        .withColumns(
+            {
+                "_end": F.col("_start") + F.size("_ids"),
+                "_first": F.expr(f"_start div {block}"),
+                "_last": F.expr(f"(_start + size(_ids) - 1) div {block}"),
+            }
+        )
     )
-    whole = local.filter(F.col("n") == block).select("block", joined)
+
+    def piece(b: Column) -> Column:
+        start = F.greatest(F.col("_start"), b * block)
+        offset = start - F.col("_start")
+        count = F.least(F.col("_end"), (b + 1) * block) - start
+        part = F.slice(F.col("_ids"), (offset + 1).cast("int"), count.cast("int"))
+        return F.struct(b.alias("block"), F.struct(start.alias("at"), part.alias("part")).alias("piece"))
+
+    def blocks(rows: DataFrame, numbers: Column, *groups: str) -> DataFrame:
+        pieces = rows.select(*groups, F.inline(F.transform(numbers, piece)))
+        joined = F.flatten(F.transform(F.array_sort("pieces"), lambda p: p["part"]))
+        return (
+            pieces.groupBy(*groups, "block")
+            .agg(F.collect_list("piece").alias("pieces"), F.sum(F.size("piece.part")).alias("n"))
+            .filter(F.col("n") == block)
+            .select("block", joined.alias("input_ids"))
+        )
+
+    inside = blocks(placed, F.sequence("_first", "_last"), "_range")
     if not ranges.cuts:
-        return whole
-    crossing = (
-        local.filter(F.col("n") < block)
-        .groupBy("block")
-        .agg(F.flatten(F.collect_list("pieces")).alias("pieces"), F.sum("n").alias("n"))
-        .filter(F.col("n") == block)
-        .select("block", joined)
+        return inside
+
+    crossing = [start // block if start % block else None for start in ranges.starts]
+    ends = placed.withColumns(
+        {"_left": ranges.value(crossing), "_right": ranges.value([*crossing[1:], None])}
+    ).filter((F.col("_first") == F.col("_left")) | (F.col("_last") == F.col("_right")))
+    numbers = F.filter(
+        F.array_distinct(F.array("_left", "_right")),
+        lambda b: b.between(F.col("_first"), F.col("_last")),
     )
-    return whole.unionByName(crossing)
+    return inside.unionByName(blocks(ends, numbers))
 
 
 def pad_to_batch_max(

@@ -106,11 +106,14 @@ class KeyRanges:
         return condition
 
     def start(self) -> Column:
-        if len(self.starts) == 1:
-            return F.lit(0).cast("bigint")
-        return F.get(
-            _literal(json.dumps(self.starts), T.ArrayType(T.LongType())), F.col(_RANGE)
-        )
+        """Running total before the row's range."""
+        return self.value(self.starts)
+
+    def value(self, per_range: Sequence[int | None]) -> Column:
+        """The row's entry in a list that holds one number per range."""
+        if len(per_range) == 1:
+            return F.lit(per_range[0]).cast("bigint")
+        return F.get(_literal(json.dumps(per_range), T.ArrayType(T.LongType())), F.col(_RANGE))
 
     def sizes(self) -> list[int]:
         return [b - a for a, b in zip(self.starts, self.starts[1:] + [self.total])]

@@ -25,7 +25,7 @@ def batch_rows(
     Give either a unique sort key (``order_by``) or the name of a column that already numbers the
     rows from 0 (``index``). With a sort key the ranges are aligned to ``size``, so grouping needs
     no shuffle beyond the one that numbers the rows. ``newline='space'`` replaces line breaks
-    inside a text, which would otherwise look like extra rows.
+    inside a text, which would otherwise look like extra rows. A null text is an empty line.
     """
     if (order_by is None) == (index is None):
         raise ValueError("give either order_by or index")
@@ -49,7 +49,7 @@ def batch_rows(
         .select(
             "batch_id",
             "n",
-            F.array_join(F.transform("_rows", lambda row: row["_text"]), "\n").alias("content"),
+            F.array_join(F.transform("_rows", lambda row: row["_text"]), "\n", "").alias("content"),
         )
     )
 

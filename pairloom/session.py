@@ -36,5 +36,4 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "pairloom")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pairloom-{label}-{uuid.uuid4().hex}"

@@ -51,6 +51,11 @@ def test_messages_and_rendering(spark):
     )
 
 
+def test_null_content_gives_no_text(spark):
+    df = spark.createDataFrame([(None, "x")], "input_text string, output_text string")
+    assert chats.render_chat(chats.build_messages(df), "qwen2.5").first().text is None
+
+
 def test_tokenizers(spark):
     df = spark.createDataFrame([(" a bb\n ccc ",), ("",), (None,)], "t string")
     rows = features.tokenize(df, "t", LENGTHS, add_special=True).collect()

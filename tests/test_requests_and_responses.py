@@ -47,6 +47,11 @@ def test_line_breaks_in_a_text(spark):
     assert requests.batch_rows(df, "t", order_by="k", newline="space").first().content == "a b\nc d"
 
 
+def test_null_text_keeps_its_line(spark):
+    df = spark.createDataFrame([(0, "a"), (1, None), (2, "c")], "k int, t string")
+    assert requests.batch_rows(df, "t", order_by="k").first().content == "a\n\nc"
+
+
 def test_request_object(spark):
     df = requests.batch_rows(texts(spark, 12), "t", order_by="k")
     sent = requests.build_requests(df)

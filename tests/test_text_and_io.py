@@ -114,16 +114,18 @@ def test_read_documents(spark, tmp_path):
     assert all("/" in r.path for r in rows)
 
 
-def test_scratch_refuses_a_machine_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return default
+class FakeSession:
+    """A session with a master and settings, for looking at paths only."""
 
-    class Context:
-        master = "spark://host:7077"
+    def __init__(self, master, **settings):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = {key.replace("_", "."): value for key, value in settings.items()}
 
-    class Session:
-        conf, sparkContext = Conf(), Context()
 
+def test_scratch_folder():
+    cluster = FakeSession("spark://host:7077", spark_checkpoint_dir="hdfs://n/shared/")
+    assert scratch_dir(cluster, "x").startswith("hdfs://n/shared/pairloom-x-")
+    assert scratch_dir(cluster, "x") != scratch_dir(cluster, "x")
+    assert "pairloom-x-" in scratch_dir(FakeSession("local[2]"), "x")
     with pytest.raises(RuntimeError):
-        scratch_dir(Session(), "x")
+        scratch_dir(FakeSession("spark://host:7077"), "x")
