@@ -39,15 +39,17 @@ Adhere to the following guidelines during translation:
 5. **Understand Context**: Consider the surrounding context of the sentence to choose appropriate translation strategies (literal translation, free translation, transliteration, etc.).
 """
 
-# Instruction template: text before the source, between source and target.
-PROMPT_HEAD = (
+# Instruction template with a slot for the source and one for the target.
+PROMPT_TEMPLATE = (
     "You are a professional English-to-Korean translator. "
     "Your task is to produce an accurate and natural-sounding Korean translation "
     "of the given English text while preserving the original meaning, tone, and context. "
     "Please do not add, remove, or alter any information.\n\n"
     "### English Text:\n"
+    "{}\n\n"
+    "### Korean Translation:\n"
+    "{}"
 )
-PROMPT_MIDDLE = "\n\n### Korean Translation:\n"
 
 ANSWER_MARKER = "information.\n\n"
 

@@ -22,11 +22,9 @@ def strip(col: Column | str) -> Column:
 
 def format_prompt(source: Column | str, target: Column | str) -> Column:
     """Instruction prompt with source and target text in their slots."""
+    before, between, after = constants.PROMPT_TEMPLATE.split("{}")
     return F.concat(
-        F.lit(constants.PROMPT_HEAD),
-        _column(source),
-        F.lit(constants.PROMPT_MIDDLE),
-        _column(target),
+        F.lit(before), _column(source), F.lit(between), _column(target), F.lit(after)
     )
 
 

@@ -86,6 +86,7 @@ def python_tokenizer(
     pad_id: int | None = None,
 ) -> Tokenizer:
     """Wrap a Python tokenizer. ``factory`` runs once per task; texts arrive in Arrow batches."""
+
     @F.pandas_udf("array<array<int>>")
     def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()

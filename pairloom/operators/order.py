@@ -194,9 +194,15 @@ def _exact(narrow: DataFrame, whole: KeyRanges, n_ranges: int, align: int) -> Ke
         .select(_cut_json(whole.order_by), "_before")
         .collect()
     )
-    return replace(
-        whole, cuts=[row.cut for row in rows], starts=[0, *[row._before for row in rows]]
-    )
+    cuts = _distinct([row.cut for row in rows], whole.order_by)
+    return replace(whole, cuts=cuts, starts=[0, *[row._before for row in rows]])
+
+
+def _distinct(cuts: list[str], order_by: list[str]) -> list[str]:
+    """Two equal cuts mean a key shared by very many rows, which no cut could keep apart."""
+    if len(set(cuts)) < len(cuts):
+        raise ValueError(f"the sort key {order_by} is not unique")
+    return cuts
 
 
 def _sample_cuts(keys: DataFrame, order_by: list[str], n_ranges: int, n_rows: int) -> list[str]:
@@ -213,7 +219,7 @@ def _sample_cuts(keys: DataFrame, order_by: list[str], n_ranges: int, n_rows: in
         .limit(MAX_RANGES)
         .collect()
     )
-    return list(dict.fromkeys(row.cut for row in rows))
+    return _distinct([row.cut for row in rows], order_by)
 
 
 def _align(keys: DataFrame, ranges: KeyRanges, size: int) -> KeyRanges:

@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import order
 from pairloom.operators.combine import align_lines
 
-MODELS = [
-    {"model": "Llama-3.2-1B-Inst_translate_en-ko"},
-    {"model": "Llama-3.2-3B-Inst_translate_en-ko"},
-    {"model": "Qwen2.5-1.5B_translate_enko"},
-    {"model": "Qwen2.5-3B_translate_enko"},
-]
+MODELS = [{"model": m} for m in ("Llama-3.2-1B", "Llama-3.2-3B", "Qwen2.5-1.5B", "Qwen2.5-3B")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+PROMPT_HEAD, PROMPT_MIDDLE, _ = constants.PROMPT_TEMPLATE.split("{}")
+
 _WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
 _LENGTHS = "list_transform(" + _WORDS + ", lambda w: length(w)::integer)"
 
@@ -55,7 +57,7 @@ tasks AS (
 REASONS = """CASE kind WHEN 0 THEN 'bad_json' WHEN 1 THEN 'bad_custom_id' WHEN 2 THEN 'no_choice'
   WHEN 3 THEN 'bad_inner_json' WHEN 4 THEN 'missing_key' ELSE 'not_array' END"""
 
-PROMPT = f"{q(constants.PROMPT_HEAD)} || en || {q(constants.PROMPT_MIDDLE)} || ko"
+PROMPT = f"{q(PROMPT_HEAD)} || en || {q(PROMPT_MIDDLE)} || ko"
 
 
 def request_json(content: str, system: str) -> str:
@@ -140,7 +142,7 @@ _REQUEST_TEXTS = "(SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FR
 _CAUSAL = f"""
 tok AS (
   SELECT line_no, {lengths('(' + PROMPT + ')')} AS body,
-    len({words('(' + q(constants.PROMPT_HEAD) + ' || en || ' + q(constants.PROMPT_MIDDLE) + ')')}) AS p
+    len({words('(' + q(PROMPT_HEAD) + ' || en || ' + q(PROMPT_MIDDLE) + ')')}) AS p
   FROM pairs_),
 full_ AS (SELECT line_no, [2] || body || [1] AS ids, p FROM tok),
 padded AS (
@@ -263,9 +265,9 @@ ORACLES: dict[str, str] = {
       SELECT line_no, en AS input_text, ko AS output_text, 'en-ko' AS direction FROM aligned
       UNION ALL SELECT line_no, ko, en, 'ko-en' FROM aligned""",
     "format_prompt": f"WITH {ALIGNED} SELECT line_no, {PROMPT} AS text FROM aligned",
-    "prompt_only": f"SELECT doc_id, {q(constants.PROMPT_HEAD)} || text || {q(constants.PROMPT_MIDDLE)} AS text FROM documents",
+    "prompt_only": f"SELECT doc_id, {q(PROMPT_HEAD)} || text || {q(PROMPT_MIDDLE)} AS text FROM documents",
     "append_eos": f"WITH {ALIGNED} SELECT line_no, {PROMPT} || '<|end_of_text|>' AS text FROM aligned",
-    "extract_answer": f"""SELECT doc_id, string_split({q(constants.PROMPT_HEAD)} || text || {q(constants.PROMPT_MIDDLE)},
+    "extract_answer": f"""SELECT doc_id, string_split({q(PROMPT_HEAD)} || text || {q(PROMPT_MIDDLE)},
         {q(constants.ANSWER_MARKER)})[-1] AS text FROM documents""",
     "build_messages": f"""WITH {EXAMPLES} SELECT conv_id, turn, to_json([
         {{'role': 'system', 'content': {q(constants.CHAT_SYSTEM_PROMPT)}}},
@@ -320,12 +322,7 @@ ORACLES: dict[str, str] = {
       FROM tasks WHERE NOT broken AND (NOT shorter OR pos < last_pos)""",
 }
 
-_MODELS = [
-    "Llama-3.2-1B-Inst_translate_en-ko",
-    "Llama-3.2-3B-Inst_translate_en-ko",
-    "Qwen2.5-1.5B_translate_enko",
-    "Qwen2.5-3B_translate_enko",
-]
+_MODELS = ["Llama-3.2-1B", "Llama-3.2-3B", "Qwen2.5-1.5B", "Qwen2.5-3B"]
 ORACLES["fan_out_models"] = " UNION ALL ".join(
     f"SELECT {q(m)} AS model, text AS input, {q(m + ': ')} || text AS result FROM benchmark" for m in _MODELS
 )

@@ -15,7 +15,7 @@ LENGTHS = tokens.word_tokenizer(F.length, bos_id=100, eos_id=101, pad_id=0)
 
 
 def test_template_choice(spark):
-    names = ["unsloth/Llama-3.2-1B", "LLAMA-3.1", "QWEN2.5-7B", "deepseek-r1"]
+    names = ["Org/Llama-3.2-1B", "LLAMA-3.1", "QWEN2.5-7B", "deepseek-r1"]
     df = spark.createDataFrame([(n,) for n in names], "m string")
     want = ["llama-3.1", "llama-3.1", "qwen2.5", "zephyr"]
     assert [r[0] for r in df.select(chat.template_for_model("m")).collect()] == want
@@ -105,7 +105,7 @@ def test_prompt_longer_than_the_limit_masks_everything(spark):
 
 def test_causal_features(spark):
     df = spark.createDataFrame([("a bb", "ccc d"), ("x", "")], "en string, ko string")
-    head = len((constants.PROMPT_HEAD + constants.PROMPT_MIDDLE).split())
+    head = len((constants.PROMPT_TEMPLATE.replace("{}", "")).split())
     rows = training.causal_features(df, LENGTHS, max_length=80).collect()
     first = rows[0]
     real = head + 4 + 2

@@ -84,6 +84,12 @@ def test_hot_sort_prefix_is_still_cut(spark, cut_mode):
     assert max(ranges.sizes()) < 200
 
 
+def test_hot_key_is_refused(spark, cut_mode):
+    df = spark.range(900).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("k"))
+    with pytest.raises(ValueError, match="not unique"):
+        order.dense_index(df, "k", rows_per_range=30)
+
+
 @pytest.mark.parametrize("rows_per_range", [5, 60, None])
 def test_positions(spark, cut_mode, rows_per_range):
     df = shuffled(spark, 300, 5)
