@@ -182,7 +182,7 @@ def pack_sequences(
 
     def blocks(rows: DataFrame, numbers: Column, *groups: str) -> DataFrame:
         pieces = rows.select(*groups, F.inline(F.transform(numbers, piece)))
-        joined = F.flatten(F.transform(F.array_sort("pieces"), lambda p: p["part"]))
+        joined = F.flatten(F.transform(F.sort_array("pieces"), lambda p: p["part"]))
         return (
             pieces.groupBy(*groups, "block")
             .agg(F.collect_list("piece").alias("pieces"), F.sum(F.size("piece.part")).alias("n"))

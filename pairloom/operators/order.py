@@ -71,27 +71,19 @@ class KeyRanges:
         if not self.cuts:
             return df.withColumn(_RANGE, F.lit(0))
         cut_type = T.StructType([T.StructField("k", self.key_type)])
+        cuts = _literal(f"[{','.join(self.cuts)}]", T.ArrayType(cut_type))
+        # Binary search for the number of cuts at or below the key, by halving steps.
+        steps = F.array(
+            *[F.lit(1 << bit) for bit in reversed(range(len(self.cuts).bit_length()))]
+        )
 
-        def below(cuts: Column) -> Column:
-            return F.size(F.filter(cuts, lambda cut: cut["k"] <= F.col("_key")))
+        def advance(found: Column, step: Column) -> Column:
+            cut = F.get(cuts, found + step - 1)["k"]
+            return F.when(cut <= F.col("_key"), found + step).otherwise(found)
 
         # The key may be an expression such as a hash, and would be computed once per comparison.
         keyed = once(df, df.columns, _key=_key(self.order_by))
-        if len(self.cuts) <= 16:
-            flat = _literal(f"[{','.join(self.cuts)}]", T.ArrayType(cut_type))
-            return keyed.withColumn(_RANGE, below(flat)).drop("_key")
-        # Two steps: which group of cuts, then where in the group.
-        width = math.isqrt(len(self.cuts) - 1) + 1
-        groups = [self.cuts[i : i + width] for i in range(0, len(self.cuts), width)]
-        heads = _literal(f"[{','.join(g[0] for g in groups)}]", T.ArrayType(cut_type))
-        nested = _literal(
-            "[" + ",".join(f"[{','.join(g)}]" for g in groups) + "]",
-            T.ArrayType(T.ArrayType(cut_type)),
-        )
-        group = F.col("_group")
-        inside = below(F.get(nested, group - 1))
-        number = F.when(group == 0, 0).otherwise((group - 1) * width + inside)
-        return keyed.withColumn("_group", below(heads)).withColumn(_RANGE, number).drop("_key", "_group")
+        return keyed.withColumn(_RANGE, F.aggregate(steps, F.lit(0), advance)).drop("_key")
 
     def inside(self, number: int) -> Column:
         """Condition: the row's key lies in this range. On one column it reaches the scan."""

@@ -42,7 +42,7 @@ def batch_rows(
         ranges = order.plan_ranges(narrow, keys, align=size, rows_per_range=rows_per_range)
         numbered = order.number_rows(narrow, ranges, "_rn")
         groups = ["_range"]
-    rows = F.array_sort(F.collect_list(F.struct("_rn", "_text")))
+    rows = F.sort_array(F.collect_list(F.struct("_rn", "_text")))
     return (
         numbered.groupBy(*groups, F.expr(f"_rn div {int(size)}").alias("batch_id"))
         .agg(F.count("*").alias("n"), rows.alias("_rows"))

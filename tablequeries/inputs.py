@@ -56,7 +56,7 @@ def responses(
     docs = order.dense_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     batches = (
         docs.groupBy(F.expr("rn div 10").alias("b"))
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("rows"))
         .select("b", F.transform("rows", lambda r: r["text"]).alias("texts"))
     )
     broken = F.col("b") % 13 == 0

@@ -55,7 +55,7 @@ def test_time_and_float_keys(spark, cut_mode):
         assert [r.rn for r in rows] == list(range(120))
 
 
-def test_many_ranges_use_two_steps(spark, cut_mode):
+def test_many_ranges(spark, cut_mode):
     df = shuffled(spark, 1000, 4)
     ranges = order.plan_ranges(df, "k", rows_per_range=2)
     assert len(ranges.cuts) > 64
