@@ -84,6 +84,14 @@ MODEL_ROUTES = [
     ("deepseek", "zephyr"),
 ]
 
+# Evaluation knows fewer families and gives every other model this template.
+EVALUATION_ROUTES = [
+    ("llama-3.1", "llama-3.1"),
+    ("llama-3.2", "llama-3.1"),
+    ("qwen2.5", "qwen2.5"),
+]
+EVALUATION_DEFAULT = "llama-3.1"
+
 IGNORE_INDEX = -100
 REQUEST_MODEL = "gpt-4o-mini"
 REQUEST_TEMPERATURE = 0.7

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,25 +35,33 @@ def chat_messages(
     return F.array(*parts)
 
 
-def template_for_model(model: Column | str, default: str | None = None) -> Column:
+def template_for_model(
+    model: Column | str,
+    default: str | None = None,
+    routes: Sequence[tuple[str, str]] = constants.MODEL_ROUTES,
+) -> Column:
     """Template name for a model name, whatever its case.
 
     An unknown model gives ``default``; without one the query fails and names the model.
     """
     model = _column(model)
     lower = F.lower(model)
-    routes = F
-    for part, template in constants.MODEL_ROUTES:
-        routes = routes.when(lower.contains(part), F.lit(template))
+    choice = F
+    for part, template in routes:
+        choice = choice.when(lower.contains(part), F.lit(template))
     if default is not None:
-        return routes.otherwise(F.lit(default))
+        return choice.otherwise(F.lit(default))
     message = F.concat(F.lit("no chat template for model: "), F.coalesce(model, F.lit("NULL")))
-    return routes.otherwise(F.raise_error(message).cast("string"))
+    return choice.otherwise(F.raise_error(message).cast("string"))
 
 
-def template_name(model: str, default: str | None = None) -> str:
+def template_name(
+    model: str,
+    default: str | None = None,
+    routes: Sequence[tuple[str, str]] = constants.MODEL_ROUTES,
+) -> str:
     """``template_for_model`` for one known name, for use while a plan is being built."""
-    for part, template in constants.MODEL_ROUTES:
+    for part, template in routes:
         if part in model.lower():
             return template
     if default is None:

@@ -133,7 +133,7 @@ def plan_ranges(
     if value is not None:
         # A value such as a token count may be costly. Keys and values are written once to the
         # shared folder, a small part of the data, and the steps below read that.
-        narrow = _written(narrow)
+        narrow = written(narrow)
     totals = narrow.agg(
         F.count("*").alias("n"), F.coalesce(F.sum("_amount"), F.lit(0)).alias("total")
     ).first()
@@ -162,7 +162,8 @@ def plan_ranges(
     return _align(narrow.select(*order_by), ranges, align) if align > 1 else ranges
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """Write narrow rows to the shared folder and read them from there."""
     spark = df.sparkSession
     path = scratch_dir(spark, "keys")
     df.write.parquet(path)

@@ -41,12 +41,17 @@ def _cut(
     rows_per_range: int | None = None,
 ) -> tuple[DataFrame, int, int, Column | None]:
     """Ranked frame, row count, sample size, and the condition that picks the sample."""
-    ranked = df.withColumn(_RANK, rank_key(seed, key, dict(df.dtypes)))
+    types = dict(df.dtypes)
+    ranked = df.withColumn(_RANK, rank_key(seed, key, types))
+    ranks = ranked.select(_RANK)
+    if any(types[k] == "string" for k in ([key] if isinstance(key, str) else key)):
+        # The ranks are read several times; texts, often the bulk of the data, only once for them.
+        ranks = order.written(ranks)
 
     def positions(total: int) -> list[int]:
         return [size_of(total), size_of(total) + 1]
 
-    total, keys = order.nth_keys(ranked, _RANK, positions, rows_per_range)
+    total, keys = order.nth_keys(ranks, _RANK, positions, rows_per_range)
     size = size_of(total)
     if size in keys and keys[size] == keys.get(size + 1):
         raise ValueError("the key is not unique: two rows have the same rank at the cut")

@@ -7,12 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom import constants
 from pairloom.functions import chat
 from pairloom.operators import chats, generate
 
-# Names routed by the template table; unknown models get this one here.
-DEFAULT_TEMPLATE = "llama-3.1"
-
 
 def evaluate_models(
     test: DataFrame,
@@ -25,7 +23,9 @@ def evaluate_models(
     """(model, input, result) for each test row and model; prompts follow each model's template."""
 
     def prompt_of(df: DataFrame, model: Mapping) -> DataFrame:
-        template = model.get("template") or chat.template_name(model["model"], DEFAULT_TEMPLATE)
+        template = model.get("template") or chat.template_name(
+            model["model"], constants.EVALUATION_DEFAULT, constants.EVALUATION_ROUTES
+        )
         messages = chats.build_messages(df, with_target=False)
         return chats.render_chat(
             messages, template, add_generation_prompt=add_generation_prompt, name="prompt"

@@ -42,12 +42,12 @@ def test_settings():
 
 def test_each_model_gets_its_template_and_no_shuffle(spark):
     df = spark.createDataFrame([("a",), ("b",)], "input_text string")
-    models = [{"model": "Llama-3.2-1B"}, {"model": "Qwen2.5-3B"}, {"model": "other"}]
+    models = [{"model": "Llama-3.2-1B"}, {"model": "Qwen2.5-3B"}, {"model": "deepseek-r1"}]
     out = evaluation.evaluate_models(df, models, lambda p: lambda texts: [t[:12] for t in texts])
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     rows = {(r.model, r.input): r.result for r in out.collect()}
     assert len(rows) == 6
-    assert rows["Llama-3.2-1B", "a"] == rows["other", "b"] == "<|begin_of_t"
+    assert rows["Llama-3.2-1B", "a"] == rows["deepseek-r1", "b"] == "<|begin_of_t"
     assert rows["Qwen2.5-3B", "b"] == "<|im_start|>"
 
 
