@@ -33,8 +33,10 @@ ROWS_PER_RANGE = 50_000
 MAX_RANGES = 65_536
 # Inputs that fit one task are still cut for the sake of the cores, into ranges of this many rows.
 MIN_ROWS_PER_RANGE = 1_000
-# Up to this many keys, one task sorts them all and gives exact cuts; beyond, keys are sampled.
+# Up to this many keys, and bytes of text in them, one task sorts them all and gives exact cuts;
+# beyond, keys are sampled.
 EXACT_ROWS = 500_000
+EXACT_BYTES = 64 << 20
 # Keys sampled per range; with 20 a range rarely grows past twice its share.
 SAMPLE_PER_RANGE = 20
 _RANGE = "_range"
@@ -134,8 +136,15 @@ def plan_ranges(
         # A value such as a token count may be costly. Keys and values are written once to the
         # shared folder, a small part of the data, and the steps below read that.
         narrow = written(narrow)
+    types = dict(narrow.dtypes)
+    text_bytes = F.lit(0)
+    for name in order_by:
+        if types[name] == "string":
+            text_bytes = text_bytes + F.coalesce(F.octet_length(name), F.lit(0))
     totals = narrow.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("_amount"), F.lit(0)).alias("total")
+        F.count("*").alias("n"),
+        F.coalesce(F.sum("_amount"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(text_bytes), F.lit(0)).alias("text_bytes"),
     ).first()
     n_ranges = math.ceil(totals.n / (rows_per_range or ROWS_PER_RANGE))
     if spread and rows_per_range is None:
@@ -145,7 +154,7 @@ def plan_ranges(
     whole = KeyRanges(order_by, key_type, [], [0], totals.total, totals.n)
     if n_ranges <= 1:
         return whole
-    if totals.n <= EXACT_ROWS:
+    if totals.n <= EXACT_ROWS and totals.text_bytes <= EXACT_BYTES:
         return _exact(narrow, whole, n_ranges, align)
 
     cuts = _sample_cuts(narrow.select(*order_by), order_by, n_ranges, totals.n)
@@ -243,13 +252,13 @@ def _window(ranges: KeyRanges):
 
 
 def _by_range(df: DataFrame, ranges: KeyRanges) -> DataFrame:
-    """Rows with their range, in at least as many shuffle partitions as there are ranges.
+    """Rows with their range, one shuffle partition per range.
 
     The number of ranges follows the number of rows, so partitions keep their size as data grows.
+    The range is the partition number itself: hashed, some partitions would get several ranges.
     """
     df = ranges.assign(df)
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(len(ranges.starts), _RANGE) if len(ranges.starts) > configured else df
+    return df.repartitionById(len(ranges.starts), F.col(_RANGE)) if ranges.cuts else df
 
 
 def number_rows(df: DataFrame, ranges: KeyRanges, name: str) -> DataFrame:
