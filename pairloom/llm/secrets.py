@@ -1,0 +1,181 @@
+"""Secret scans: plain patterns, and an assignment-aware lexer on top of them.
+
+The plain patterns find assignments to names that hold secrets, access key ids and long hexadecimal
+runs. The lexer goes further: it reads assignments in source and configuration syntax (``a = "b"``,
+``a: b``, ``"a": "b"``, ``a := 'b'``, ``a => "b"``, ``export A=b``, ``a="b"`` in tags) into pairs of name
+and literal, follows names to the literals they stand for (``key = "..."`` and then ``password = key``),
+joins literals put together with ``+``, and scores each literal by how sensitive the words of the names
+are that it reaches and by how little it looks like a word or a placeholder. Literals that score high
+enough are reported where they stand, as kind ``lexed``. Plain findings are never taken back.
+
+Each text is scanned whole, in one pass per pattern; no pattern tries a place twice, so time is linear.
+Spans are in code points, end exclusive. Nulls: a null text is an empty one and has no spans; a null id
+is passed on. Empty table: no rows. Repeated rows are scanned each. Other columns are not looked at.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from pairloom.llm.common import field, map_rows
+
+KINDS = ("assign", "access", "hex", "lexed")
+ASSIGN = re.compile(
+    r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII
+)
+# A run is found whole, so a bound on its length in the pattern drops the same matches as one afterwards.
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+
+# One assignment: a name, an operator, and a first value that is quoted, or bare up to a delimiter.
+NAME = r"(?<![\w.$-])([A-Za-z_$][\w.$-]*+)"
+OPERATOR = r"[\"']?[ \t]*+(?::=|=>|[:=](?!=))[ \t]*+"
+VALUE = r"(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s\"'`,;(){}\[\]<>]++))"
+PAIR = re.compile(NAME + OPERATOR + VALUE)
+JOINED = re.compile(r"[ \t]*+\+[ \t]*+" + VALUE)
+REFERENCE = re.compile(r"[A-Za-z_$][\w.$-]*")
+NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+# How sensitive a word of a name is, from 0 to 1.
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "credential": 0.9,
+    "credentials": 0.9, "token": 0.9, "apikey": 1.0, "key": 0.5, "private": 0.5, "auth": 0.6, "bearer": 0.8,
+    "access": 0.4, "signing": 0.4, "encryption": 0.4, "api": 0.4, "client": 0.2, "salt": 0.5, "cookie": 0.4,
+}
+# Words that say the value is not itself the secret.
+HARMLESS = {"file", "path", "url", "uri", "name", "id", "type", "length", "size", "count", "limit", "field"}
+PLACEHOLDER = re.compile(
+    r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|test|none|null|true|false|undefined|todo"
+    r"|your[\w-]*|my[\w-]*|<.*>|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\})$"
+)
+MIN_SCORE = 0.6
+MIN_LITERAL = 8
+
+
+def name_score(name: str) -> float:
+    """How likely a name holds a secret: its words' weights, joined as independent hints."""
+    words = [w.lower() for part in re.split(r"[._$-]+", name) for w in NAME_WORDS.findall(part)]
+    if not words or words[-1] in HARMLESS:
+        return 0.0
+    rest = 1.0
+    for word in words:
+        rest *= 1.0 - SENSITIVE.get(word, 0.0)
+    return 1.0 - rest
+
+
+def literal_score(literal: str) -> float:
+    """From 0 for a placeholder, a number or prose to 1 for a random string."""
+    if len(literal) < MIN_LITERAL or PLACEHOLDER.match(literal) or len(set(literal)) < 4:
+        return 0.0
+    if literal.count(" ") > 1 or literal.replace(".", "").replace("-", "").isdigit():
+        return 0.0
+    total = len(literal)
+    bits = -sum(n / total * math.log2(n / total) for n in Counter(literal).values())
+    kinds = sum(map(bool, (re.search(p, literal) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))))
+    return min(1.0, bits / 4.0 * 0.6 + kinds * 0.15)
+
+
+def lex(text: str) -> tuple[list[tuple[str, list[tuple[int, int]]]], list[tuple[str, str]]]:
+    """(name, spans of its literals) and (name, name it is set to), in the order of the text."""
+    literals, references = [], []
+    at = 0
+    while match := PAIR.search(text, at):
+        name, spans, value = match[1], [], match
+        at = match.end()
+        while value:
+            group = value.lastindex
+            start, end = value.span(group)
+            bare = text[start:end]
+            quoted = start > 0 and text[start - 1] in "\"'`" and text[end : end + 1] == text[start - 1]
+            if quoted:
+                spans.append((start, end))
+            else:
+                if REFERENCE.fullmatch(bare):
+                    references.append((name, bare))
+                if bare:
+                    spans.append((start, end))
+            at = value.end()
+            value = JOINED.match(text, at)
+        literals.append((name, spans))
+    return literals, references
+
+
+def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int]]:
+    """Where literals stand that reach a sensitive name."""
+    if "=" not in text and ":" not in text:
+        return []
+    literals, references = lex(text)
+    # Sensitivity flows against assignments: what is set to a name makes that name as sensitive.
+    scores: dict[str, float] = {}
+    for name, _ in literals:
+        if name not in scores:
+            scores[name] = name_score(name)
+    sources: dict[str, list[str]] = {}
+    for name, source in references:
+        if source in scores:
+            sources.setdefault(name, []).append(source)
+    waiting = [name for name in sources if scores[name] > 0]
+    while waiting:
+        name = waiting.pop()
+        for source in sources.get(name, ()):
+            if scores[source] < scores[name]:
+                scores[source] = scores[name]
+                waiting.append(source)
+    known = {name for name, _ in literals}
+    found = []
+    for name, spans in literals:
+        if scores[name] <= 0 or not spans:
+            continue
+        values = [text[s:e] for s, e in spans]
+        # A bare name that is set elsewhere is a reference, and its own literal is reported there.
+        kept = [s for s, v in zip(spans, values) if v not in known]
+        if scores[name] * literal_score("".join(values)) >= min_score:
+            found.extend(kept)
+    return sorted(set(found))
+
+
+def scan(text: str | None) -> list[tuple[str, int, int]]:
+    """All spans as (kind, start, end), by start and then kind as in KINDS."""
+    if not text:
+        return []
+    spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    spans += [("hex", *m.span()) for m in HEX.finditer(text)]
+    spans += [("lexed", *s) for s in lexed_spans(text)]
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+
+
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_assign, n_access, n_hex, n_lexed, base_sha256, spans) for each row."""
+    schema = T.StructType(
+        [
+            field(df, id_col),
+            *[T.StructField(f"n_{kind}", T.LongType()) for kind in KINDS],
+            T.StructField("base_sha256", T.StringType()),
+            T.StructField("spans", T.StringType()),
+        ]
+    )
+
+    def make():
+        def run(columns: dict[str, list]) -> dict[str, list]:
+            found = [scan(text) for text in columns[text_col]]
+            out = {id_col: columns[id_col], "spans": [joined(spans) for spans in found]}
+            for kind in KINDS:
+                out[f"n_{kind}"] = [sum(s[0] == kind for s in spans) for spans in found]
+            base = (joined([s for s in spans if s[0] != "lexed"]) for spans in found)
+            out["base_sha256"] = [hashlib.sha256(b.encode()).hexdigest() for b in base]
+            return out
+
+        return run
+
+    return map_rows(df.select(id_col, text_col), make, schema)
