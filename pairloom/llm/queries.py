@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import langid, line_dedup, mixing, packing, secrets, sharding, simhash, token_counts
+from pairloom.llm import langid, line_dedup, mixing, mtree, packing, secrets, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op6_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_search_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_mix_documents": op4_mix_documents,
     "op5_drop_site_lines": op5_drop_site_lines,
     "op6_count_tokens": op6_count_tokens,
+    "op7_search_exactly": op7_search_exactly,
     "op8_simhash_classes": op8_simhash_classes,
     "op9_identify_language": op9_identify_language,
 }
