@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import langid, line_dedup, mixing, mtree, packing, secrets, sharding, simhash, token_counts
+from pairloom.llm import hash_forest, langid, line_dedup, mixing, mtree, packing, secret_scan, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op10_search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_scan_secrets": op2_scan_secrets,
@@ -82,6 +86,7 @@ QUERIES = {
     "op7_search_exactly": op7_search_exactly,
     "op8_simhash_classes": op8_simhash_classes,
     "op9_identify_language": op9_identify_language,
+    "op10_search_nearest": op10_search_nearest,
 }
 
 ORACLES: dict[str, str] = {}
