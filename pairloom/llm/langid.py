@@ -40,7 +40,7 @@ SLOTS_PER_GRAM = 16
 MAX_SLOTS = 1 << 20
 UNDECIDED = "und"
 # Characters that are looked at together; bounds the memory of a task beside its batch of texts.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -114,15 +114,14 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                found = []
                 for group in _groups(texts):
                     hashes, owners = grams.of(group)
-                    pairs = np.unique(np.stack([hashes.view(np.int64), owners]), axis=1)
-                    found.append(pairs[0])
-                unique, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": pa.array([lang] * len(unique), pa.string()), "gram": unique, "texts": counts}
-                )
+                    # Once per text, and then once per group.
+                    own = np.unique(hashes * _GOLDEN ^ owners.astype(np.uint64) * _MIX, return_index=True)[1]
+                    unique, counts = np.unique(hashes[own].view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_pydict(
+                        {"lang": pa.array([lang] * len(unique), pa.string()), "gram": unique, "texts": counts}
+                    )
 
     return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, texts long")
 
