@@ -42,7 +42,8 @@ MAX_OPEN = 1024
 MEMO = 800_000
 # Characters whose lower case may depend on their place or on the version of Unicode.
 OTHER_CASE = re.compile("[^\x00-\u012f\u0131-\u024f]")
-MARKS = tuple(".,;:!?")
+# Marks that make one word of the tokenizer however many stand together.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 # Characters of text that are tokenised together.
 GROUP_CHARS = 2 << 20
 BATCH_BYTES = 8 << 20
@@ -154,12 +155,12 @@ class Encoder:
         return [b"".join([*map(get, stretches), self.end]) for stretches in parts]
 
     def _learn(self, unseen: set[str]) -> None:
-        """Stretches of letters, and perhaps one mark after them, go to the tokenizer in long lists."""
+        """Stretches of letters, and perhaps marks after them, go to the tokenizer in long lists."""
         plain, marked = [], []
         for stretch in unseen:
             if stretch.isalpha():
                 plain.append(stretch)
-            elif stretch[-1:] in MARKS and stretch[:-1].isalpha():
+            elif stretch.rstrip(MARKS).isalpha():
                 marked.append(stretch)
             else:
                 self.memo[stretch] = self._one(stretch)
