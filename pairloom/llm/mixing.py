@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import one_per_copy, saved, text_or_empty, word_count
 
 MAX_COPIES = 3.0
-BUCKET = 20_000
+BUCKET = 2_000
 STEPS = 100
 TOLERANCE = 1e-7
 
