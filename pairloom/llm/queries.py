@@ -89,4 +89,52 @@ QUERIES = {
     "op10_search_nearest": op10_search_nearest,
 }
 
-ORACLES: dict[str, str] = {}
+_VISIBLE = r"""
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+    '(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|tr|td|th|table|article|section|header|footer|main|aside|title|body|head|html|form|blockquote|pre)(?:\s[^>]*)?/?>', chr(10), 'g'),
+    '<[^>]*>', '', 'g'),
+    '[ \t]*\n[ \t\n]*', chr(10), 'g'), chr(10))"""
+
+_BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
+
+ORACLES: dict[str, str] = {
+    "op5_drop_site_lines": f"""
+        WITH p AS (
+          SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, {_VISIBLE} AS text
+          FROM pages),
+        each AS (
+          SELECT page_id, host, unnest(string_split(text, chr(10))) AS line FROM p),
+        counted AS (
+          SELECT host, line, count(*) AS line_pages
+          FROM (SELECT DISTINCT page_id, host, trim(line, {_BLANKS}) AS line FROM each)
+          WHERE line <> '' GROUP BY host, line),
+        hosts AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
+        lists AS (
+          SELECT counted.host, list(line) AS dropped
+          FROM counted JOIN hosts ON counted.host IS NOT DISTINCT FROM hosts.host
+          WHERE line_pages >= {line_dedup.MIN_PAGES} AND line_pages > {line_dedup.MAX_RATIO} * host_pages
+          GROUP BY counted.host),
+        cut AS (
+          SELECT page_id, p.host, text, string_split(text, chr(10)) AS lines,
+                 list_filter(string_split(text, chr(10)),
+                             x -> NOT list_contains(coalesce(dropped, []), trim(x, {_BLANKS}))) AS kept
+          FROM p LEFT JOIN lists ON p.host IS NOT DISTINCT FROM lists.host)
+        SELECT page_id, host, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
+               CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+               CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped
+        FROM cut""",
+    "op7_search_exactly": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.u, c.u), z -> z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+          FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
