@@ -161,15 +161,14 @@ def test_mix_meets_targets(spark, mixture):
         sizes[source] += size_of(text)
     names = sorted((s for s in sizes if s is not None)) + [None]
     goals = fill(dict(sizes), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
-    taken, longest = Counter(), 0
+    taken = Counter()
     for r in found:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, goals[r.source], rel_tol=1e-9)
         assert 0 <= r.copies <= 3 and r.taken == r.copies * r.size
         assert math.floor(r.rate) <= r.copies <= math.ceil(r.rate)
         taken[r.source] += r.taken
     for source, goal in goals.items():
-        shortest = min((r.size for r in found if r.source == source and r.size), default=0)
-        assert abs(taken[source] - goal) <= max(shortest, 1), (source, taken[source], goal)
+        assert abs(taken[source] - goal) <= max(5, 0.001 * goal), (source, taken[source], goal)
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(df).collect()))
 
 
