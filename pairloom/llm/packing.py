@@ -107,27 +107,34 @@ class Packer:
         self.n_open += 1
         self.levels.add(level + size, 1)
         if self.n_open > self.max_open:
-            yield from self.close()
+            yield from self.close(last=False)
 
-    def close(self) -> Iterator[list[tuple]]:
-        """All open windows, filled up by cutting documents; only the last one may have a gap."""
+    def close(self, last: bool = True) -> Iterator[list[tuple]]:
+        """All open windows, filled up by cutting documents; one with a gap may be left.
+
+        It stays open unless this is the ``last`` call.
+        """
         windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
         self.open, self.n_open, self.levels = {}, 0, Levels(self.window)
-        first, last = 0, len(windows) - 1
-        while first <= last:
+        first, donor = 0, len(windows) - 1
+        while first <= donor:
             pieces = windows[first]
             gap = self.window - sum(len(p[2]) // 4 for p in pieces)
-            while gap and first < last:
-                key, start, ids, tokens = windows[last].pop()
+            while gap and first < donor:
+                key, start, ids, tokens = windows[donor].pop()
                 taken = min(gap, len(ids) // 4)
                 pieces.append((key, start, ids[: 4 * taken], tokens))
                 if len(ids) > 4 * taken:
-                    windows[last].append((key, start + taken, ids[4 * taken :], tokens))
-                if not windows[last]:
-                    last -= 1
+                    windows[donor].append((key, start + taken, ids[4 * taken :], tokens))
+                if not windows[donor]:
+                    donor -= 1
                 gap -= taken
-            yield pieces
             first += 1
+            if gap and not last:
+                self.open[self.window - gap], self.n_open = [pieces], 1
+                self.levels.add(self.window - gap, 1)
+            else:
+                yield pieces
 
 
 class Encoder:
