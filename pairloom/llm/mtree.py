@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import saved
-from pairloom.llm.vectors import as_bytes, best_of_each, folded, matrix, query_rows
+from pairloom.llm.vectors import as_bytes, best_of_each, folded, in_blocks, matrix, query_rows
 
 PAGE = 64
 SLACK = 1e-7
-_LONG = 2**63 - 1
+_LONG = 2**63 - 2
 
 
 def scaled(values: np.ndarray) -> np.ndarray:
@@ -67,27 +67,14 @@ def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([max(-_LONG, min(_LONG, s)) for s in sums], np.int64)
 
 
-class Best:
-    """The best (score, id) so far of one query."""
+_NONE = np.iinfo(np.int64).min + 1
 
-    def __init__(self, k: int):
-        self.k, self.rows = k, []
 
-    def add(self, scores: np.ndarray, ids: list[list[int]]) -> None:
-        worst = self.rows[-1][0] if len(self.rows) == self.k else None
-        fresh = [(-s, i) for s, own in zip(scores.tolist(), ids) if worst is None or -s <= worst for i in own]
-        if fresh:
-            self.rows = sorted(self.rows + fresh)[: self.k]
-
-    def floor(self) -> int | None:
-        return -self.rows[-1][0] if len(self.rows) == self.k else None
-
-
-def _reach(floor, norm: float, most: float) -> float:
-    """The distance at which the score falls to ``floor``."""
-    if floor is None:
-        return math.inf
-    return math.sqrt(max(0.0, norm + most - 2.0 * float(floor))) + SLACK * (math.sqrt(norm) + math.sqrt(most))
+def _reach(floors: np.ndarray, norms: np.ndarray, most: float) -> np.ndarray:
+    """The distance at which each query's score falls to its floor; without a floor, any distance."""
+    squares = norms + most - 2.0 * floors.astype(np.float64)
+    reach = np.sqrt(np.maximum(0.0, squares)) + SLACK * (np.sqrt(norms) + math.sqrt(most))
+    return np.where(floors == _NONE, np.inf, reach)
 
 
 def _node(table: pa.Table, routes: np.ndarray, most: float, dims: int) -> dict:
@@ -125,42 +112,71 @@ _NODE = (
 )
 
 
-def _search(node: dict, centre: np.ndarray, queries: np.ndarray, floors: list, k: int, most: float):
-    """(scores, ids) of the k best in a node for each query of a block."""
+def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Whole-number inner products, queries by vectors."""
+    if np.abs(vectors).max() * max(1.0, np.abs(queries).max()) * queries.shape[1] < 2.0**53:
+        return (queries @ vectors.T).astype(np.int64)
+    return np.stack([products(vectors, query) for query in queries])
+
+
+def _search(node: dict, centre: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, most: float):
+    """(scores, ids) of the k best in a node, one row per query of a block; id -1 where there are fewer.
+
+    Every query goes through the pages in its own order. In each round, the queries whose next page is
+    the same are scored together.
+    """
     dims = queries.shape[1]
     vectors = np.frombuffer(node["vectors"]).reshape(-1, dims + 1)
-    own = np.frombuffer(node["ids"], np.int64).tolist()
-    ends = np.cumsum(np.frombuffer(node["id_counts"], np.int64)).tolist()
-    ids = [own[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    counts = np.frombuffer(node["id_counts"], np.int64)
+    ids, entry_of = np.frombuffer(node["ids"], np.int64), np.repeat(np.arange(len(counts)), counts)
     distance = np.frombuffer(node["distance"])
     page_ends = np.cumsum(np.frombuffer(node["page_sizes"], np.int64))
     page_begins = np.concatenate([[0], page_ends[:-1]])
     page_radius = np.frombuffer(node["page_radius"])
     page_vector = np.frombuffer(node["page_vector"]).reshape(-1, dims + 1)
     page_distance = np.frombuffer(node["page_distance"])
-    lifted_queries = np.hstack([queries, np.zeros((len(queries), 1))])
-    to_centre = _distances(lifted_queries, centre[None, :])[:, 0]
-    for i, query in enumerate(queries):
-        norm = float(query @ query)
-        best, floor = Best(k), floors[i]
-        reach = _reach(floor, norm, most)
-        # What the parent's distances leave of the pages, before any of their own is computed.
-        open_pages = np.flatnonzero(np.abs(to_centre[i] - page_distance) - page_radius <= reach)
-        to_page = _distances(lifted_queries[i : i + 1], page_vector[open_pages])[0]
-        bounds = to_page - page_radius[open_pages]
-        for j in np.argsort(bounds, kind="stable").tolist():
-            if bounds[j] > reach:
-                break
-            begin, end = page_begins[open_pages[j]], page_ends[open_pages[j]]
-            near = np.flatnonzero(np.abs(to_page[j] - distance[begin:end]) <= reach) + begin
-            if len(near):
-                scores = products(vectors[near, :dims], query)
-                best.add(scores, [ids[x] for x in near.tolist()])
-                now = best.floor()
-                if now is not None and (floor is None or now > floor):
-                    floor = now
-                    reach = _reach(floor, norm, most)
-        yield [-s for s, _ in best.rows], [x for _, x in best.rows]
+    norms = np.einsum("ij,ij->i", queries, queries)
+    floors = floors.copy()
+    reach = _reach(floors, norms, most)
+    best = np.full((len(queries), k), _NONE)
+    best_ids = np.full((len(queries), k), -1, np.int64)
+    flat = np.hstack([queries, np.zeros((len(queries), 1))])
+    to_centre = _distances(flat, centre[None, :])
+    # What the parent's distances leave of the pages, before any of their own is computed.
+    open_pages = np.abs(to_centre - page_distance) - page_radius <= reach[:, None]
+    who, which = np.flatnonzero(open_pages.any(axis=1)), np.flatnonzero(open_pages.any(axis=0))
+    if not len(who):
+        return best, best_ids
+    to_page = np.full(open_pages.shape, np.inf)
+    to_page[np.ix_(who, which)] = _distances(flat[who], page_vector[which])
+    bounds = np.where(open_pages, to_page - page_radius, np.inf)
+    order = np.argsort(bounds, axis=1, kind="stable")
+    for turn in range(bounds.shape[1]):
+        page = order[:, turn]
+        bound = bounds[np.arange(len(queries)), page]
+        waiting = np.isfinite(bound) & (bound <= reach)
+        if not waiting.any():
+            break  # bounds only grow from turn to turn
+        for p in np.unique(page[waiting]).tolist():
+            some = np.flatnonzero(waiting & (page == p))
+            begin, end = page_begins[p], page_ends[p]
+            near = np.abs(to_page[some, p][:, None] - distance[None, begin:end]) <= reach[some][:, None]
+            wanted = np.flatnonzero(near.any(axis=0)) + begin
+            if not len(wanted):
+                continue
+            found = _scores(vectors[wanted, :dims], queries[some])
+            # One column per id of each entry.
+            first, last = np.searchsorted(entry_of, wanted), np.searchsorted(entry_of, wanted, "right")
+            column = np.repeat(np.arange(len(wanted)), last - first)
+            own = np.concatenate([ids[a:b] for a, b in zip(first.tolist(), last.tolist())])
+            all_scores = np.hstack([best[some], found[:, column]])
+            all_ids = np.hstack([best_ids[some], np.broadcast_to(own, (len(some), len(own)))])
+            top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            best[some] = np.take_along_axis(all_scores, top, axis=1)
+            best_ids[some] = np.take_along_axis(all_ids, top, axis=1)
+            floors[some] = np.maximum(floors[some], best[some, -1])
+            reach[some] = _reach(floors[some], norms[some], most)
+    return best, best_ids
 
 
 def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
@@ -235,11 +251,10 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                     if first_round:
                         goes = np.zeros(bounds.shape, bool)
                         goes[np.arange(len(first)), first] = True
-                        floors = [None] * len(qids)
+                        floors = np.full(len(qids), _NONE)
                     else:
-                        floors = some.column(2).to_pylist()
-                        sizes = np.einsum("ij,ij->i", vectors, vectors)
-                        reach = np.array([_reach(f, s, most) for f, s in zip(floors, sizes.tolist())])
+                        floors = some.column(2).to_numpy()
+                        reach = _reach(floors, np.einsum("ij,ij->i", vectors, vectors), most)
                         goes = bounds <= reach[:, None]
                         goes[np.arange(len(first)), first] = False
                     for node in np.flatnonzero(goes.any(axis=0)).tolist():
@@ -250,38 +265,36 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                                 "part": pa.array([part[node]], pa.int64()),
                                 "qids": [qids[who].tobytes()],
                                 "qvecs": [vectors[who].tobytes()],
-                                "floors": pa.array([[floors[i] for i in who]], pa.list_(pa.int64())),
+                                "floors": [floors[who].tobytes()],
                             }
                         )
 
         return run
 
-    block = "route int, part long, qids binary, qvecs binary, floors array<long>"
+    block = "route int, part long, qids binary, qvecs binary, floors binary"
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = lifted(routes.value, most)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                found = _search(
-                    row, around[row["route"]], matrix(row["qvecs"], dims), row["floors"], k + 1, most
+                qids, floors = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"], np.int64)
+                queries_ = matrix(row["qvecs"], dims)
+                scores, ids = _search(row, around[row["route"]], queries_, floors, k + 1, most)
+                real = scores != _NONE
+                yield pa.RecordBatch.from_pydict(
+                    {"qid": np.repeat(qids, real.sum(axis=1)), "vec_id": ids[real], "score": scores[real]}
                 )
-                out: dict[str, list] = {"qid": [], "vec_id": [], "score": []}
-                for qid, (scores, ids) in zip(np.frombuffer(row["qids"], np.int64).tolist(), found):
-                    out["qid"] += [qid] * len(ids)
-                    out["vec_id"] += ids
-                    out["score"] += scores
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     def visited(dealt: DataFrame) -> DataFrame:
         joined = dealt.join(nodes, ["route", "part"])
         return joined.mapInArrow(visit, "qid long, vec_id long, score long")
 
-    different = queries.groupBy("qid").agg(F.first("vec").alias("vec"))
+    different = in_blocks(queries)
     first = saved(visited(different.mapInArrow(blocks(True), block)), "mtree-first")
     floors = first.groupBy(F.col("qid").alias("q")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     with_floor = different.join(floors, F.col("qid") == F.col("q"), "left").select(
-        "qid", "vec", F.when(F.col("n") > k, F.col("floor")).alias("floor")
+        "qid", "vec", F.when(F.col("n") > k, F.col("floor")).otherwise(int(_NONE)).alias("floor")
     )
     second = visited(with_floor.mapInArrow(blocks(False), block))
     return best_of_each(queries, first.unionByName(second), k)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import saved
 
+# Query vectors that go through the index together.
+BLOCK = 4096
+
 
 def as_bytes(
     df: DataFrame, id_col: str, vec_col: str, change: Callable[[np.ndarray], np.ndarray] | None, zeros: bool
@@ -59,6 +62,13 @@ def query_rows(rows: DataFrame, every: int) -> DataFrame:
     return saved(queries.join(first, F.col("vec") == F.col("v")).select("query_id", "vec", "qid"), "queries")
 
 
+def in_blocks(queries: DataFrame) -> DataFrame:
+    """(qid, vec) of the different query vectors, about ``BLOCK`` in a partition."""
+    different = queries.groupBy("qid").agg(F.first("vec").alias("vec"))
+    n = queries.select("qid").distinct().count()
+    return different.repartition(max(1, -(-n // BLOCK)))
+
+
 def best_of_each(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best that are not the query's own row.
 
