@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import saved
 from pairloom.llm.mtree import lifted
-from pairloom.llm.vectors import as_bytes, best_of_each, folded, matrix, query_rows
+from pairloom.llm.vectors import as_bytes, best_of_each, folded, in_blocks, matrix, query_rows
 
-TREES = 24
+TREES = 20
 BITS = 30
-PAGE = 4096
+PAGE = 2048
 MAX_TOP = 12
 SHARE = 1.0
 CANDIDATES = 2000
@@ -102,6 +102,10 @@ def search(
             if len(vectors):
                 yield pa.RecordBatch.from_pydict({"norm": [float(np.einsum("ij,ij->i", vectors, vectors).max())]})
 
+    # Vectors of floats stay floats in the forest, at half the size.
+    floats = df.schema[vec_col].dataType.simpleString() == "array<float>"
+    stored = "<f4" if floats else "<f8"
+
     most = points.select("vec").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
 
     def planted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +114,9 @@ def search(
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                high = lifted(matrix(some.column(0).to_pylist(), dims), most)
+                vectors = matrix(some.column(0).to_pylist(), dims)
+                high = lifted(vectors, most)
+                vecs = pa.array([row.tobytes() for row in vectors.astype(stored)], pa.binary())
                 for tree in range(trees):
                     found = strings(high, directions[tree])
                     yield pa.RecordBatch.from_arrays(
@@ -118,7 +124,7 @@ def search(
                             pa.array(np.full(len(found), tree, np.int32)),
                             pa.array((found >> (BITS - top)).astype(np.int32)),
                             pa.array(found),
-                            some.column(0),
+                            vecs,
                             some.column(1),
                         ],
                         names=["tree", "bucket", "string", "vec", "ids"],
@@ -194,7 +200,7 @@ def search(
                     out[f"l{level}"] = end - begin
                 yield pa.RecordBatch.from_pydict(out)
 
-    different = queries.groupBy("qid").agg(F.first("vec").alias("vec"))
+    different = in_blocks(queries)
     counts_schema = "qid long, " + ", ".join(f"l{level} long" for level in levels)
     counts = (
         different.mapInArrow(descend, "tree int, bucket int, qids binary, qstrings binary")
@@ -254,7 +260,8 @@ def search(
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 page = np.frombuffer(row["strings"], np.int64)
-                vecs, qvecs = matrix(row["vecs"], dims), matrix(row["qvecs"], dims)
+                vecs, qvecs = np.frombuffer(row["vecs"], stored).reshape(-1, dims), matrix(row["qvecs"], dims)
+                vecs = vecs.astype(np.float64)
                 counts = np.frombuffer(row["id_counts"], np.int64)
                 ids, point = np.frombuffer(row["ids"], np.int64), np.repeat(np.arange(len(counts)), counts)
                 qids = np.frombuffer(row["qids"], np.int64)

@@ -118,7 +118,7 @@ ORACLES: dict[str, str] = {
         cut AS (
           SELECT page_id, p.host, text, string_split(text, chr(10)) AS lines,
                  list_filter(string_split(text, chr(10)),
-                             x -> NOT list_contains(coalesce(dropped, []), trim(x, {_BLANKS}))) AS kept
+                             lambda x: NOT list_contains(coalesce(dropped, []), trim(x, {_BLANKS}))) AS kept
           FROM p LEFT JOIN lists ON p.host IS NOT DISTINCT FROM lists.host)
         SELECT page_id, host, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
                CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
@@ -126,12 +126,12 @@ ORACLES: dict[str, str] = {
         FROM cut""",
     "op7_search_exactly": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
           SELECT q.vec_id AS query_id, c.vec_id,
-                 CAST(list_sum(list_transform(list_zip(q.u, c.u), z -> z[1] * z[2])) AS BIGINT) AS score
+                 CAST(list_sum(list_transform(list_zip(q.u, c.u), lambda z: z[1] * z[2])) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         ranked AS (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
