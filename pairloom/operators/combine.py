@@ -25,18 +25,18 @@ def align_lines(
 
 
 def concat_corpora(
-    corpora: Sequence[tuple[DataFrame, str, str | Sequence[str]]], name: str = "english"
+    corpora: Sequence[tuple], name: str = "english"
 ) -> DataFrame:
     """Union in the given order with a fresh row number over all.
 
-    Each corpus is (frame, text column, unique order key). ``pos`` numbers the rows of one corpus;
+    Each corpus is (frame, text column, unique order key), and its row count as a fourth where known. ``pos`` numbers the rows of one corpus;
     ``rn`` goes on over the corpora, as each one's row count is known from its numbering.
     """
     result, before = None, 0
-    for source_ord, (df, col, order_by) in enumerate(corpora):
+    for source_ord, (df, col, order_by, *known) in enumerate(corpora):
         keys = [order_by] if isinstance(order_by, str) else list(order_by)
         narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(col).alias(name))
-        part, n_rows = order.indexed(narrow, [f"_k{i}" for i in range(len(keys))], "pos")
+        part, n_rows = order.indexed(narrow, [f"_k{i}" for i in range(len(keys))], "pos", n_rows=known[0] if known else None)
         part = part.select(
             (F.col("pos") + before).alias("rn"),
             F.lit(source_ord).alias("source_ord"),
@@ -64,21 +64,38 @@ class Source:
     cap: int | None = None
 
 
+def _row_counts(frames: Sequence[DataFrame]) -> list[int]:
+    """Rows of several frames, in one query."""
+    rows = None
+    for i, df in enumerate(frames):
+        part = df.select(F.lit(i).alias("i"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return []
+    found = {row.i: row.n for row in rows.groupBy("i").agg(F.count("*").alias("n")).collect()}
+    return [found.get(i, 0) for i in range(len(frames))]
+
+
 def mix_corpora(sources: Sequence[Source], seed: int, name: str = "text") -> DataFrame:
     """Union of several corpora, each with its own cap, under one column name."""
     parts = []
-    for source in sources:
+    counts = _row_counts([source.df for source in sources])
+    for source, n_source in zip(sources, counts):
         keys = [source.order_by] if isinstance(source.order_by, str) else list(source.order_by)
         df = source.df.select(*dict.fromkeys([*keys, source.column]))
         if source.mode not in ("head", "shuffle", "all"):
             raise ValueError(f"unknown mode: {source.mode}")
         if source.mode != "all" and source.cap is None:
             raise ValueError(f"mode {source.mode} needs a cap")
+        n_rows = n_source
         if source.mode == "head":
-            df = select.head_rows(df, source.cap, keys)
+            df, n_rows = select.counted_head(df, source.cap, keys, n_rows=n_source)
         elif source.mode == "shuffle":
-            df, keys = sample.shuffle_head(df, source.cap, seed, keys), ["shuffle_rank"]
-        parts.append((df, source.column, keys))
+            df, n_rows = sample.counted_shuffle_head(
+                df, source.cap, seed, keys, "_rank_of_mix", numbered=False, n_rows=n_source
+            )
+            keys = ["_rank_of_mix"]
+        parts.append((df, source.column, keys, n_rows))
     return concat_corpora(parts, name)
 
 

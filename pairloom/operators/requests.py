@@ -41,7 +41,7 @@ def batch_rows(
         keys = [f"_k{i}" for i in range(len(keys))]
         ranges = order.plan_ranges(narrow, keys, align=size, rows_per_range=rows_per_range)
         numbered = order.number_rows(narrow, ranges, "_rn")
-        groups = ["_range"]
+        groups = [order.RANGE]
     rows = F.sort_array(F.collect_list(F.struct("_rn", "_text")))
     return (
         numbered.groupBy(*groups, F.expr(f"_rn div {int(size)}").alias("batch_id"))

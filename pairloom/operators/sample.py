@@ -39,6 +39,7 @@ def _cut(
     key: str | Sequence[str],
     size_of: Callable[[int], int],
     rows_per_range: int | None = None,
+    n_rows: int | None = None,
 ) -> tuple[DataFrame, int, int, Column | None]:
     """Ranked frame, row count, sample size, and the condition that picks the sample."""
     types = dict(df.dtypes)
@@ -48,13 +49,8 @@ def _cut(
         # The ranks are read several times; texts, often the bulk of the data, only once for them.
         ranks = order.written(ranks)
 
-    def positions(total: int) -> list[int]:
-        return [size_of(total), size_of(total) + 1]
-
-    total, keys = order.nth_keys(ranks, _RANK, positions, rows_per_range)
+    total, keys = order.nth_keys(ranks, _RANK, lambda total: [size_of(total)], rows_per_range, n_rows)
     size = size_of(total)
-    if size in keys and keys[size] == keys.get(size + 1):
-        raise ValueError("the key is not unique: two rows have the same rank at the cut")
     condition = order.up_to(ranked, _RANK, keys[size]) if size in keys else None
     return ranked, total, size, condition
 
@@ -71,20 +67,20 @@ def sample_n(
 
     When there are fewer rows, ``on_short='error'`` raises and ``'all'`` gives every row.
     """
-    return _sampled(df, n, seed, key, on_short, rows_per_range).drop(_RANK)
+    return _sampled(df, n, seed, key, on_short, rows_per_range)[0].drop(_RANK)
 
 
-def _sampled(df, n, seed, key, on_short, rows_per_range) -> DataFrame:
+def _sampled(df, n, seed, key, on_short, rows_per_range, n_rows=None) -> tuple[DataFrame, int]:
     if on_short not in ("error", "all"):
         raise ValueError("on_short must be 'error' or 'all'")
     if n < 0:
         raise ValueError("the sample size must not be negative")
-    ranked, total, _, condition = _cut(df, seed, key, lambda total: n, rows_per_range)
+    ranked, total, _, condition = _cut(df, seed, key, lambda total: n, rows_per_range, n_rows)
     if n > total and on_short == "error":
         raise ValueError(f"sample of {n} is larger than the population of {total}")
     if n == 0:
-        return ranked.limit(0)
-    return ranked if n >= total else ranked.filter(condition)
+        return ranked.limit(0), 0
+    return (ranked, total) if n >= total else (ranked.filter(condition), n)
 
 
 def shuffle_head(
@@ -96,12 +92,32 @@ def shuffle_head(
     rows_per_range: int | None = None,
 ) -> DataFrame:
     """First ``n`` rows of a seeded shuffle, with their place in it."""
-    chosen = _sampled(df, n, seed, key, "all", rows_per_range)
-    return order.dense_index(chosen, _RANK, rank_name, rows_per_range).drop(_RANK)
+    return counted_shuffle_head(df, n, seed, key, rank_name, rows_per_range)[0]
 
 
-def _split(df, seed, key, size_of, rows_per_range) -> tuple[DataFrame, DataFrame]:
-    ranked, total, size, condition = _cut(df, seed, key, size_of, rows_per_range)
+def counted_shuffle_head(
+    df: DataFrame,
+    n: int,
+    seed: int,
+    key: str | Sequence[str],
+    rank_name: str = "shuffle_rank",
+    rows_per_range: int | None = None,
+    numbered: bool = True,
+    n_rows: int | None = None,
+) -> tuple[DataFrame, int]:
+    """``shuffle_head`` and how many rows that is; unnumbered, the rank is a text that sorts alike.
+
+    ``n_rows`` is the row count of ``df`` where known.
+    """
+    chosen, n_rows = _sampled(df, n, seed, key, "all", rows_per_range, n_rows)
+    if not numbered:
+        return chosen.withColumnRenamed(_RANK, rank_name), n_rows
+    placed, _ = order.indexed(chosen, _RANK, rank_name, rows_per_range, n_rows=n_rows)
+    return placed.drop(_RANK), n_rows
+
+
+def _split(df, seed, key, size_of, rows_per_range, n_rows=None) -> tuple[DataFrame, DataFrame]:
+    ranked, total, size, condition = _cut(df, seed, key, size_of, rows_per_range, n_rows)
     if size > total:
         raise ValueError(f"test set of {size} is larger than the data set of {total}")
     if size == 0:
@@ -130,8 +146,12 @@ def split_count(
     seed: int,
     key: str | Sequence[str],
     rows_per_range: int | None = None,
+    n_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Train and validation set of an absolute size; size 0 means no validation set."""
+    """Train and validation set of an absolute size; size 0 means no validation set.
+
+    ``n_rows`` is the row count of ``df`` where known.
+    """
     if n_validation <= 0:
         return df, None
-    return _split(df, seed, key, lambda total: n_validation, rows_per_range)
+    return _split(df, seed, key, lambda total: n_validation, rows_per_range, n_rows)

@@ -31,6 +31,22 @@ def head_rows(
     return row_range(df, 0, n, order_by, rows_per_range)
 
 
+def counted_head(
+    df: DataFrame,
+    n: int,
+    order_by: str | Sequence[str],
+    rows_per_range: int | None = None,
+    n_rows: int | None = None,
+) -> tuple[DataFrame, int]:
+    """``head_rows`` and how many rows that is. ``n_rows`` is the row count of ``df`` where known."""
+    if n <= 0:
+        return df.limit(0), 0
+    total, keys = order.nth_keys(
+        df, order_by, lambda total: [n] if n < total else [], rows_per_range, n_rows
+    )
+    return (df.filter(order.up_to(df, order_by, keys[n])) if n < total else df), min(n, total)
+
+
 def row_range(
     df: DataFrame,
     start: int,
@@ -49,7 +65,7 @@ def row_range(
     if stop in keys and stop < total:
         df = df.filter(order.up_to(df, order_by, keys[stop]))
     if start > 0:
-        df = df.filter(~order.up_to(df, order_by, keys[start]))
+        df = df.filter(order.after(df, order_by, keys[start]))
     return df
 
 

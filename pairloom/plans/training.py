@@ -39,10 +39,12 @@ def causal_datasets(
     n_validation: int = 2000,
     seed: int = 42,
     max_length: int = 2048,
+    n_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Cap, split, then features for both parts."""
-    capped = select.max_examples(pairs, max_examples, key)
-    train, validation = sample.split_count(capped, n_validation, seed, key)
+    """Cap, split, then features for both parts. ``n_rows`` is the number of pairs where known."""
+    if max_examples:
+        pairs, n_rows = select.counted_head(pairs, max_examples, key, n_rows=n_rows)
+    train, validation = sample.split_count(pairs, n_validation, seed, key, n_rows=n_rows)
     return (
         causal_features(train, tokenizer, max_length),
         None if validation is None else causal_features(validation, tokenizer, max_length),

@@ -20,13 +20,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["exact", "sampled"])
-def cut_mode(request, monkeypatch):
-    """Run a test with exact cuts and with sampled ones, as large inputs have."""
-    from pairloom.operators import order
-
-    if request.param == "sampled":
-        monkeypatch.setattr(order, "EXACT_ROWS", 0)
-    return request.param

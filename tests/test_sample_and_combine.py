@@ -22,7 +22,7 @@ def ranked(n, seed):
 
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 @pytest.mark.parametrize("rows_per_range", [7, None])
-def test_sample_is_the_same_for_any_partitioning(spark, cut_mode, partitions, rows_per_range):
+def test_sample_is_the_same_for_any_partitioning(spark, partitions, rows_per_range):
     got = sample.sample_n(keyed(spark, 200, partitions), 60, 42, "k", rows_per_range=rows_per_range)
     assert sorted(r.k for r in got.collect()) == sorted(ranked(200, 42)[:60])
 
@@ -41,7 +41,7 @@ def test_sample_needs_no_shuffle_of_the_rows(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_shuffle_head(spark, cut_mode):
+def test_shuffle_head(spark):
     rows = sample.shuffle_head(keyed(spark, 90), 40, 5, "k", rows_per_range=9).orderBy("shuffle_rank").collect()
     assert [r.k for r in rows] == ranked(90, 5)[:40]
     assert [r.shuffle_rank for r in rows] == list(range(40))
