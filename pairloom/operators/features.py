@@ -6,6 +6,7 @@ row order and go through the key ranges of ``order``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +36,24 @@ def _repeat(value: int, count: Column) -> Column:
 
 
 def pad_truncate(
-    df: DataFrame, max_length: int, pad_id: int, ids: str = "input_ids"
+    df: DataFrame, max_length: int, pad_id: int, ids: str = "input_ids", keep_end: int = 0
 ) -> DataFrame:
-    """Cut or right-pad the ids to ``max_length`` and add the attention mask."""
-    kept = F.least(F.size(ids), F.lit(max_length))
+    """Cut or right-pad the ids to ``max_length`` and add the attention mask.
+
+    The cut takes whatever is last, an end id too. With ``keep_end`` so many ids from the end stay, and
+    the cut is made before them, as by tokenizers that reserve room for special ids.
+    """
+    if not 0 <= keep_end < max_length:
+        raise ValueError("keep_end must be below max_length")
+    kept = F.when(F.col(ids).isNotNull(), F.least(F.array_size(ids), F.lit(max_length)))
     gap = F.lit(max_length) - kept
+    head = F.slice(ids, 1, max_length)
+    if keep_end:
+        ended = F.concat(F.slice(ids, 1, max_length - keep_end), F.slice(ids, -keep_end, keep_end))
+        head = F.when(F.array_size(ids) > max_length, ended).otherwise(F.col(ids))
     return df.withColumns(
         {
-            ids: F.concat(F.slice(ids, 1, max_length), _repeat(pad_id, gap)),
+            ids: F.concat(head, _repeat(pad_id, gap)),
             "attention_mask": F.concat(_repeat(1, kept), _repeat(0, gap)),
         }
     )
@@ -61,8 +72,8 @@ def mask_prompt(
     so ends one token early; ``bos_offset=1`` corrects that. Padding keeps its id in the labels
     unless ``mask_padding`` is set.
     """
-    length = F.size(ids)
-    masked = F.least(F.size(prompt_ids) + F.lit(bos_offset), length)
+    length = F.array_size(ids)
+    masked = F.least(F.array_size(prompt_ids) + F.lit(bos_offset), length)
     rest = F.slice(F.col(ids), masked + 1, length - masked)
     if mask_padding:
         real = F.greatest(masked, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
@@ -99,7 +110,7 @@ def mask_responses_only(
     texts = bodies
     if headers is not None:
         texts = F.concat(F.array(F.lit(begin)), headers, bodies)
-    count = F.size(chat_of)
+    count = F.array_size(chat_of)
     df = df.withColumn("_ids", tokenizer.encode(texts))
     if headers is None:
         parts = F.transform(
@@ -121,14 +132,14 @@ def mask_responses_only(
         F.col("_first"), F.flatten(F.transform("_parts", lambda p: F.concat(p["h"], p["b"])))
     )
     labels = F.concat(
-        _repeat(constants.IGNORE_INDEX, F.size("_first")),
+        _repeat(constants.IGNORE_INDEX, F.array_size("_first")),
         F.flatten(
             F.transform(
                 "_parts",
                 lambda p: F.concat(
-                    _repeat(constants.IGNORE_INDEX, F.size(p["h"])),
+                    _repeat(constants.IGNORE_INDEX, F.array_size(p["h"])),
                     F.when(p["role"] == "assistant", p["b"]).otherwise(
-                        _repeat(constants.IGNORE_INDEX, F.size(p["b"]))
+                        _repeat(constants.IGNORE_INDEX, F.array_size(p["b"]))
                     ),
                 ),
             )
@@ -137,6 +148,39 @@ def mask_responses_only(
     return df.withColumns({"input_ids": ids, "labels": labels}).drop("_ids", "_parts", "_first")
 
 
+def mask_text_responses(
+    df: DataFrame, col: str, instruction: str, response: str, tokenizer: Tokenizer | None = None
+) -> DataFrame:
+    """Ids of a rendered chat text, and labels that are -100 outside the answers.
+
+    An answer begins after a ``response`` marker and ends before the next ``instruction`` marker or
+    with the text. A text without a response marker is masked whole. The parts between are tokenised
+    one by one.
+    """
+    tokenizer = tokenizer or hash_tokenizer()
+    turns = F.split(F.col(col), re.escape(response), -1)
+    # Of each turn, the answer and what comes after it up to the end of the next response marker.
+    texts = F.flatten(
+        F.transform(
+            turns,
+            lambda turn, i: F.array(
+                F.when(i == 0, "").otherwise(F.substring_index(turn, instruction, 1)),
+                F.concat(
+                    F.when(i == 0, turn).otherwise(
+                        F.substring(turn, F.length(F.substring_index(turn, instruction, 1)) + 1, F.length(turn))
+                    ),
+                    F.when(i < F.array_size(turns) - 1, response).otherwise(""),
+                ),
+            ),
+        )
+    )
+    masked = F.transform(
+        F.col("_ids"), lambda ids, i: F.when(i % 2 == 0, ids).otherwise(_repeat(constants.IGNORE_INDEX, F.array_size(ids)))
+    )
+    rows = df.withColumn("_ids", tokenizer.encode(texts))
+    return rows.withColumns({"input_ids": F.flatten("_ids"), "labels": F.flatten(masked)}).drop("_ids")
+
+
 def pack_sequences(
     df: DataFrame,
     block: int,
@@ -144,8 +188,11 @@ def pack_sequences(
     ids: str = "input_ids",
     eos_id: int | None = None,
     rows_per_range: int | None = None,
+    drop_tail: bool = True,
 ) -> DataFrame:
-    """Put all token arrays end to end and cut them into blocks; the short tail goes.
+    """Put all token arrays end to end and cut them into blocks; the short tail goes unless kept.
+
+    Keys and ids are first written to the shared folder, so that no text is tokenised twice.
 
     Each row's place is the running total of lengths before it. A row is sliced into the pieces
     that fall into each block, never into single tokens, and a block collects at most ``block``
@@ -157,7 +204,8 @@ def pack_sequences(
     block = int(block)
     tokens = F.col(ids) if eos_id is None else F.concat(ids, F.array(F.lit(eos_id)))
     narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], tokens.alias("_ids"))
-    length = F.coalesce(F.size("_ids"), F.lit(0))
+    narrow = order.written(narrow, "tokens")
+    length = F.coalesce(F.array_size("_ids"), F.lit(0))
     ranges = order.plan_ranges(
         narrow, [f"_k{i}" for i in range(len(keys))], value=length, rows_per_range=rows_per_range
     )
@@ -166,13 +214,15 @@ def pack_sequences(
         .filter(length > 0)
         .withColumns(
             {
-                "_end": F.col("_start") + F.size("_ids"),
+                "_end": F.col("_start") + F.array_size("_ids"),
                 "_first": F.expr(f"_start div {block}"),
-                "_last": F.expr(f"(_start + size(_ids) - 1) div {block}"),
+                "_last": F.expr(f"(_start + array_size(_ids) - 1) div {block}"),
             }
         )
     )
 
+    tail = ranges.total // block  # the block that may be short
+
     def piece(b: Column) -> Column:
         start = F.greatest(F.col("_start"), b * block)
         offset = start - F.col("_start")
@@ -185,12 +235,12 @@ def pack_sequences(
         joined = F.flatten(F.transform(F.sort_array("pieces"), lambda p: p["part"]))
         return (
             pieces.groupBy(*groups, "block")
-            .agg(F.collect_list("piece").alias("pieces"), F.sum(F.size("piece.part")).alias("n"))
-            .filter(F.col("n") == block)
+            .agg(F.collect_list("piece").alias("pieces"), F.sum(F.array_size("piece.part")).alias("n"))
+            .filter((F.col("n") == block) | ((F.col("block") == tail) & F.lit(not drop_tail)))
             .select("block", joined.alias("input_ids"))
         )
 
-    inside = blocks(placed, F.sequence("_first", "_last"), "_range")
+    inside = blocks(placed, F.sequence("_first", "_last"), order.RANGE)
     if not ranges.cuts:
         return inside
 
@@ -223,8 +273,8 @@ def pad_to_batch_max(
     rows = order.number_rows(df, ranges, "rn").withColumn(
         "batch_id", F.expr(f"rn div {int(batch_size)}")
     )
-    length = F.size(ids)
-    batch = Window.partitionBy("_range", "batch_id")
+    length = F.array_size(ids)
+    batch = Window.partitionBy(order.RANGE, "batch_id")
     rows = rows.withColumn("_gap", F.max(length).over(batch) - length)
     columns = {
         ids: F.concat(ids, _repeat(pad_id, F.col("_gap"))),
@@ -232,4 +282,4 @@ def pad_to_batch_max(
     }
     if labels is not None:
         columns[labels] = F.concat(labels, _repeat(constants.IGNORE_INDEX, F.col("_gap")))
-    return rows.withColumns(columns).drop("_gap", "_range")
+    return rows.withColumns(columns).drop("_gap", order.RANGE)

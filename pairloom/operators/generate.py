@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import schemas
+from pairloom.operators.order import written
 
 # A generator takes a list of texts and gives as many results.
 Generator = Callable[[list], list]
@@ -90,12 +91,13 @@ def fan_out_models(
 ) -> DataFrame:
     """The same rows through each model: (model, input, result).
 
-    Every model has its own branch of the plan, so a task only ever loads one model and no row is
-    shuffled to meet it. Each entry of ``models`` has a 'model' name and is merged into the params.
+    The rows are written to the shared folder once. Every model then has its own branch of the plan, so
+    a task only ever loads one model and no row is shuffled to meet it. Each entry of ``models`` has a 'model' name and is merged into the params.
     ``prompt_of(df, model)`` may add a 'prompt' column that fits the model.
     """
     if not models:
         raise ValueError("no model given")
+    df = written(df, "prompts") if len(models) > 1 else df
     result = None
     for model in models:
         rows = df if prompt_of is None else prompt_of(df, model)

@@ -29,3 +29,28 @@ def pair_quality(
             ),
         )
     )
+
+
+def filter_pairs(
+    df: DataFrame,
+    min_score: float = 0.5,
+    min_chars: int = 1,
+    max_ratio: float = 3.0,
+    source: str = "en",
+    target: str = "ko",
+    script: str = "[가-힣]",
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs worth keeping, and the others with the first ``reason`` that applies.
+
+    Reasons: empty, copy, too_short, length_ratio, low_score. The measures of ``pair_quality`` stay.
+    """
+    scored = pair_quality(df, source, target, script)
+    ratio = F.col("len_ratio")
+    reason = (
+        F.when(F.col("is_empty"), "empty")
+        .when(F.col("is_copy"), "copy")
+        .when(F.least(F.length(source), F.length(target)) < min_chars, "too_short")
+        .when((ratio > max_ratio) | (ratio * max_ratio < 1), "length_ratio")
+        .when(F.col("score") < min_score, "low_score")
+    )
+    return scored.filter(reason.isNull()), scored.withColumn("reason", reason).filter(reason.isNotNull())

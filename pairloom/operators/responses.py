@@ -10,53 +10,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom import constants, schemas
+from pairloom.functions.json import single_json
 from pairloom.functions.rows import once
 from pairloom.operators.combine import dedup_pairs
 
-# The JSON reader would otherwise take 'single quoted' text, which is not JSON.
-_STRICT = {"allowSingleQuotes": "false"}
-
-
-def _parsed(text: Column, schema: T.StructType) -> Column:
-    """The text inside brackets as an array of objects; null when that is not JSON.
-
-    ``from_json`` on its own stops after the first value and ignores what follows. Inside brackets,
-    following text makes the array wrong or longer than one.
-    """
-    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema), _STRICT)
-
-
-def _closed(text: Column) -> Column:
-    """Whether the text also stands as the value of an object: rules out a closing bracket that
-    would end the array of ``_parsed`` early."""
-    return F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-
-
-def _only(items: Column, closed: Column) -> Column:
-    return F.when((F.size(items) == 1) & closed, F.get(items, F.lit(0)))
-
-
 def parse_responses(
-    df: DataFrame, langs: Sequence[str] = ("en", "ko"), raw: str = "value", strict: bool = True
+    df: DataFrame, langs: Sequence[str] = ("en", "ko"), raw: str = "value"
 ) -> DataFrame:
     """Both JSON levels of each response line.
 
     Gives custom_id, task_idx, one sentences_ array and one n_ count per language, error (null when
     good) and the raw line. Errors, the first that applies: bad_json, bad_custom_id, no_choice,
-    bad_inner_json, missing_key, not_array. ``strict=False`` skips the check for closing brackets
-    after the JSON and so saves one pass over each text.
+    bad_inner_json, missing_key, not_array. A good line takes two passes, one per JSON level; only
+    where an array is missing are the keys looked at too.
     """
     names = [f"sentences_{lang}" for lang in langs]
-
-    def closed(text: str) -> Column:
-        return _closed(F.col(text)) if strict else F.lit(True)
-
     lines = df.select(F.col(raw).alias("raw"))
-    outer = once(lines, ["raw"], _items=_parsed(F.col("raw"), schemas.RESPONSE), _closed=closed("raw"))
-    outer = outer.select("raw", _only(F.col("_items"), F.col("_closed")).alias("_outer"))
+    outer = once(lines, ["raw"], _outer=single_json(F.col("raw"), schemas.RESPONSE))
     choice = F.get(F.col("_outer.response.body.choices"), F.lit(0))
     outer = outer.select(
         "raw",
@@ -68,14 +40,21 @@ def parse_responses(
     inner = once(
         outer,
         ["raw", "_good_json", "custom_id", "task_idx", "_content"],
-        _items=_parsed(F.col("_content"), schemas.sentences(langs)),
-        _closed=closed("_content"),
-        _keys=F.json_object_keys("_content"),
-    ).withColumn("_inner", _only(F.col("_items"), F.col("_closed")))
+        _inner=single_json(F.col("_content"), schemas.sentences(langs)),
+    )
+    without = F.lit(False)
+    for name in names:
+        without = without | F.col(f"_inner.{name}").isNull()
+    inner = once(
+        inner,
+        ["raw", "_good_json", "custom_id", "task_idx", "_content", "_inner"],
+        _keys=F.when(F.col("_inner").isNotNull() & without, F.json_object_keys("_content")),
+    )
     absent, not_array = F.lit(False), F.lit(False)
     for name in names:
-        absent = absent | ~F.coalesce(F.array_contains("_keys", name), F.lit(False))
-        not_array = not_array | F.col(f"_inner.{name}").isNull()
+        missing = F.col(f"_inner.{name}").isNull()
+        absent = absent | (missing & ~F.coalesce(F.array_contains("_keys", name), F.lit(False)))
+        not_array = not_array | missing
     error = (
         F.when(~F.col("_good_json"), "bad_json")
         .when(F.col("task_idx").isNull(), "bad_custom_id")
@@ -91,7 +70,7 @@ def parse_responses(
         "task_idx",
         *[F.when(good, F.col(f"_inner.{name}")).alias(name) for name in names],
         *[
-            F.when(good, F.size(f"_inner.{name}")).cast("bigint").alias(f"n_{lang}")
+            F.when(good, F.array_size(f"_inner.{name}")).cast("bigint").alias(f"n_{lang}")
             for name, lang in zip(names, langs)
         ],
         "error",
@@ -101,7 +80,7 @@ def parse_responses(
 
 def _zip_shortest(columns: dict[str, str]) -> Column:
     """Array of structs, as long as the shortest of the arrays (field name -> array column)."""
-    lengths = [F.size(c) for c in columns.values()]
+    lengths = [F.array_size(c) for c in columns.values()]
     shortest = F.least(*lengths) if len(lengths) > 1 else lengths[0]
     cut = [F.slice(c, F.lit(1), shortest).alias(n) for n, c in columns.items()]
     return F.arrays_zip(*cut)
@@ -141,10 +120,10 @@ def first_seen(task_idx: str = "task_idx", pos: str = "pos") -> Column:
 
 
 def build_pairs(
-    df: DataFrame, raw: str = "value", strict: bool = True, keep_order: bool = False
+    df: DataFrame, raw: str = "value", keep_order: bool = False
 ) -> DataFrame:
     """Response lines to distinct (en, ko) pairs; ``keep_order`` adds the first-seen order."""
-    pairs = explode_pairs(parse_responses(df, raw=raw, strict=strict))
+    pairs = explode_pairs(parse_responses(df, raw=raw))
     ordered = pairs.select("en", "ko", first_seen().alias("first_seen"))
     unique = dedup_pairs(ordered, ["en", "ko"], "first_seen")
     return unique if keep_order else unique.select("en", "ko")

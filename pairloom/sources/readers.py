@@ -2,72 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.json import STRICT, single_json
 from pairloom.functions.rows import once
 from pairloom.functions.text import strip
+from pairloom.operators.order import written
 
-# Offsets of up to this many file splits are broadcast; more are joined by a shuffle.
-BROADCAST_SPLITS = 100_000
-
-
-def _pin_splits(spark: SparkSession) -> None:
-    """Keep the cutting of files into splits the same for all reads of this session.
-
-    Split size otherwise follows the number of cores, which changes as executors come and go, and
-    two reads of one file could then disagree about its splits.
-    """
-    setting = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(setting, None) is None:
-        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+# Rows of one broadcast table of file splits: 32 bytes each. More splits take more such tables.
+SPLITS_PER_TABLE = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines in file order with a line number from 0, stripped; blank lines stay.
 
-    Several files follow each other by path. Numbering needs no sort: a line's place inside its file
-    split comes from the scan, and one small aggregation gives the lines before each split.
+    Several files follow each other by path. Numbering needs no sort and no shuffle of text: a line's
+    place inside its file split comes from the scan, and one small aggregation gives the lines before
+    each split. One task sorts one row per split; the splits are then looked up by a 64-bit hash in
+    broadcast tables of bounded size, as many as it takes.
+
+    Lines are numbered as the plan is built, and again when it runs. If the files are cut or packed
+    into tasks otherwise by then, as when ``spark.sql.files.*`` settings or the number of cores have
+    changed, every line that would get another number raises. Pin ``spark.sql.files.minPartitionNum``
+    where executors come and go.
     """
-    _pin_splits(spark)
     scan = spark.read.text(path).select(
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
-    splits = (
-        scan.groupBy("_file", "_block")
-        .agg(F.count("*").alias("n"), F.min("_id").alias("first"))
-        # One row per file split, a list the driver holds anyway to schedule the scan.
-        .collect()
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(
+        scan.groupBy("_split", "_file", "_block")
+        .agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        .select("_split", "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
+        "splits",
     )
-    offsets, before = [], 0
-    for split in sorted(splits, key=lambda s: (s._file, s._block)):
-        offsets.append((split._file, split._block, before - split.first))
-        before += split.n
-    if not offsets:
-        return scan.select(F.lit(0).cast("bigint").alias("line_no"), F.col("value").alias("line"))
-    table = spark.createDataFrame(offsets, "_file string, _block bigint, _shift bigint")
-    if len(offsets) <= BROADCAST_SPLITS:
-        table = F.broadcast(table)
-    shift = F.coalesce("_shift", F.raise_error(F.lit("file splits changed between two reads")).cast("bigint"))
-    return scan.join(table, ["_file", "_block"], "left").select(
-        (F.col("_id") + shift).alias("line_no"), strip("value").alias("line")
+    counted = splits.agg(F.count("*").alias("n"), F.count_distinct("_split").alias("different")).first()
+    if counted.n != counted.different:
+        raise ValueError("two file splits have one hash; read the files in two parts")
+    changed = F.raise_error(F.lit("file splits changed between two reads")).cast("bigint")
+    shift = F.lit(None).cast("bigint")
+    lines = scan.drop("_file", "_block")
+    for i in range(tables := max(1, -(-counted.n // SPLITS_PER_TABLE))):
+        part = splits.filter(F.pmod("_split", F.lit(tables)) == i).select(
+            F.col("_split").alias(f"_s{i}"),
+            F.struct("_first", "_n", (F.col("_before") - F.col("_first")).alias("shift")).alias(f"_t{i}"),
+        )
+        lines = lines.join(F.broadcast(part), F.col("_split") == F.col(f"_s{i}"), "left")
+        found = F.col(f"_t{i}")
+        # A split's lines have consecutive ids; if they moved, some lie outside the place they had.
+        inside = (F.col("_id") >= found["_first"]) & (F.col("_id") < found["_first"] + found["_n"])
+        shift = F.coalesce(shift, F.when(inside, found["shift"]))
+    return lines.select(
+        (F.col("_id") + F.coalesce(shift, changed)).alias("line_no"), strip("value").alias("line")
     )
 
 
-def read_csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_text(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
     """Headed CSV whose cells may hold quotes, commas and line breaks.
 
     Such a file cannot be split, so one file is one task: keep files small, as ``write_csv_text``
-    does. An empty cell is null, quoted or not; any other text, 'None' or 'NA' too, is data.
+    does. For files that are known to have no line break inside a cell, ``multi_line=False`` lets
+    large ones be split. An empty cell is null, quoted or not; any other text, 'None' or 'NA' too, is
+    data.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -79,11 +88,21 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def read_jsonl(
     spark: SparkSession, path: str, schema: T.StructType, corrupt: str = "_corrupt"
 ) -> DataFrame:
-    """One JSON object per line. The raw line stays as ``value``; a bad line is kept in ``corrupt``."""
+    """One JSON object per line. The raw line stays as ``value``; a bad line is kept in ``corrupt``.
+
+    A line is bad if it is not exactly one JSON object, or if a value does not fit the schema. Its
+    fields are null.
+    """
     with_corrupt = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": corrupt})
-    rows = once(spark.read.text(path), ["value"], _r=parsed)
-    return rows.select("value", "_r.*")
+    parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": corrupt, **STRICT})
+    alone = single_json(F.col("value"), T.StructType([])).isNotNull()
+    rows = once(spark.read.text(path), ["value"], _r=parsed, _alone=alone)
+    good = F.col("_alone") & F.col(f"_r.`{corrupt}`").isNull()
+    return rows.select(
+        "value",
+        *[F.when(good, F.col(f"_r.`{f.name}`")).alias(f.name) for f in schema.fields],
+        F.when(~good, F.col("value")).alias(corrupt),
+    )
 
 
 def load_split(spark: SparkSession, base: str, name: str, split: str = "train") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +14,7 @@ from pairloom.operators import responses
 # Below this many new pairs, their digests are broadcast to look them up in what is written.
 BROADCAST_DIGESTS = 500_000
 
-_PAIRS = "en string, ko string, digest binary, batch_id bigint"
+_PAIRS = "en string, ko string, digest binary, query string, batch_id bigint"
 
 
 def pair_digest():
@@ -19,28 +22,42 @@ def pair_digest():
     return F.unhex(F.sha2(F.to_json(F.struct("en", "ko")), 256))
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that is kept beside a checkpoint; a new checkpoint gets a new one."""
+    path = f"{checkpoint}/pairloom_id"
+    try:
+        return spark.read.text(path).first().value
+    except AnalysisException:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").write.text(path)
+        return spark.read.text(path).first().value
+
+
 def ingest_responses_stream(
     spark: SparkSession,
     in_dir: str,
     out_dir: str,
     checkpoint: str,
-    strict: bool = True,
     files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Pick up response files as they land; append new pairs and quarantined lines.
 
     Handles everything that is there and then stops (``availableNow``); run it again for later
-    files. Pairs go to ``out_dir/pairs/batch_id=<n>``, bad lines to ``out_dir/quarantine/batch_id=<n>``.
-    A replayed batch overwrites its own folders and ignores them when it looks for known pairs, so
-    the result is the same.
+    files. Pairs go to ``out_dir/pairs/query=<id>/batch_id=<n>``, bad lines to a like folder below
+    ``quarantine``. The id belongs to the checkpoint folder: a replayed batch overwrites its own folders
+    and ignores them when it looks for known pairs, so the result is the same, and a run with a new
+    checkpoint adds to what is there.
+
+    A batch scans the digests of all pairs written so far, one narrow column.
     """
+    query = _query_id(spark, checkpoint)
     pairs_dir, bad_dir = f"{out_dir}/pairs", f"{out_dir}/quarantine"
     # An empty write creates the folder, so that the first batch can read it.
     spark.createDataFrame([], _PAIRS).write.mode("append").parquet(pairs_dir)
 
     def handle(lines: DataFrame, batch_id: int) -> None:
         session = lines.sparkSession
-        parsed = responses.parse_responses(lines, strict=strict).persist()
+        own = f"query={query}/batch_id={batch_id}"
+        parsed = responses.parse_responses(lines).persist()
         # Copies inside the batch fold before the shuffle.
         new = (
             responses.explode_pairs(parsed)
@@ -49,25 +66,23 @@ def ingest_responses_stream(
             .withColumn("digest", pair_digest())
             .persist()
         )
-        written = (
-            session.read.schema(_PAIRS)
-            .parquet(pairs_dir)
-            .filter(F.col("batch_id") < batch_id)
-            .select("digest")
-        )
-        digests = new.select("digest")
-        if new.count() <= BROADCAST_DIGESTS:
-            # The written table is then only scanned, on its digest column, not shuffled.
-            digests = F.broadcast(digests)
-        known = written.join(digests, "digest", "left_semi")
-        new.join(known, "digest", "left_anti").write.mode("overwrite").parquet(
-            f"{pairs_dir}/batch_id={batch_id}"
-        )
-        responses.quarantine(parsed).write.mode("overwrite").parquet(
-            f"{bad_dir}/batch_id={batch_id}"
-        )
-        new.unpersist()
-        parsed.unpersist()
+        try:
+            written = (
+                session.read.schema(_PAIRS)
+                .parquet(pairs_dir)
+                .filter((F.col("query") != query) | (F.col("batch_id") != batch_id))
+                .select("digest")
+            )
+            digests = new.select("digest")
+            if new.count() <= BROADCAST_DIGESTS:
+                # The written table is then only scanned, on its digest column, not shuffled.
+                digests = F.broadcast(digests)
+            known = written.join(digests, "digest", "left_semi")
+            new.join(known, "digest", "left_anti").write.mode("overwrite").parquet(f"{pairs_dir}/{own}")
+            responses.quarantine(parsed).write.mode("overwrite").parquet(f"{bad_dir}/{own}")
+        finally:
+            new.unpersist()
+            parsed.unpersist()
 
     stream = spark.readStream.schema("value string")
     if files_per_trigger:
@@ -89,7 +104,7 @@ def read_pairs(spark: SparkSession, out_dir: str) -> DataFrame:
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     """All lines that the stream has set aside, with the reason."""
     return (
-        spark.read.schema("raw string, reason string, batch_id bigint")
+        spark.read.schema("raw string, reason string, query string, batch_id bigint")
         .parquet(f"{out_dir}/quarantine")
         .select("raw", "reason")
     )
