@@ -30,6 +30,19 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_lines(lines_of(spark, sf_dir, "en"), lines_of(spark, sf_dir, "fr"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the next one: (line_no, en, ko). Every document is in some pair."""
+    return counted_pairs(spark, sf_dir)[0]
+
+
+def counted_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The pairs and how many they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
+    lines, n = order.indexed(docs, "doc_id", "line_no")
+    lines = lines.select("line_no", "line")
+    return align_lines(lines, lines.select((F.col("line_no") - 1).alias("line_no"), "line")), max(0, n - 1)
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the assistant turn that follows at once."""
     turns = table(spark, sf_dir, "conversations")

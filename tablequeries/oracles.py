@@ -39,6 +39,11 @@ aligned AS (
     JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, text AS ko FROM documents WHERE lang = 'fr') f
     USING (line_no))"""
 
+PAIRS = """
+aligned AS (
+  SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, text AS en,
+    lead(text) OVER (ORDER BY doc_id) AS ko FROM documents) WHERE ko IS NOT NULL)"""
+
 EXAMPLES = """
 examples AS (
   SELECT u.conv_id, u.turn, u.text AS input_text, a.text AS output_text
@@ -166,13 +171,16 @@ ORACLES: dict[str, str] = {
     "align_lines": f"WITH {ALIGNED} SELECT line_no, en, ko FROM aligned",
     "read_csv_text": "SELECT page_id, url, html FROM pages",
     "write_csv_text": "SELECT text AS english FROM documents",
-    "read_jsonl": "SELECT conv_id, turn, role, text, NULL::varchar AS _corrupt FROM conversations",
-    "write_jsonl": f"WITH {BATCHES} SELECT 'task-' || batch_id AS custom_id, 'POST' AS method, 0.7::double AS temperature, content FROM batches",
-    "save_split": """SELECT doc_id, text FROM (SELECT doc_id, text,
-        row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)
-      WHERE r <= (SELECT ceil(0.1 * count(*)) FROM documents)""",
+    "read_jsonl": """SELECT conv_id, turn, role, text, NULL::varchar AS _corrupt FROM conversations
+      UNION ALL SELECT NULL, NULL, NULL, NULL,
+        '{"conv_id":' || doc_id || ['} ' || lang, '}}', ',}', ']'][doc_id % 4 + 1] FROM documents""",
+    "write_jsonl": f"""WITH {BATCHES} SELECT 'task-' || batch_id AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url,
+        'gpt-4o-mini' AS model, 0.7::double AS temperature, 'json_object' AS format, 2::bigint AS n_messages,
+        'system' AS system_role, {q(constants.TRANSLATION_SYSTEM_PROMPT_KO)} AS system, 'user' AS user_role, content FROM batches""",
+    "save_split": """SELECT doc_id, text, CASE WHEN r <= (SELECT ceil(0.1 * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split
+      FROM (SELECT doc_id, text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)""",
     "load_split": "SELECT page_id, url, html FROM pages",
-    "read_documents": "SELECT text || chr(10) AS text FROM benchmark",
+    "read_documents": "SELECT text || chr(10) AS text, true AS has_path FROM benchmark",
     "strip": "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents",
     "min_length": "SELECT doc_id, text FROM documents WHERE length(text) >= 100",
     "project_text": "SELECT page_id, html AS text FROM pages",
@@ -206,17 +214,17 @@ ORACLES: dict[str, str] = {
         "20",
     ),
     "concat_corpora": """SELECT row_number() OVER (ORDER BY source_ord, pos) - 1 AS rn, source_ord, pos, english FROM (
-        SELECT CASE lang WHEN 'en' THEN 0 ELSE 1 END::integer AS source_ord,
+        SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::integer AS source_ord,
           row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, text AS english
-        FROM documents WHERE lang IN ('en', 'fr'))""",
+        FROM documents WHERE lang IN ('en', 'fr', 'de', 'es'))""",
     "mix_corpora": f"""SELECT row_number() OVER (ORDER BY source_ord, pos) - 1 AS rn, source_ord, pos, text FROM (
         (SELECT 0::integer AS source_ord, row_number() OVER (ORDER BY doc_id) - 1 AS pos, text
           FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 300)
         UNION ALL (SELECT 1, row_number() OVER (ORDER BY page_id) - 1, html FROM pages ORDER BY page_id LIMIT 100)
         UNION ALL (SELECT 2, row_number() OVER (ORDER BY item_id) - 1, text FROM benchmark)
-        UNION ALL (SELECT 3, row_number() OVER (ORDER BY conv_id, turn) - 1, text FROM conversations WHERE role = 'user')
+        UNION ALL (SELECT 3, row_number() OVER (ORDER BY conv_id, turn) - 1, text FROM conversations)
         UNION ALL (SELECT 4, row_number() OVER (ORDER BY h, doc_id) - 1, text
-          FROM ({hashed('doc_id, text', 'doc_id', 'documents', "lang = 'de'")}) ORDER BY h, doc_id LIMIT 50))""",
+          FROM ({hashed('doc_id, text', 'doc_id', 'documents', "lang <> 'en'")}) ORDER BY h, doc_id LIMIT 50))""",
     "dedup_pairs": "SELECT lang, text, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
     "dense_index": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS rn FROM documents",
     "prefix_sum": """SELECT doc_id, n_chars, (coalesce(sum(n_chars) OVER (ORDER BY doc_id
@@ -227,10 +235,10 @@ ORACLES: dict[str, str] = {
       SELECT 'task-' || batch_id AS custom_id, {request_json('content', constants.TRANSLATION_SYSTEM_PROMPT_KO)} AS request FROM batches""",
     "combined_requests": f"""WITH chosen AS (
         SELECT * FROM (SELECT 0 AS source_ord, doc_id, text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r
-          FROM documents WHERE lang = 'en' AND length(text) >= 100) WHERE r <= 20
+          FROM documents WHERE lang = 'en' AND length(text) >= 100) WHERE r <= (SELECT count(*) // 5 FROM documents)
         UNION ALL
         SELECT * FROM (SELECT 1 AS source_ord, doc_id, text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r
-          FROM documents WHERE lang = 'fr' AND length(text) >= 30) WHERE r <= 20),
+          FROM documents WHERE lang <> 'en' AND length(text) >= 30) WHERE r <= (SELECT count(*) // 5 FROM documents)),
       batches AS (SELECT rn // 10 AS batch_id, string_agg(text, chr(10) ORDER BY rn) AS content
         FROM (SELECT text, row_number() OVER (ORDER BY source_ord, doc_id) - 1 AS rn FROM chosen) GROUP BY 1)
       SELECT 'task-' || batch_id AS custom_id, {request_json('content', constants.TRANSLATION_SYSTEM_PROMPT_MULTI)} AS request FROM batches""",
@@ -261,12 +269,12 @@ ORACLES: dict[str, str] = {
     "explode_multilingual": f"""WITH {TASKS} SELECT b AS task_idx, pos, lang, text AS source, lang || ':' || text AS target
       FROM tasks, (VALUES ('ko'), ('sp'), ('fr'), ('ja')) l(lang)
       WHERE NOT broken AND (NOT shorter OR pos < last_pos)""",
-    "bidirectional_examples": f"""WITH {ALIGNED}
+    "bidirectional_examples": f"""WITH {PAIRS}
       SELECT line_no, en AS input_text, ko AS output_text, 'en-ko' AS direction FROM aligned
       UNION ALL SELECT line_no, ko, en, 'ko-en' FROM aligned""",
-    "format_prompt": f"WITH {ALIGNED} SELECT line_no, {PROMPT} AS text FROM aligned",
+    "format_prompt": f"WITH {PAIRS} SELECT line_no, {PROMPT} AS text FROM aligned",
     "prompt_only": f"SELECT doc_id, {q(PROMPT_HEAD)} || text || {q(PROMPT_MIDDLE)} AS text FROM documents",
-    "append_eos": f"WITH {ALIGNED} SELECT line_no, {PROMPT} || '<|end_of_text|>' AS text FROM aligned",
+    "append_eos": f"WITH {PAIRS} SELECT line_no, {PROMPT} || '<|end_of_text|>' AS text FROM aligned",
     "extract_answer": f"""SELECT doc_id, string_split({q(PROMPT_HEAD)} || text || {q(PROMPT_MIDDLE)},
         {q(constants.ANSWER_MARKER)})[-1] AS text FROM documents""",
     "build_messages": f"""WITH {EXAMPLES} SELECT conv_id, turn, to_json([
@@ -284,20 +292,24 @@ ORACLES: dict[str, str] = {
     "tokenize": f"""SELECT doc_id, array_to_string({words('text')}, '|') AS words, len({words('text')}) + 2 AS n_tokens,
         {text_of('[2] || ' + lengths('text') + ' || [1]')} AS input_ids FROM documents""",
     "hash_tokens": f"SELECT doc_id, len({words('text')}) AS n_tokens FROM documents",
+    "md5_tokens": f"""SELECT doc_id, {text_of("list_transform(" + words('text') + ", lambda w: " + " + ".join(
+        f"(strpos('0123456789abcdef', substr(md5(w), {i}, 1)) - 1) * {16 ** (4 - i)}" for i in range(1, 5)) + ")")} AS input_ids FROM documents""",
+    "truncate_before_end": f"""WITH t AS (SELECT doc_id, [2] || {lengths('text')} || [1] AS ids FROM documents)
+      SELECT doc_id, {text_of("CASE WHEN len(ids) > 128 THEN list_slice(ids, 1, 127) || [1] ELSE ids || " + repeat(0, '128 - len(ids)') + " END")} AS input_ids FROM t""",
     "pad_truncate": f"""WITH t AS (SELECT doc_id, {lengths('text')} AS ids FROM documents)
       SELECT doc_id, {text_of('list_slice(ids, 1, 128) || ' + repeat(0, '128 - len(ids)'))} AS input_ids,
         {text_of(repeat(1, 'least(len(ids), 128)') + ' || ' + repeat(0, '128 - len(ids)'))} AS attention_mask FROM t""",
-    "mask_prompt": f"""WITH {causal(ALIGNED + ', pairs_ AS (SELECT * FROM aligned)', 512)}
+    "mask_prompt": f"""WITH {causal(PAIRS + ', pairs_ AS (SELECT * FROM aligned)', 512)}
       SELECT line_no, {text_of('ids')} AS input_ids,
         {text_of(repeat(1, 'n') + ' || ' + repeat(0, '512 - n'))} AS attention_mask, {text_of(_LABELS)} AS labels FROM padded""",
-    "causal_datasets": f"""WITH {causal(ALIGNED + ''', pairs_ AS (SELECT * FROM aligned ORDER BY line_no LIMIT 30)''', 256)}
+    "causal_datasets": f"""WITH {causal(PAIRS + ''', pairs_ AS (SELECT * FROM aligned ORDER BY line_no LIMIT (SELECT (count(*) - 1) // 2 FROM documents))''', 256)}
       SELECT line_no, {text_of(_LABELS)} AS ids,
-        CASE WHEN row_number() OVER (ORDER BY md5('42:' || line_no), line_no) <= 5 THEN 'test' ELSE 'train' END AS split FROM padded""",
+        CASE WHEN row_number() OVER (ORDER BY md5('42:' || line_no), line_no) <= (SELECT count(*) // 20 FROM documents) THEN 'test' ELSE 'train' END AS split FROM padded""",
     "mask_responses_only": f"""WITH {EXAMPLES}, {masked_chat('qwen2.5', 'conv_id, turn')}
       SELECT conv_id, turn, {text_of('ids')} AS input_ids, {text_of('labels')} AS labels FROM chat""",
     "pack_sequences": packed(f"rows_ AS (SELECT doc_id AS k, {lengths('text')} AS ids FROM documents)", 2048),
     "packed_blocks": packed(
-        f"{ALIGNED}, rows_ AS (SELECT line_no AS k, {lengths('(' + PROMPT + chr(32) + '||' + chr(32) + q('<|end_of_text|>') + ')')} AS ids FROM aligned)",
+        f"{PAIRS}, rows_ AS (SELECT line_no AS k, {lengths('(' + PROMPT + chr(32) + '||' + chr(32) + q('<|end_of_text|>') + ')')} AS ids FROM aligned)",
         512,
     ),
     "pad_to_batch_max": f"""WITH t AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id, {lengths('text')} AS ids FROM documents),
@@ -311,13 +323,38 @@ ORACLES: dict[str, str] = {
       w AS (SELECT *, max(len(labels)) OVER (PARTITION BY batch_id) AS w FROM cut)
       SELECT conv_id, turn, batch_id, {text_of('labels || ' + repeat(-100, 'w - len(labels)'))} AS labels FROM w""",
     "batch_generate": "SELECT text AS input, 'echo: ' || text AS result FROM documents",
-    "map_batches": "SELECT doc_id, length(text) AS n FROM documents",
-    "pair_quality": f"""WITH {ALIGNED}, m AS (
+    "map_batches": "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: w = reverse(w))) AS n FROM documents",
+    "pair_quality": f"""WITH {PAIRS}, m AS (
         SELECT line_no, en, ko, length(en) AS a, length(ko) AS b, len(regexp_extract_all(ko, '[a-z]')) AS s FROM aligned),
       r AS (SELECT line_no, CASE WHEN a > 0 THEN b / a END AS len_ratio, a = 0 OR b = 0 AS is_empty, en = ko AS is_copy,
         CASE WHEN b > 0 THEN s / b ELSE 0.0 END AS share, least(a, b) / greatest(a, b) AS balance FROM m)
       SELECT line_no, round(len_ratio, 6) AS len_ratio, is_empty, is_copy, round(share, 6) AS target_script_share,
         round(CASE WHEN is_empty OR is_copy THEN 0.0 ELSE (balance + share) / 2 END, 6) AS score FROM r""",
+    "filter_pairs": f"""WITH {PAIRS}, m AS (
+        SELECT line_no, en, ko, length(en) AS a, length(ko) AS b, len(regexp_extract_all(ko, '[a-z]')) AS s FROM aligned)
+      SELECT line_no, CASE WHEN a = 0 OR b = 0 THEN 'empty' WHEN en = ko THEN 'copy' WHEN least(a, b) < 30 THEN 'too_short'
+          WHEN b / a > 3 OR b / a * 3 < 1 THEN 'length_ratio'
+          WHEN (least(a, b) / greatest(a, b) + s / b) / 2 < 0.7 THEN 'low_score' END AS reason FROM m""",
+    "aligned_pairs": r"""WITH lines AS (SELECT doc_id, row_number() OVER (PARTITION BY side ORDER BY doc_id, i) - 1 AS line_no, side,
+        regexp_replace(line, '^\s+|\s+$', '', 'g') AS line
+      FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'ko' END AS side, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
+      SELECT min(line_no) AS line_no, e.line AS en, k.line AS ko FROM lines e JOIN lines k USING (line_no)
+      WHERE e.side = 'en' AND k.side = 'ko' GROUP BY e.line, k.line""",
+    "publish_pairs": f"""WITH {TASKS} SELECT text AS en, 'ko:' || text AS ko, 'pair' AS kind, count(*) * 0 + 1 AS n
+      FROM tasks WHERE NOT broken AND (NOT shorter OR pos < last_pos) GROUP BY text
+      UNION ALL SELECT NULL, {REASONS}, 'bad', count(DISTINCT b) FROM tasks WHERE broken GROUP BY 2""",
+    "split_published": f"""WITH {PAIRS}, pairs AS (SELECT DISTINCT en, ko FROM aligned),
+      ranked AS (SELECT en, ko, row_number() OVER (ORDER BY md5('42:' || md5(en) || ':' || md5(ko))) AS r FROM pairs)
+      SELECT en, ko, CASE WHEN r <= (SELECT ceil(0.1 * count(*)) FROM pairs) THEN 'test' ELSE 'train' END AS split FROM ranked""",
+    "limited_requests": f"""WITH batches AS (SELECT rn // 10 AS batch_id, string_agg(text, chr(10) ORDER BY rn) AS content
+        FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)
+        WHERE rn < (SELECT count(*) // 2 FROM documents) GROUP BY 1)
+      SELECT 'task-' || batch_id AS custom_id, {request_json('content', constants.TRANSLATION_SYSTEM_PROMPT_KO)} AS request FROM batches""",
+    "chat_texts": f"WITH {EXAMPLES} SELECT conv_id, turn, {chat_text('llama-3.1')} AS text FROM examples",
+    "mask_text_responses": f"""WITH t AS (SELECT conv_id, turn, [{lengths("('Q: ' || text || ' A:')")}, {lengths("(' ' || text || ' ')")}, {lengths("'Q: more A:'")}, {lengths("' yes'")}] AS p FROM conversations)
+      SELECT conv_id, turn, {text_of('flatten(p)')} AS input_ids,
+        {text_of(repeat(-100, 'len(p[1])') + ' || p[2] || ' + repeat(-100, 'len(p[3])') + ' || p[4]')} AS labels FROM t""",
     "ingest_responses_stream": f"""WITH {TASKS} SELECT DISTINCT text AS en, 'ko:' || text AS ko
       FROM tasks WHERE NOT broken AND (NOT shorter OR pos < last_pos)""",
 }

@@ -77,6 +77,11 @@ def read_jsonl(spark, sf_dir):
     path = scratch_dir(spark, "jsonl")
     turns = table(spark, sf_dir, "conversations")
     writers.write_jsonl(turns.select(F.struct("*").alias("row")), "row", path)
+    # Lines that are nearly right, in four ways in turn.
+    tail = F.array(F.concat(F.lit("} "), "lang"), F.lit("}}"), F.lit(",}"), F.lit("]"))
+    docs = table(spark, sf_dir, "documents")
+    bad = F.concat(F.lit('{"conv_id":'), "doc_id", F.get(tail, (F.col("doc_id") % 4).cast("int")))
+    docs.select(bad.alias("value")).write.mode("append").text(path)
     return readers.read_jsonl(spark, path, turns.schema).select(*turns.columns, "_corrupt")
 
 
@@ -89,7 +94,14 @@ def write_jsonl(spark, sf_dir):
     return lines.select(
         "custom_id",
         "method",
+        "url",
+        F.col("body.model").alias("model"),
         F.col("body.temperature").alias("temperature"),
+        F.col("body.response_format.type").alias("format"),
+        F.array_size("body.messages").cast("bigint").alias("n_messages"),
+        F.get("body.messages", F.lit(0))["role"].alias("system_role"),
+        F.get("body.messages", F.lit(0))["content"].alias("system"),
+        F.get("body.messages", F.lit(1))["role"].alias("user_role"),
         F.get("body.messages", F.lit(1))["content"].alias("content"),
     )
 
@@ -100,7 +112,8 @@ def save_split(spark, sf_dir):
     train, test = sample.split_fraction(table(spark, sf_dir, "documents"), 0.1, 42, "doc_id")
     writers.save_split(train, base, "documents", "train")
     writers.save_split(test, base, "documents", "test")
-    return readers.load_split(spark, base, "documents", "test").select("doc_id", "text")
+    parts = [readers.load_split(spark, base, "documents", name) for name in ("train", "test")]
+    return _labelled(*parts, ["doc_id", "text"])
 
 
 @query
@@ -115,7 +128,7 @@ def read_documents(spark, sf_dir):
     path = scratch_dir(spark, "documents")
     items = table(spark, sf_dir, "benchmark").select("text")
     items.write.option("maxRecordsPerFile", 1).text(path)
-    return readers.read_documents(spark, path).select("text")
+    return readers.read_documents(spark, path).select("text", F.col("path").like("%/part-%.txt").alias("has_path"))
 
 
 @query
@@ -218,8 +231,8 @@ def concat_corpora(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return combine.concat_corpora(
         [
-            (docs.filter(F.col("lang") == "en"), "text", "doc_id"),
-            (docs.filter(F.col("lang") == "fr"), "text", "doc_id"),
+            (docs.filter(F.col("lang") == lang), "text", "doc_id")
+            for lang in ("en", "fr", "de", "es")
         ]
     )
 
@@ -227,14 +240,14 @@ def concat_corpora(spark, sf_dir):
 @query
 def mix_corpora(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    turns = table(spark, sf_dir, "conversations")
     return combine.mix_corpora(
         [
             Source(docs.filter(F.col("lang") == "en"), "text", "doc_id", "head", 300),
             Source(table(spark, sf_dir, "pages"), "html", "page_id", "head", 100),
             Source(table(spark, sf_dir, "benchmark"), "text", "item_id"),
             Source(turns, "text", ["conv_id", "turn"]),
-            Source(docs.filter(F.col("lang") == "de"), "text", "doc_id", "shuffle", 50),
+            Source(docs.filter(F.col("lang") != "en"), "text", "doc_id", "shuffle", 50),
         ],
         seed=42,
     )
@@ -279,8 +292,8 @@ def combined_requests(spark, sf_dir):
     """Long lines of two corpora, sampled, combined, batched and wrapped."""
     docs = table(spark, sf_dir, "documents")
     subtitles = docs.filter(F.col("lang") == "en").select(F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-    talks = docs.filter(F.col("lang") == "fr").select(F.col("doc_id").alias("line_no"), F.col("text").alias("en"))
-    both = corpus.combined_english(subtitles, talks, n=20)
+    talks = docs.filter(F.col("lang") != "en").select(F.col("doc_id").alias("line_no"), F.col("text").alias("en"))
+    both = corpus.combined_english(subtitles, talks, n=docs.count() // 5)
     sent = corpus.translation_requests(
         both, "english", system_prompt=constants.TRANSLATION_SYSTEM_PROMPT_MULTI
     )
@@ -336,7 +349,7 @@ def explode_multilingual(spark, sf_dir):
 
 @query
 def bidirectional_examples(spark, sf_dir):
-    return responses.bidirectional_examples(inputs.aligned(spark, sf_dir), keep=["line_no"])
+    return responses.bidirectional_examples(inputs.pairs(spark, sf_dir), keep=["line_no"])
 
 
 # --- Prompts and chats -------------------------------------------------------------------------
@@ -344,7 +357,7 @@ def bidirectional_examples(spark, sf_dir):
 
 @query
 def format_prompt(spark, sf_dir):
-    pairs = inputs.aligned(spark, sf_dir)
+    pairs = inputs.pairs(spark, sf_dir)
     return pairs.select("line_no", text.format_prompt("en", "ko").alias("text"))
 
 
@@ -356,7 +369,7 @@ def prompt_only(spark, sf_dir):
 
 @query
 def append_eos(spark, sf_dir):
-    pairs = inputs.aligned(spark, sf_dir)
+    pairs = inputs.pairs(spark, sf_dir)
     prompt = text.format_prompt("en", "ko")
     return pairs.select("line_no", text.append_eos(prompt, "<|end_of_text|>").alias("text"))
 
@@ -418,6 +431,27 @@ def hash_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"))
 
 
+def _md5_id(word):
+    """The first four hexadecimal digits of the word's md5, as a number."""
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(word), i, 1)) - 1
+    return digit(1) * 4096 + digit(2) * 256 + digit(3) * 16 + digit(4)
+
+
+@query
+def md5_tokens(spark, sf_dir):
+    """A tokenizer with fixed ids that any engine can compute."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = features.tokenize(docs, "text", tokens.word_tokenizer(_md5_id))
+    return rows.select("doc_id", joined("input_ids").alias("input_ids"))
+
+
+@query
+def truncate_before_end(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = features.tokenize(docs, "text", LENGTH_TOKENS, add_special=True)
+    return features.pad_truncate(ids, 128, 0, keep_end=1).select("doc_id", joined("input_ids").alias("input_ids"))
+
+
 @query
 def pad_truncate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -429,7 +463,7 @@ def pad_truncate(spark, sf_dir):
 
 @query
 def mask_prompt(spark, sf_dir):
-    rows = training.causal_features(inputs.aligned(spark, sf_dir), LENGTH_TOKENS, max_length=512)
+    rows = training.causal_features(inputs.pairs(spark, sf_dir), LENGTH_TOKENS, max_length=512)
     return rows.select(
         "line_no",
         joined("input_ids").alias("input_ids"),
@@ -441,8 +475,15 @@ def mask_prompt(spark, sf_dir):
 @query
 def causal_datasets(spark, sf_dir):
     """Cap, split off a validation set, then features with padding masked as well."""
+    pairs, n = inputs.counted_pairs(spark, sf_dir)
     train, validation = training.causal_datasets(
-        inputs.aligned(spark, sf_dir), LENGTH_TOKENS, "line_no", max_examples=30, n_validation=5, max_length=256
+        pairs,
+        LENGTH_TOKENS,
+        "line_no",
+        max_examples=n // 2,
+        n_validation=(n + 1) // 20,
+        max_length=256,
+        n_rows=n,
     )
     return _labelled(
         train.withColumn("ids", joined("labels")), validation.withColumn("ids", joined("labels")), ["line_no", "ids"]
@@ -458,6 +499,20 @@ def mask_responses_only(spark, sf_dir):
     )
 
 
+@query
+def mask_text_responses(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    chat_text = F.concat(F.lit("Q: "), "text", F.lit(" A: "), "text", F.lit(" Q: more A: yes"))
+    rows = features.mask_text_responses(turns.withColumn("chat", chat_text), "chat", "Q:", "A:", LENGTH_TOKENS)
+    return rows.select("conv_id", "turn", joined("input_ids").alias("input_ids"), joined("labels").alias("labels"))
+
+
+@query
+def chat_texts(spark, sf_dir):
+    rows = training.chat_texts(inputs.examples(spark, sf_dir), "Llama-3.2-1B")
+    return rows.select("conv_id", "turn", "text")
+
+
 @query
 def pack_sequences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -468,7 +523,7 @@ def pack_sequences(spark, sf_dir):
 @query
 def packed_blocks(spark, sf_dir):
     rows = training.packed_blocks(
-        inputs.aligned(spark, sf_dir), LENGTH_TOKENS, "line_no", "<|end_of_text|>", block=512
+        inputs.pairs(spark, sf_dir), LENGTH_TOKENS, "line_no", "<|end_of_text|>", block=512
     )
     return rows.select("block", joined("input_ids").alias("input_ids"))
 
@@ -529,17 +584,18 @@ def evaluate_models(spark, sf_dir):
 
 @query
 def map_batches(spark, sf_dir):
+    """Words that read the same backwards: a test per word in Python."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return generate.map_batches(
         docs,
-        lambda batch: batch[["doc_id"]].assign(n=batch["text"].str.len()),
+        lambda batch: batch[["doc_id"]].assign(n=[sum(w == w[::-1] for w in t.split(" ")) for t in batch["text"]]),
         "doc_id bigint, n bigint",
     )
 
 
 @query
 def pair_quality(spark, sf_dir):
-    rows = quality.pair_quality(inputs.aligned(spark, sf_dir), script="[a-z]")
+    rows = quality.pair_quality(inputs.pairs(spark, sf_dir), script="[a-z]")
     return rows.select(
         "line_no",
         F.round("len_ratio", 6).alias("len_ratio"),
@@ -550,10 +606,60 @@ def pair_quality(spark, sf_dir):
     )
 
 
+@query
+def filter_pairs(spark, sf_dir):
+    kept, dropped = quality.filter_pairs(
+        inputs.pairs(spark, sf_dir), min_score=0.7, min_chars=30, script="[a-z]"
+    )
+    return kept.select("line_no", F.lit(None).cast("string").alias("reason")).unionByName(
+        dropped.select("line_no", "reason")
+    )
+
+
+@query
+def aligned_pairs(spark, sf_dir):
+    """Two line files, written from the documents, to distinct pairs."""
+    base = scratch_dir(spark, "lines")
+    docs = table(spark, sf_dir, "documents")
+    for name, part in (("en", docs.filter("lang = 'en'")), ("ko", docs.filter("lang <> 'en'"))):
+        part.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
+            "text"
+        ).write.text(f"{base}/{name}")
+    return corpus.aligned_pairs(spark, f"{base}/en", f"{base}/ko").select("line_no", "en", "ko")
+
+
+@query
+def publish_pairs(spark, sf_dir):
+    """The saved pairs, and how many lines were set aside for each reason."""
+    base = scratch_dir(spark, "published")
+    inputs.responses(spark, sf_dir).select("value").write.text(f"{base}/in")
+    pairs, bad = corpus.publish_pairs(spark, f"{base}/in", base, "pairs")
+    counts = bad.groupBy(F.col("reason").alias("ko")).agg(F.count("*").alias("n"))
+    return pairs.select("en", "ko", F.lit("pair").alias("kind"), F.lit(1).cast("bigint").alias("n")).unionByName(
+        counts.select(F.lit(None).cast("string").alias("en"), "ko", F.lit("bad").alias("kind"), "n")
+    )
+
+
+@query
+def split_published(spark, sf_dir):
+    pairs = inputs.pairs(spark, sf_dir).select("en", "ko").distinct()
+    return _labelled(*corpus.split_published(pairs, 42), ["en", "ko"])
+
+
+@query
+def limited_requests(spark, sf_dir):
+    """Requests for the first half of a numbered corpus only."""
+    docs = table(spark, sf_dir, "documents")
+    numbered = order.dense_index(docs.select("doc_id", "text"), "doc_id")
+    sent = corpus.translation_requests(numbered, "text", limit=docs.count() // 2)
+    return sent.select("custom_id", F.to_json("request").alias("request"))
+
+
 @query
 def ingest_responses_stream(spark, sf_dir):
     base = scratch_dir(spark, "stream")
-    lines = inputs.responses(spark, sf_dir)
+    inputs.responses(spark, sf_dir).write.parquet(f"{base}/lines")
+    lines = spark.read.parquet(f"{base}/lines")
     in_dir, out_dir, checkpoint = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
     for drop in (0, 1):
         part = lines.filter(F.col("batch_id") % 2 == drop).select("value")

@@ -141,7 +141,7 @@ def test_only_answers_are_trained(spark):
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 @pytest.mark.parametrize("rows_per_range", [6, None])
 @pytest.mark.parametrize("block", [1, 7, 64])
-def test_packing(spark, cut_mode, partitions, rows_per_range, block):
+def test_packing(spark, partitions, rows_per_range, block):
     rows = [(i, [i * 100 + j for j in range((i * 13) % 30)]) for i in range(40)]
     rows[7] = (7, list(range(300)))
     rows[8] = (8, None)
@@ -160,7 +160,7 @@ def test_packing_with_separator(spark):
 
 
 @pytest.mark.parametrize("rows_per_range", [9, None])
-def test_batch_padding(spark, cut_mode, rows_per_range):
+def test_batch_padding(spark, rows_per_range):
     data = [(i, [1] * ((i * 7) % 11)) for i in range(50)]
     df = spark.createDataFrame(data, "k int, input_ids array<int>").withColumn("labels", F.col("input_ids")).repartition(5)
     rows = features.pad_to_batch_max(df, 8, "k", 0, rows_per_range=rows_per_range).orderBy("rn").collect()

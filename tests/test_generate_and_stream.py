@@ -71,6 +71,20 @@ def answer(task, pairs):
     return json.dumps({"custom_id": f"task-{task}", "response": {"body": body}})
 
 
+def test_models_share_one_reading_of_the_input(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    df = spark.range(5).selectExpr("cast(id as string) t").mapInPandas(count, "t string")
+    models = [{"model": "a"}, {"model": "b"}, {"model": "c"}]
+    assert generate.fan_out_models(df, models, "t", lambda p: lambda texts: texts).count() == 15
+    assert calls.value == 5
+
+
 def drop(folder, name, lines):
     (folder / name).write_text("\n".join(lines) + "\n")
 
@@ -99,3 +113,21 @@ def test_stream_equals_batch(spark, tmp_path, monkeypatch, broadcast):
     lines = spark.read.text(str(folder))
     assert set(got) == {tuple(r) for r in responses.build_pairs(lines).collect()}
     assert [tuple(r) for r in stream.read_quarantine(spark, base + "/out").collect()] == [("{broken", "bad_json")]
+
+
+def test_new_checkpoint_keeps_earlier_pairs(spark, tmp_path):
+    base = scratch_dir(spark, "test")
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run(checkpoint):
+        stream.ingest_responses_stream(spark, str(folder), base + "/out", base + checkpoint).awaitTermination()
+
+    drop(folder, "1.jsonl", [answer(0, [("a", "1"), ("b", "2")])])
+    run("/one")
+    drop(folder, "2.jsonl", [answer(1, [("b", "2"), ("c", "3")]), "{broken"])
+    run("/two")
+    pairs = [tuple(r) for r in stream.read_pairs(spark, base + "/out").collect()]
+    assert sorted(pairs) == [("a", "1"), ("b", "2"), ("c", "3")]
+    run("/one")
+    assert stream.read_pairs(spark, base + "/out").count() == 3

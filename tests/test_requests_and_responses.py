@@ -6,11 +6,13 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom import constants, schemas
 from pairloom.operators import requests, responses
 from pairloom.plans import corpus
 from pairloom.session import scratch_dir
+from pairloom.sources import readers
 
 
 def texts(spark, n, partitions=3):
@@ -19,7 +21,7 @@ def texts(spark, n, partitions=3):
 
 @pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 30, 137])
 @pytest.mark.parametrize("rows_per_range", [12, None])
-def test_batches(spark, cut_mode, n, rows_per_range):
+def test_batches(spark, n, rows_per_range):
     df = requests.batch_rows(texts(spark, n), "t", order_by="k", rows_per_range=rows_per_range)
     rows = df.orderBy("batch_id").collect()
     want = [[f"t{i}" for i in range(n)][j : j + 10] for j in range(0, n, 10)]
@@ -139,6 +141,25 @@ def test_each_level_is_parsed_once(spark):
     assert plan.count("from_json") == 2
 
 
+STRICT_CASES = [
+    ('{"a":1}', True), (' {"a":1} ', True), ('{"a":1} trailing', False), ('{"a":1}}', False), ("{'a':1}", False),
+    ('{"a":1}]', False), ('{"a":1}] {"a":2}', False), ('{"a":1},{"a":2}', False), ('{"a":1},{"end":true}]', False),
+    ("", False), ("1", False), ("[1]", False), ('{"a":1', False), ('{"a":"x"}', False), ('{}', True), ('{"a":1}}]', False),
+]
+
+
+def test_read_jsonl_is_strict(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(text for text, _ in STRICT_CASES if text))
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    rows = readers.read_jsonl(spark, str(tmp_path), schema).collect()
+    got = {r.value: r for r in rows}
+    for text, good in STRICT_CASES:
+        if text:
+            assert (got[text]._corrupt is None) == good, text
+            assert got[text].a == (1 if good and "1" in text else None), text
+            assert good or got[text]._corrupt == text
+
+
 @pytest.mark.parametrize(
     "a,b,n", [(["x"] * 10, ["y"] * 10, 10), (["x"] * 10, ["y"] * 9, 9), ([], ["y"] * 3, 0), (None, ["y"], 0), ([None, "x"], ["y", None], 2)]
 )

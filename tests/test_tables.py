@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as spark_entry
 import check
+from tablequeries.oracles import ORACLES
+from tablequeries.queries import QUERIES
 from tests.conftest import DATA
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -18,13 +20,14 @@ def connection():
     return check.database(DATA)
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
     assert check.differences(spark, connection, DATA, name) is None
 
 
 def test_each_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,42 @@ def test_read_lines_over_many_splits(spark, tmp_path):
     assert [r.line_no for r in rows] == list(range(5000))
 
 
+@pytest.mark.parametrize("splits_per_table", [1_000_000, 3])
+def test_lines_of_many_files(spark, tmp_path, monkeypatch, splits_per_table):
+    monkeypatch.setattr(readers, "SPLITS_PER_TABLE", splits_per_table)
+    for i in range(8):
+        (tmp_path / f"{i}.txt").write_text("".join(f"{i} {j}\n" for j in range(5)))
+    rows = readers.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in rows] == [(5 * i + j, f"{i} {j}") for i in range(8) for j in range(5)]
+
+
+def test_lines_that_would_move_raise(spark, tmp_path):
+    """Files packed into tasks otherwise between plan and run."""
+    for i in range(40):
+        (tmp_path / f"{i:02d}.txt").write_text("x\n" * (1 + i % 3))
+    setting = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+    lines = readers.read_lines(spark, str(tmp_path))
+    try:
+        spark.conf.set(setting, str(1 << 30))
+        with pytest.raises(Exception, match="file splits changed"):
+            lines.collect()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_strip_is_linear(spark):
+    df = spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b ")).alias("t"))
+    start = time.perf_counter()
+    assert df.select(F.length(text.strip("t"))).first()[0] == 1_000_002
+    assert time.perf_counter() - start < 3
+
+
+def test_csv_of_plain_cells_can_be_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("en,ko\n" + "a,b\n" * 10)
+    assert readers.read_csv_text(spark, str(tmp_path), schemas.PAIR, multi_line=False).count() == 10
+
+
 def test_empty_line_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("")
     assert readers.read_lines(spark, str(tmp_path)).collect() == []
