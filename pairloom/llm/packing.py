@@ -141,10 +141,15 @@ class Encoder:
     """Texts to ids, as little-endian bytes; stretches of text are remembered."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that are in lower case, composed, and cut already, the merges alone.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.end = np.asarray([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -163,22 +168,25 @@ class Encoder:
 
     def _learn(self, unseen: set[str]) -> None:
         """Stretches of letters, and perhaps marks after them, go to the tokenizer in long lists."""
-        plain, marked = [], []
-        for stretch in unseen:
-            if stretch.isalpha():
-                plain.append(stretch)
-            elif stretch.rstrip(MARKS).isalpha():
+        plain = [stretch for stretch in unseen if stretch.isalpha()]
+        marked, apart = [], []
+        for stretch in unseen.difference(plain):
+            word = stretch.rstrip(MARKS)
+            if word.isalpha():
                 marked.append(stretch)
+                apart.append(f"{word} {stretch[len(word) :]}")
             else:
                 self.memo[stretch] = self._one(stretch)
-        self._learn_list(plain, 1)
-        self._learn_list(marked, 2)
+        self._learn_list(plain, plain, 1)
+        self._learn_list(marked, apart, 2)
 
-    def _learn_list(self, stretches: list[str], words_each: int) -> None:
+    def _learn_list(self, stretches: list[str], words: list[str], words_each: int) -> None:
         """Many stretches in one call; the last token of each word carries the word end."""
         lists = [stretches[i : i + 500] for i in range(0, len(stretches), 500)]
-        joined = [" ".join(some) for some in lists]
-        for some, encoding in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        joined = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        simple = all(not OTHER_CASE.search(text) and text == text.lower() for text in joined)
+        encode = (self.merges if simple else self.tokenizer).encode_batch_fast
+        for some, encoding in zip(lists, encode(joined, add_special_tokens=False)):
             ids = np.asarray(encoding.ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) != words_each * len(some) or ends[-1] != 4 * len(ids):
