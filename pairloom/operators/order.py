@@ -210,10 +210,10 @@ def _started(narrow: DataFrame, ranges: KeyRanges) -> KeyRanges:
     return replace(ranges, starts=starts, rows=rows)
 
 
-def written(df: DataFrame, label: str = "keys") -> DataFrame:
+def written(df: DataFrame, label: str = "keys", path: str | None = None) -> DataFrame:
     """Write narrow rows to the shared folder and read them from there."""
     spark = df.sparkSession
-    path = scratch_dir(spark, label)
+    path = path or scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators import order
+from pairloom.session import remove_dir, scratch_dir
 
 _RANK = "_rank"
 
@@ -44,12 +45,15 @@ def _cut(
     """Ranked frame, row count, sample size, and the condition that picks the sample."""
     types = dict(df.dtypes)
     ranked = df.withColumn(_RANK, rank_key(seed, key, types))
-    ranks = ranked.select(_RANK)
+    ranks, path = ranked.select(_RANK), None
     if any(types[k] == "string" for k in ([key] if isinstance(key, str) else key)):
         # The ranks are read several times; texts, often the bulk of the data, only once for them.
-        ranks = order.written(ranks)
+        path = scratch_dir(df.sparkSession, "ranks")
+        ranks = order.written(ranks, path=path)
 
     total, keys = order.nth_keys(ranks, _RANK, lambda total: [size_of(total)], rows_per_range, n_rows)
+    if path is not None:
+        remove_dir(df.sparkSession, path)  # the cut stands in the plan as a literal
     size = size_of(total)
     condition = order.up_to(ranked, _RANK, keys[size]) if size in keys else None
     return ranked, total, size, condition

@@ -25,6 +25,10 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Folders that this process has named and not yet removed.
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the session's shared checkpoint folder.
 
@@ -36,4 +40,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "pairloom")
-    return f"{base.rstrip('/')}/pairloom-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pairloom-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_dir`` named, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate folders of this process; call it once the results are written."""
+    paths = list(_made)
+    for path in paths:
+        remove_dir(spark, path)
+    return len(paths)

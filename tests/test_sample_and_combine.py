@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import session
 from pairloom.operators import combine, sample, select
 from pairloom.operators.combine import Source
 from pairloom.plans import corpus
 
 
+def test_scratch_folders_are_removed(spark):
+    session.clear_scratch(spark)
+    df = spark.createDataFrame([(f"k{i}",) for i in range(20)], "k string")
+    assert sample.sample_n(df, 5, 1, "k").count() == 5
+    assert session.clear_scratch(spark) == 0  # a sample leaves nothing
+    path = session.scratch_dir(spark, "test")
+    df.write.parquet(path)
+    assert os.path.isdir(path) and session.clear_scratch(spark) == 1 and not os.path.isdir(path)
+
+
 def keyed(spark, n, partitions=4):
     return spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("string").alias("t")).repartition(partitions)
 
