@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import hash_forest, langid, line_dedup, mixing, mtree, packing, secret_scan, sharding, simhash, token_counts
+from pairloom.llm.common import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +45,10 @@ def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_drop_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", "url", line_dedup.visible_lines("html").alias("text")
-    )
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
-    return line_dedup.drop_site_lines(pages, host, keep=["page_id"])
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1)).alias("site")
+    # The text is read twice, but taken out of the pages once.
+    pages = table(spark, sf_dir, "pages").select("page_id", host, line_dedup.visible_lines("html").alias("text"))
+    return line_dedup.drop_site_lines(saved(pages, "page-text"), F.col("site"), keep=["page_id"])
 
 
 def op6_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
