@@ -48,7 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_site_lines(docs, F.col("source"), keep=["doc_id", "lang", "source", "n_chars"])
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
     return cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(
         "doc_id",
         "text",

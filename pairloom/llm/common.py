@@ -25,6 +25,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(text: str, size: int, marks: str = " \n") -> Iterator[str]:
+    """A text in parts of about ``size`` characters, so that a very long one takes bounded memory.
+
+    Parts end before one of the marks, which is left out, if there is one; put together with marks
+    they are the text again.
+    """
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(mark, at, at + size) for mark in marks)
+        if end < at:
+            later = [found for mark in marks if (found := text.find(mark, at + size)) >= 0]
+            if not later:
+                break
+            end = min(later)
+        yield text[at:end]
+        at = end + 1
+    yield text[at:] if at else text
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

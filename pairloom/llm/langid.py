@@ -10,7 +10,8 @@ bits lets f**k of foreign n-grams through by accident; counts are corrected for
 highest corrected count is predicted. ``score`` is its count over the sum of its and the runner-up's,
 ``coverage`` its count over the text's n-grams, corrected and within 0 to 1.
 
-N-grams are of letters in lower case and single spaces between words, over the whole text. Nulls: a
+N-grams are of letters in lower case and single spaces between words, over the whole text; a text of
+more than ``CHUNK`` characters is looked at in parts cut at white space, which learning takes as texts. Nulls: a
 null text, and one without a letter, is ``und`` with score 0; rows without text or label, or with a null
 id, are not learned from. With nothing learned every text is ``und``. Of equal counts the language first
 by code point wins. Repeated rows are predicted each, and learned from once. Empty table: no rows. Other
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import map_rows, saved
+from pairloom.llm.common import map_rows, parts_of, saved
 
 SIZES = (2, 3, 4)
 # Labelled texts that are learned from, per language.
@@ -38,6 +39,7 @@ MIN_SHARE = 0.02
 PROBES = 4
 SLOTS_PER_GRAM = 16
 MAX_SLOTS = 1 << 20
+MAX_LANGUAGES = 4096
 UNDECIDED = "und"
 # Characters that are looked at together; bounds the memory of a task beside its batch of texts.
 CHUNK = 1 << 16
@@ -114,8 +116,8 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                for group in _groups(texts):
-                    hashes, owners = grams.of(group)
+                for group in _groups((part,) for text in texts for part in parts_of(text, CHUNK)):
+                    hashes, owners = grams.of([part for (part,) in group])
                     # Once per text, and then once per group.
                     own = np.unique(hashes * _GOLDEN ^ owners.astype(np.uint64) * _MIX, return_index=True)[1]
                     unique, counts = np.unique(hashes[own].view(np.int64), return_counts=True)
@@ -126,11 +128,12 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, texts long")
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(parts: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Tuples that end with a text, in lists of about CHUNK characters."""
     group, chars = [], 0
-    for text in texts:
-        group.append(text)
-        chars += len(text) + 3
+    for part in parts:
+        group.append(part)
+        chars += len(part[-1]) + 3
         if chars >= CHUNK:
             yield group
             group, chars = [], 0
@@ -152,7 +155,10 @@ def learn(
     ).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id")
     )
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    totals = saved(totals, "langid-totals")
+    if totals.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col} the column of labels?")
     chance = F.pmod(F.xxhash64("id", "text"), F.col("n")) < sample
     chosen = rows.join(F.broadcast(totals), "lang").filter(chance).dropDuplicates(["lang", "text"])
     chosen = saved(chosen.select("lang", "text"), "langid-sample")
@@ -202,24 +208,28 @@ def _bit(masks: np.ndarray, number: int) -> np.ndarray:
     return (masks[:, number // 64] >> np.uint64(number % 64)) & np.uint64(1)
 
 
-def decide(filters: Filters, grams: Grams, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
-    """(language, score, coverage) of texts that have a letter."""
-    n, languages = len(texts), filters.languages
-    hashes, owners = grams.of(texts)
+def hits_of(filters: Filters, grams: Grams, parts: list[str]) -> np.ndarray:
+    """Of each part, how many n-grams each language has, and in the last column how many there are."""
+    n = len(parts)
+    hashes, owners = grams.of(parts)
     masks = None
     for slots in slots_of(hashes, len(filters.table)):
         masks = filters.table[slots] if masks is None else masks & filters.table[slots]
-    total = np.maximum(np.bincount(owners, minlength=n), 1)
-    shares = np.empty((n, len(languages)))
-    for i, accident in enumerate(filters.accident):
-        hits = np.bincount(owners, weights=_bit(masks, i), minlength=n) / total
-        shares[:, i] = np.clip((hits - accident) / max(1e-9, 1.0 - accident), 0.0, 1.0)
+    found = [np.bincount(owners, weights=_bit(masks, i), minlength=n) for i in range(len(filters.languages))]
+    return np.stack([*found, np.bincount(owners, minlength=n)], axis=1)
+
+
+def decide(filters: Filters, hits: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """(language, score, coverage) from the counts of texts that have a letter."""
+    shares = hits[:, :-1] / np.maximum(hits[:, -1:], 1)
+    shares = np.clip((shares - filters.accident) / np.maximum(1e-9, 1.0 - filters.accident), 0.0, 1.0)
+    rows = np.arange(len(hits))
     best = shares.argmax(axis=1)
-    top = shares[np.arange(n), best]
-    shares[np.arange(n), best] = 0.0
+    top = shares[rows, best]
+    shares[rows, best] = 0.0
     second = shares.max(axis=1)
-    score = np.divide(top, top + second, out=np.zeros(n), where=top > 0)
-    return [languages[i] for i in best], score.tolist(), top.tolist()
+    score = np.divide(top, top + second, out=np.zeros(len(hits)), where=top > 0)
+    return [filters.languages[i] for i in best], score.tolist(), top.tolist()
 
 
 def predict(df: DataFrame, filters: Filters, carry: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -244,11 +254,13 @@ def predict(df: DataFrame, filters: Filters, carry: Sequence[str] = ("doc_id",),
             lettered = [
                 i for i, text in enumerate(texts) if filters.languages and text and any(map(str.isalpha, text))
             ]
-            at = 0
-            for group in _groups([texts[i] for i in lettered]):
-                for i, *found in zip(lettered[at : at + len(group)], *decide(filters, grams, group)):
+            hits = np.zeros((len(texts), len(filters.languages) + 1))
+            for group in _groups((i, part) for i in lettered for part in parts_of(texts[i], CHUNK)):
+                owners, parts = zip(*group)
+                np.add.at(hits, list(owners), hits_of(filters, grams, list(parts)))
+            if lettered:
+                for i, *found in zip(lettered, *decide(filters, hits[lettered])):
                     langs[i], scores[i], coverage[i] = found
-                at += len(group)
             return {"lang_pred": langs, "score": scores, "coverage": coverage}
 
         return run

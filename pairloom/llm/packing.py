@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairloom.llm.common import _arrow_type, field
+from pairloom.llm.common import _arrow_type, field, parts_of
 
 WINDOW = 4096
 MAX_OPEN = 1024
@@ -157,6 +157,15 @@ class Encoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def many(self, texts: Sequence[str | None]) -> list[bytes]:
+        if any(len(text or "") > 2 * GROUP_CHARS for text in texts):
+            # Part by part, so that a very long text takes little beside itself and its ids.
+            return [
+                b"".join(self._ids([part])[0] for part in parts_of(text or "", GROUP_CHARS)) + self.end
+                for text in texts
+            ]
+        return [ids + self.end for ids in self._ids(texts)]
+
+    def _ids(self, texts: Sequence[str | None]) -> list[bytes]:
         parts = [_lowered(text or "").replace("\n", " ").split(" ") for text in texts]
         unseen = set().union(*parts) - self.memo.keys()
         if len(self.memo) + len(unseen) > MEMO:
@@ -164,7 +173,7 @@ class Encoder:
             unseen = set().union(*parts)
         self._learn(unseen)
         get = self.memo.__getitem__
-        return [b"".join([*map(get, stretches), self.end]) for stretches in parts]
+        return [b"".join(map(get, stretches)) for stretches in parts]
 
     def _learn(self, unseen: set[str]) -> None:
         """Stretches of letters, and perhaps marks after them, go to the tokenizer in long lists."""

@@ -25,7 +25,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairloom.llm.common import field, map_rows
+from pairloom.llm.common import field, map_rows, parts_of
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -33,6 +33,8 @@ UNKNOWN_PENALTY = 10.0
 MEMO = 400_000
 # A longer word is not remembered.
 LONG_WORD = 64
+# Characters of a text that are split into words together.
+PART = 4 << 20
 
 
 def zipf_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -62,41 +64,47 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {piece for piece, _ in vocabulary if len(piece) == 1}
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.memo: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """Pieces of one word, without remembering it."""
-        n = len(word)
-        # Best score up to each place, pieces on that way, and whether its last piece is unknown.
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        matches: dict[int, list[tuple[int, float]]] = {}
-        for last, hit in self.automaton.iter(word):
-            matches.setdefault(last + 1, []).append(hit)
-        single = self.single
-        for end in range(1, n + 1):
+        """Pieces of one word, without remembering it. Memory does not grow with the word."""
+        # Best score up to each of the last places, and pieces on that way.
+        ring = self.longest + 1
+        best, count, unknown = [0.0] * ring, [0] * ring, False
+        single, hits = self.single, self.automaton.iter(word)
+        hit = next(hits, None)
+        for end in range(1, len(word) + 1):
+            found = []
+            while hit is not None and hit[0] < end:
+                found.append(hit[1])
+                hit = next(hits, None)
             top, pieces, odd = None, 0, False
             # Longest first is the order of start places.
-            for length, score in sorted(matches.pop(end, ()), reverse=True):
-                start = end - length
+            for length, score in sorted(found, reverse=True) if len(found) > 1 else found:
+                start = (end - length) % ring
                 if top is None or best[start] + score > top:
-                    top, pieces, odd = best[start] + score, count[start] + 1, False
+                    top, pieces = best[start] + score, count[start] + 1
             if word[end - 1] not in single:
-                score = best[end - 1] + self.unknown
+                start = (end - 1) % ring
+                score = best[start] + self.unknown
                 if top is None or score > top:
-                    top, odd = score, True
-                    pieces = count[end - 1] + (0 if unknown[end - 1] else 1)
-            best[end], count[end], unknown[end] = top, pieces, odd
-        return count[n]
+                    top, pieces, odd = score, count[start] + (0 if unknown else 1), True
+            best[end % ring], count[end % ring], unknown = top, pieces, odd
+        return count[len(word) % ring]
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:
-            del words[0]  # the text starts with a mark of its own
+        text = text.replace(MARK, " ")
+        # A text that starts with a mark gets none in front; any other word begins with its mark.
+        text = text[1:] if text[0] == " " else text
+        return sum(map(self._words, parts_of(text, PART, " ")))
+
+    def _words(self, part: str) -> int:
         memo, total = self.memo, 0
-        for word in words:
+        for word in part.split(" "):
             found = memo.get(word)
             if found is None:
                 found = self.word(MARK + word)

@@ -220,3 +220,36 @@ def test_visible_lines(spark):
     html = "<html><head><title>T</title><style>p{}</style></head><body><p>one <b>bold</b></p><!-- c --><script>x<y</script><br/>two  \n\n</body>"
     df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
     assert [r[0] for r in df.select(line_dedup.visible_lines("html")).collect()] == ["T\none bold\ntwo", None, ""]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=60), st.integers(1, 12))
+def test_parts_make_the_text_again(text, size):
+    from pairloom.llm.common import parts_of
+
+    parts, at = list(parts_of(text, size)), 0
+    for i, part in enumerate(parts):
+        assert text.startswith(part, at)
+        at += len(part)
+        if i < len(parts) - 1:
+            assert text[at] in " \n"
+            at += 1
+    assert at == len(text)
+
+
+def test_long_texts_are_taken_in_parts(spark, monkeypatch, unigram):
+    """Parts change nothing in counts and ids, and hardly anything in languages."""
+    from pairloom.llm import packing
+
+    text = "  the cat, and\nthe dog " * 400 + "x" * 300
+    monkeypatch.setattr(token_counts, "PART", 50)
+    assert token_counts.Counter(token_counts.zipf_vocabulary(PIECES)).text(text) == len(unigram.encode(text).ids)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = packing.Encoder(path, 2).many([text, None])
+    monkeypatch.setattr(packing, "GROUP_CHARS", 100)
+    assert packing.Encoder(path, 2).many([text, None]) == whole
+    monkeypatch.setattr(langid, "CHUNK", 200)
+    train = [(i, t, lang) for i in range(40) for t, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"))]
+    df = spark.createDataFrame([*train, (1000, text, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}[1000]
+    assert got.lang_pred == "en" and got.coverage > 0.8
