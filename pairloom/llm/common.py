@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +17,25 @@ COPIES_PER_CHUNK = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read from there: cuts lineage, outlives executors."""
+def saved(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Write to the shared folder and read from there, if wanted with another session.
+
+    That cuts lineage, and outlives executors.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """A session like the given one that hands Python fewer bytes at a time, for rows of large blobs."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return session
 
 
 def parts_of(text: str, size: int, marks: str = " \n") -> Iterator[str]:

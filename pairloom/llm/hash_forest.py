@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import saved
+from pairloom.llm.common import saved, small_batches
 from pairloom.llm.mtree import lifted
 from pairloom.llm.vectors import as_bytes, best_of_each, folded, in_blocks, matrix, query_rows
 
@@ -89,7 +89,8 @@ def search(
     """
     spark = df.sparkSession
     rows, dims = as_bytes(df, id_col, vec_col, None, zeros=False)
-    rows = saved(rows, "forest-rows")
+    # From here on in a session of its own, as pages are rows of half a megabyte.
+    rows = saved(rows, "forest-rows", small_batches(spark))
     points = folded(rows, k + 1)
     queries = query_rows(rows, every)
     n = points.count()
@@ -295,4 +296,4 @@ def search(
     found = dealt.join(pages, ["tree", "bucket"]).mapInArrow(scored, "qid long, vec_id long, score double")
     # A vector that several trees give counts once.
     once = found.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
-    return best_of_each(queries, once, k)
+    return saved(best_of_each(queries, once, k), "forest-found", spark)
