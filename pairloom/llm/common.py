@@ -13,6 +13,8 @@ from pairloom.session import scratch_dir
 
 # Copies of one row that one task writes out in a row.
 COPIES_PER_CHUNK = 4096
+# Rows of an Arrow batch that are Python objects at the same time.
+ROWS_AT_ONCE = 512
 # White space that ends a word: the space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,7 +96,7 @@ def map_rows(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             names = batch.schema.names
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names) if n not in carry}
             out = function(columns)

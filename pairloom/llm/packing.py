@@ -27,6 +27,7 @@ import re
 import sys
 import types
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ from pairloom.llm.common import _arrow_type, field, parts_of
 WINDOW = 4096
 MAX_OPEN = 1024
 # Distinct stretches of text that a Python worker remembers.
-MEMO = 800_000
+MEMO = 600_000
+# How many of them stay when there are more, and at the end of a task: the first seen, which are the most
+# frequent.
+KEEP = 150_000
 # Characters whose lower case may depend on their place or on the version of Unicode.
 OTHER_CASE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 # Marks that make one word of the tokenizer however many stand together.
@@ -167,14 +171,19 @@ class Encoder:
 
     def _ids(self, texts: Sequence[str | None]) -> list[bytes]:
         parts = [_lowered(text or "").replace("\n", " ").split(" ") for text in texts]
-        unseen = set().union(*parts) - self.memo.keys()
+        seen = set().union(*parts)
+        unseen = seen - self.memo.keys()
         if len(self.memo) + len(unseen) > MEMO:
-            self.memo.clear()
-            unseen = set().union(*parts)
+            self.trim()
+            unseen = seen - self.memo.keys()
         self._learn(unseen)
         get = self.memo.__getitem__
         return [b"".join(map(get, stretches)) for stretches in parts]
 
+    def trim(self) -> None:
+        if len(self.memo) > KEEP:
+            self.memo = dict(islice(self.memo.items(), KEEP))
+
     def _learn(self, unseen: set[str]) -> None:
         """Stretches of letters, and perhaps marks after them, go to the tokenizer in long lists."""
         plain = [stretch for stretch in unseen if stretch.isalpha()]
@@ -285,6 +294,7 @@ def pack(
             for keys, texts in _in_groups(batches):
                 for key, ids in zip(keys, encoder.many(texts)):
                     yield from packer.place(key, ids)
+            encoder.trim()  # the worker lives on, perhaps with other work
             yield from packer.close()
 
         for pieces in windows():
