@@ -11,8 +11,11 @@ to ``BROADCAST_LINES`` lines, checked by a count; beyond, it is joined by host a
 hot host over many tasks. Both ways give the same rows.
 
 Nulls: a null host is a host of its own; a null text has no lines, counts as a page, and stays null. An
-empty text stays empty. Empty table: no rows. Repeated rows count as pages of their own. The result has
-the named columns only, so others may have any name.
+empty text stays empty. Empty table: no rows. Repeated rows count as pages of their own, unless
+``once_per_text`` counts the different texts of a host instead: then copies of a page are no sign that its
+lines are boilerplate. Near copies are different texts; ``spare_from`` keeps a text whole that would lose
+more than half of its characters, among them a line of that many characters or more. The result has the
+named columns only, so others may have any name.
 """
 
 from __future__ import annotations
@@ -45,13 +48,24 @@ def line_digests(text: str) -> Column:
     return F.array_distinct(F.transform(lines, _digest))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, host_pages, line, line_pages) of each boilerplate line; ``pages`` has host and text."""
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+def boilerplate(
+    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once_per_text: bool = False
+) -> DataFrame:
+    """(host, host_pages, line, line_pages) of each boilerplate line; ``pages`` has host and text.
+
+    With ``once_per_text`` pages are the different texts of a host; copies fold map-side.
+    """
+    if once_per_text:
+        pages = pages.withColumn("page", F.xxhash64("text"))
+        n_pages = F.count_distinct("page")
+    else:
+        pages = pages.withColumn("page", F.lit(None))
+        n_pages = F.count("*")
+    hosts = pages.groupBy("host").agg(n_pages.alias("host_pages"))
     lines = (
-        pages.select("host", F.explode(line_digests("text")).alias("line"))
+        pages.select("host", "page", F.explode(line_digests("text")).alias("line"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("line_pages"))
+        .agg(n_pages.alias("line_pages"))
         .filter(F.col("line_pages") >= min_pages)
         .select(F.col("host").alias("line_host"), "line", "line_pages")
     )
@@ -62,6 +76,16 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     )
 
 
+def _spared(spare_from: int) -> Column:
+    """Whether what is ``left`` lacks a long line and most characters of the text."""
+    long = F.filter(F.split("text", "\n", -1), lambda line: F.length(_stripped(line)) >= spare_from)
+    lost = F.exists(long, lambda line: F.array_contains(F.col("lines"), _digest(line)))
+    ink = lambda text: F.length(F.regexp_replace(text, r"\s+", ""))
+    fewer = F.size("left") < F.col("n_lines")
+    most = 2 * ink(F.array_join("left", "\n")) < ink(F.col("text"))
+    return F.coalesce(F.when(fewer, lost & most), F.lit(False))
+
+
 def drop_site_lines(
     df: DataFrame,
     host: Column,
@@ -70,6 +94,8 @@ def drop_site_lines(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
+    once_per_text: bool = False,
+    spare_from: int | None = None,
 ) -> DataFrame:
     """The ``keep`` columns, ``host``, ``text`` without boilerplate, ``n_lines`` and ``n_dropped``.
 
@@ -77,7 +103,7 @@ def drop_site_lines(
     """
     kept = [F.col(f"`{name}`").alias(f"_k{i}") for i, name in enumerate(keep)]
     pages = df.select(*kept, host.alias("host"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(boilerplate(pages.select("host", "text"), max_ratio, min_pages), "boilerplate")
+    found = saved(boilerplate(pages.select("host", "text"), max_ratio, min_pages, once_per_text), "boilerplate")
     lists = found.groupBy(F.col("host").alias("list_host")).agg(F.collect_list("line").alias("lines"))
     same_host = F.col("host").eqNullSafe(F.col("list_host"))
     if found.count() <= broadcast_lines:
@@ -95,7 +121,10 @@ def drop_site_lines(
         "text",
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.when(F.col("lines").isNotNull(), left).alias("left"),
+        "lines",
     )
+    if spare_from is not None:
+        cleaned = cleaned.withColumn("left", F.when(~_spared(spare_from), F.col("left")))
     return cleaned.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)],
         "host",

@@ -67,6 +67,28 @@ def test_line_stage(spark, docs):
     assert not any("Footer" in r[1] for r in got if r[3] == "src1")
 
 
+def test_copies_and_near_copies_leave_one(spark):
+    """Copies above 5% of a source are no boilerplate: their text reaches the stage that keeps one."""
+    rows = table((i, t, lang) for i, t, lang in texts(5, 95))
+    rows = [(i, t + "\nFooter of the site", lang, "src", n) for i, t, lang, _, n in rows]
+    lines = [t for _, t, _ in texts(6, 30)]
+    copy, near = "\n".join(lines[:10]), "\n".join(lines[10:])
+    few = [t for _, t, _ in texts(7, 5)]
+    rows += [(200 + i, copy, "en", "src", len(copy)) for i in range(7)]
+    rows += [(300 + i, near + " \n" * i, "en", "src", len(near) + 2 * i) for i in range(8)]
+    rows += [(400 + i, "\n".join([*few, f"the end {i}"]), "en", "src", 1) for i in range(9)]
+    rows += [(500 + i, "Footer of the site\n" + " " * i, "en", "src", 1) for i in range(4)]
+    _, got = stage(spark, "line_dedup", rows)
+    ids = Counter(r[0] for r in got.elements())
+    assert set(ids) == {r[0] for r in rows if r[0] < 500} and set(ids.values()) == {1}
+    want = {r[0]: r[1] for r in rows}
+    assert all(r[1] == want[r[0]].replace("\nFooter of the site", "") for r in got)
+    _, kept = stage(spark, "simhash_dedup", list(got.elements()))
+    kept_ids = {r[0] for r in kept}
+    assert {i for i in kept_ids if 200 <= i < 400} == {200, 300}
+    assert 400 in kept_ids
+
+
 def test_simhash_stage_keeps_one_of_each_class(spark, docs):
     columns, got = stage(spark, "simhash_dedup", docs)
     prints = {r[1]: naive_print(r[1]) for r in docs}
