@@ -56,10 +56,15 @@ def folded(rows: DataFrame, most: int) -> DataFrame:
 
 
 def query_rows(rows: DataFrame, every: int) -> DataFrame:
-    """(query_id, vec, qid) of the rows that are queries; ``qid`` is one id for all equal vectors."""
-    queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec")
-    first = queries.groupBy(F.col("vec").alias("v")).agg(F.min("query_id").alias("qid"))
-    return saved(queries.join(first, F.col("vec") == F.col("v")).select("query_id", "vec", "qid"), "queries")
+    """(query_id, vec, qid, n_rows) of the different queries, and how many rows each has.
+
+    ``qid`` numbers the different vectors: equal vectors are searched once.
+    """
+    queries = rows.filter(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id"), "vec")
+    queries = saved(queries.agg(F.count("*").alias("n_rows")), "query-rows")
+    numbers = queries.select(F.col("vec").alias("v")).distinct().withColumn("qid", F.monotonically_increasing_id())
+    numbers = saved(numbers, "query-numbers")
+    return saved(queries.join(numbers, F.col("vec") == F.col("v")).drop("v"), "queries")
 
 
 def in_blocks(queries: DataFrame) -> DataFrame:
@@ -70,19 +75,20 @@ def in_blocks(queries: DataFrame) -> DataFrame:
 
 
 def best_of_each(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best that are not the query's own row.
+    """(query_id, rank, vec_id, score): for each row of a query the k best that are not of its id.
 
     ``found`` has (qid, vec_id, score) with the k + 1 best of each qid and perhaps more.
     """
     order = [F.col("score").desc(), F.col("vec_id")]
     top = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
     few = found.withColumn("top", top).filter(F.col("top") <= k + 1).drop("top")
-    each = queries.select("query_id", F.col("qid").alias("q")).join(few, F.col("q") == F.col("qid"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    each = queries.select("query_id", F.col("qid").alias("q"), "n_rows").join(few, F.col("q") == F.col("qid"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "qid").orderBy(*order))
     return (
         each.filter(F.col("vec_id") != F.col("query_id"))
         .withColumn("rank", rank)
         .filter(F.col("rank") <= k)
+        .withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
         .select("query_id", "rank", "vec_id", "score")
     )
 

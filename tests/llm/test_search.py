@@ -183,6 +183,34 @@ def test_exact_search_of_repeated_ids(spark):
     assert {(r.query_id, r.vec_id) for r in got} == {(50, 7)}
 
 
+def lists(found):
+    """The results of each query id, one list per row of it, in an order of their own."""
+    ranks = defaultdict(lambda: defaultdict(list))
+    for r in found:
+        ranks[r.query_id][r.rank].append((float(r.score), r.vec_id))
+    return {q: [sorted(at[rank]) for rank in sorted(at)] for q, at in ranks.items()}
+
+
+def naive_lists(rows, every, k):
+    """The same from ``naive_top``."""
+    out = {}
+    for q, each in naive_top(rows, every, k).items():
+        out[q] = [sorted((x[i][1], x[i][0]) for x in each if i < len(x)) for i in range(max(map(len, each)))]
+    return {q: [x for x in at if x] for q, at in out.items() if any(at)}
+
+
+@pytest.mark.parametrize("operator,every,k", [(mtree, 50, 5), (hash_forest, 20, 20)])
+def test_queries_that_share_an_id(spark, operator, every, k):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-9, 9, 8).astype(float).tolist()) for i in range(60, 160)]
+    rows += [(0, v) for _, v in rows[:1]] + [(0, rng.integers(-9, 9, 8).astype(float).tolist())]
+    rows += [(200, rows[0][1]), (400, rows[0][1])]
+    whole = operator is mtree
+    plain = [(key, np.floor(256 * v) if whole else v) for key, v in usable(rows, whole)]
+    more = {} if whole else {"share": 24.0}
+    assert lists(operator.search(frame(spark, rows), **more).collect()) == naive_lists(plain, every, k)
+
+
 @pytest.mark.parametrize("page", [64, 4096])
 def test_approximate_search(spark, vectors, monkeypatch, page):
     monkeypatch.setattr(hash_forest, "PAGE", page)
