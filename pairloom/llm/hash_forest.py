@@ -20,9 +20,9 @@ ones, need ``share`` of all rows whatever the index; in clustered data ``share=0
 ``candidates`` gives the usual sublinear search.
 
 Rows with a null id, or with a vector that is null, zero, or has a null or non-finite component, take no
-part; shorter vectors are filled up with zeros. Equal vectors are folded to their k + 1 smallest ids. Ties
-go to the smaller id. Empty table: no rows. Repeated ids are rows of their own, but none is a result for
-a query of its id.
+part; shorter vectors are filled up with zeros. Equal vectors are folded to their k + 1 smallest different
+ids. Ties go to the smaller id. Empty table: no rows. Repeated ids are rows of their own, as results and
+as queries, each of which gets k results; but none is a result for a query of its id.
 """
 
 from __future__ import annotations
@@ -133,10 +133,12 @@ def search(
 
     leaves = points.mapInArrow(planted, "tree int, bucket int, string long, vec binary, ids array<long>")
     sizes = saved(leaves.groupBy("tree", "bucket").agg(F.count("*").alias("n")), "forest-sizes")
+    # Tells vectors of one id apart.
+    key = F.xxhash64("vec").alias("key")
     paged = leaves.join(
         sizes.select(F.col("tree").alias("t"), F.col("bucket").alias("b"), F.ceil(F.col("n") / PAGE).alias("pages")),
         (F.col("tree") == F.col("t")) & (F.col("bucket") == F.col("b")),
-    ).select("tree", "bucket", F.pmod(F.xxhash64("vec"), F.col("pages")).alias("page"), "string", "vec", "ids")
+    ).select("tree", "bucket", F.pmod(F.xxhash64("vec"), F.col("pages")).alias("page"), "string", "vec", "ids", key)
 
     def page(table: pa.Table) -> pa.Table:
         found = table["string"].to_numpy()
@@ -148,13 +150,14 @@ def search(
                 "bucket": table["bucket"][:1],
                 "strings": [found[order].tobytes()],
                 "vecs": [b"".join(vecs[i] for i in order.tolist())],
+                "keys": [table["key"].to_numpy()[order].tobytes()],
                 "ids": [np.array([x for i in order.tolist() for x in ids[i]], np.int64).tobytes()],
                 "id_counts": [np.array([len(ids[i]) for i in order.tolist()], np.int64).tobytes()],
             }
         )
 
     pages = paged.groupBy("tree", "bucket", "page").applyInArrow(
-        page, "tree int, bucket int, strings binary, vecs binary, ids binary, id_counts binary"
+        page, "tree int, bucket int, strings binary, vecs binary, keys binary, ids binary, id_counts binary"
     )
     pages = saved(pages, "forest-pages")
     # At most trees x 2**MAX_TOP numbers.
@@ -212,7 +215,7 @@ def search(
     )
     deepest = F.greatest(*[F.when(F.col(f"l{level}") >= wanted, level).otherwise(-1) for level in levels], F.lit(-1))
     placed = different.join(counts, F.col("qid") == F.col("q"), "left").select(
-        "qid", "vec", F.coalesce(deepest, F.lit(-1)).cast("int").alias("level")
+        "qid", "vec", F.coalesce(deepest, F.lit(-1)).cast("int").alias("level"), "own", "hides"
     )
 
     def ascend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +228,7 @@ def search(
             qids = batch.column(0).to_numpy()
             vectors = matrix(batch.column(1).to_pylist(), dims)
             level = batch.column(2).to_numpy().astype(np.int64)
+            owns, hides = batch.column("own").to_numpy(), batch.column("hides").to_numpy(zero_copy_only=False)
             flat = np.hstack([vectors, np.zeros((len(vectors), 1))])
             found = np.array([strings(flat, directions[tree]) for tree in range(trees)])
             buckets = found >> (BITS - top)
@@ -252,6 +256,8 @@ def search(
                                 "qstrings": [found[tree][who].tobytes()],
                                 "levels": [level[who].tobytes()],
                                 "qvecs": [vectors[who].tobytes()],
+                                "owns": [owns[who].tobytes()],
+                                "hides": [hides[who].tobytes()],
                             }
                         )
 
@@ -265,35 +271,47 @@ def search(
                 vecs = vecs.astype(np.float64)
                 counts = np.frombuffer(row["id_counts"], np.int64)
                 ids, point = np.frombuffer(row["ids"], np.int64), np.repeat(np.arange(len(counts)), counts)
+                keys = np.frombuffer(row["keys"], np.int64)[point]
+                # Rows of one id and vector lie together; the how-maniest each is.
+                place = np.arange(len(ids))
+                new = np.append(True, (point[1:] != point[:-1]) | (ids[1:] != ids[:-1]))
+                copies = place - np.maximum.accumulate(np.where(new, place, 0))
                 qids = np.frombuffer(row["qids"], np.int64)
+                owns, hides = np.frombuffer(row["owns"], np.int64), np.frombuffer(row["hides"], bool)
                 begins, ends = shared(
                     page, np.frombuffer(row["qstrings"], np.int64), np.frombuffer(row["levels"], np.int64)
                 )
                 first = np.searchsorted(point, begins), np.searchsorted(point, ends)
-                out: dict[str, list] = {"qid": [], "vec_id": [], "score": []}
+                out: dict[str, list] = {"qid": [], "vec_id": [], "key": [], "copy": [], "score": []}
                 for at in range(0, len(qids), 256):
                     scores = qvecs[at : at + 256] @ vecs.T
                     for j in range(len(scores)):
-                        a, b = first[0][at + j], first[1][at + j]
-                        if a == b:
+                        rows_ = np.arange(first[0][at + j], first[1][at + j])
+                        if hides[at + j]:
+                            rows_ = rows_[ids[rows_] != owns[at + j]]
+                        if not len(rows_):
                             continue
-                        own = scores[j][point[a:b]]
-                        own_ids = ids[a:b]
+                        own = scores[j][point[rows_]]
                         if len(own) > k + 1:
                             least = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
                             kept = own >= least
-                            own, own_ids = own[kept], own_ids[kept]
-                        order = np.lexsort((own_ids, -own))[: k + 1]
+                            own, rows_ = own[kept], rows_[kept]
+                        order = np.lexsort((ids[rows_], -own))[: k + 1]
+                        rows_ = rows_[order]
                         out["qid"].append(np.full(len(order), qids[at + j]))
-                        out["vec_id"].append(own_ids[order])
+                        out["vec_id"].append(ids[rows_])
+                        out["key"].append(keys[rows_])
+                        out["copy"].append(copies[rows_])
                         out["score"].append(own[order])
                 if out["qid"]:
                     yield pa.RecordBatch.from_pydict({name: np.concatenate(v) for name, v in out.items()})
 
     dealt = placed.mapInArrow(
-        ascend, "tree int, bucket int, qids binary, qstrings binary, levels binary, qvecs binary"
+        ascend, "tree int, bucket int, qids binary, qstrings binary, levels binary, qvecs binary, owns binary, hides binary"
     )
-    found = dealt.join(pages, ["tree", "bucket"]).mapInArrow(scored, "qid long, vec_id long, score double")
-    # A vector that several trees give counts once.
-    once = found.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
+    found = dealt.join(pages, ["tree", "bucket"]).mapInArrow(
+        scored, "qid long, vec_id long, key long, copy long, score double"
+    )
+    # A row that several trees give counts once.
+    once = found.groupBy("qid", "vec_id", "key", "copy").agg(F.max("score").alias("score"))
     return saved(best_of_each(queries, once, k), "forest-found", spark)

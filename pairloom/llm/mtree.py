@@ -18,8 +18,9 @@ have slack for rounding; scores are exact: whole-number products in doubles as l
 2**53, in Python's numbers beyond (then held within the range of a long).
 
 Rows with a null id, a null vector, or a null or non-finite component take no part; shorter vectors are
-filled up with zeros. Equal vectors are folded to their k + 1 smallest ids. Ties go to the smaller id.
-Empty table: no rows. Repeated ids are rows of their own, but none is a result for a query of its id.
+filled up with zeros. Equal vectors are folded to their k + 1 smallest different ids. Ties go to the
+smaller id. Empty table: no rows. Repeated ids are rows of their own, as results and as queries, each of
+which gets k results; but none is a result for a query of its id.
 """
 
 from __future__ import annotations
@@ -119,9 +120,13 @@ def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.stack([products(vectors, query) for query in queries])
 
 
-def _search(node: dict, centre: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, most: float):
+def _search(
+    node: dict, centre: np.ndarray, queries: np.ndarray, floors: np.ndarray, hidden: np.ndarray, hides: np.ndarray,
+    k: int, most: float,
+):
     """(scores, ids) of the k best in a node, one row per query of a block; id -1 where there are fewer.
 
+    Where ``hides`` is true, rows of the query's ``hidden`` id do not count.
     Every query goes through the pages in its own order. In each round, the queries whose next page is
     the same are scored together.
     """
@@ -169,7 +174,9 @@ def _search(node: dict, centre: np.ndarray, queries: np.ndarray, floors: np.ndar
             first, last = np.searchsorted(entry_of, wanted), np.searchsorted(entry_of, wanted, "right")
             column = np.repeat(np.arange(len(wanted)), last - first)
             own = np.concatenate([ids[a:b] for a, b in zip(first.tolist(), last.tolist())])
-            all_scores = np.hstack([best[some], found[:, column]])
+            found = found[:, column]
+            found[hides[some][:, None] & (own[None, :] == hidden[some][:, None])] = _NONE
+            all_scores = np.hstack([best[some], found])
             all_ids = np.hstack([best_ids[some], np.broadcast_to(own, (len(some), len(own)))])
             top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
             best[some] = np.take_along_axis(all_scores, top, axis=1)
@@ -253,7 +260,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                         goes[np.arange(len(first)), first] = True
                         floors = np.full(len(qids), _NONE)
                     else:
-                        floors = some.column(2).to_numpy()
+                        floors = some.column("floor").to_numpy()
                         reach = _reach(floors, np.einsum("ij,ij->i", vectors, vectors), most)
                         goes = bounds <= reach[:, None]
                         goes[np.arange(len(first)), first] = False
@@ -266,12 +273,14 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                                 "qids": [qids[who].tobytes()],
                                 "qvecs": [vectors[who].tobytes()],
                                 "floors": [floors[who].tobytes()],
+                                "owns": [some.column("own").to_numpy()[who].tobytes()],
+                                "hides": [some.column("hides").to_numpy(zero_copy_only=False)[who].tobytes()],
                             }
                         )
 
         return run
 
-    block = "route int, part long, qids binary, qvecs binary, floors binary"
+    block = "route int, part long, qids binary, qvecs binary, floors binary, owns binary, hides binary"
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = lifted(routes.value, most)
@@ -280,7 +289,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 qids, floors = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"], np.int64)
                 queries_ = matrix(row["qvecs"], dims)
-                scores, ids = _search(row, around[row["route"]], queries_, floors, k + 1, most)
+                owns, hides = np.frombuffer(row["owns"], np.int64), np.frombuffer(row["hides"], bool)
+                scores, ids = _search(row, around[row["route"]], queries_, floors, owns, hides, k + 1, most)
                 real = scores != _NONE
                 yield pa.RecordBatch.from_pydict(
                     {"qid": np.repeat(qids, real.sum(axis=1)), "vec_id": ids[real], "score": scores[real]}
@@ -294,7 +304,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
     first = saved(visited(different.mapInArrow(blocks(True), block)), "mtree-first")
     floors = first.groupBy(F.col("qid").alias("q")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     with_floor = different.join(floors, F.col("qid") == F.col("q"), "left").select(
-        "qid", "vec", F.when(F.col("n") > k, F.col("floor")).otherwise(int(_NONE)).alias("floor")
+        "qid", "vec", F.when(F.col("n") > k, F.col("floor")).otherwise(int(_NONE)).alias("floor"), "own", "hides"
     )
     second = visited(with_floor.mapInArrow(blocks(False), block))
     return best_of_each(queries, first.unionByName(second), k)
@@ -307,6 +317,8 @@ def _no_results(queries: DataFrame) -> DataFrame:
 
 def _all_equal(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Vectors without components all score 0."""
-    few = rows.orderBy("id").limit(k + 1).select(F.col("id").alias("vec_id"))
+    few = folded(rows, k + 1).select(F.explode("ids").alias("vec_id"))
     zero = F.lit(0).cast("bigint").alias("score")
-    return best_of_each(queries, queries.select("qid").distinct().join(F.broadcast(few)).select("*", zero), k)
+    pairs = queries.select("qid", "own", "hides").distinct().join(F.broadcast(few))
+    shown = ~(F.col("hides") & (F.col("own") == F.col("vec_id")))
+    return best_of_each(queries, pairs.filter(shown).select("qid", "vec_id", zero), k)

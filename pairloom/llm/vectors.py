@@ -45,31 +45,41 @@ def as_bytes(
 
 
 def folded(rows: DataFrame, most: int) -> DataFrame:
-    """(vec, ids): each different vector with its ``most`` smallest ids.
+    """(vec, ids): each different vector with its ``most`` smallest different ids.
 
-    More are never wanted of one vector: equal vectors score alike, and the smaller ids go first. Each
-    task keeps that many before the shuffle, so a hot vector stays small.
+    More are never wanted of one vector: equal vectors score alike, and the smaller ids go first. An id
+    stands there once per row, up to ``most`` times. Rows fold map-side, and each task keeps that many ids
+    before the shuffle, so a hot vector stays small.
     """
+    each = rows.groupBy("vec", "id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    few = rows.withColumn("rank", rank).filter(F.col("rank") <= most)
-    return saved(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    few = each.withColumn("rank", rank).filter(F.col("rank") <= most)
+    copies = F.array_repeat("id", F.least("n", F.lit(most)).cast("int"))
+    return saved(few.groupBy("vec").agg(F.sort_array(F.flatten(F.collect_list(copies))).alias("ids")), "vectors")
 
 
 def query_rows(rows: DataFrame, every: int) -> DataFrame:
-    """(query_id, vec, qid, n_rows) of the different queries, and how many rows each has.
+    """(query_id, vec, n_rows, own, hides, qid) of the different queries; each has ``n_rows`` rows.
 
-    ``qid`` numbers the different vectors: equal vectors are searched once.
+    ``qid`` numbers what is searched: the different vectors, and apart from them each vector of an id with
+    several rows. Such an id could fill a search with its own rows, so ``hides`` says that rows of the id
+    ``own`` take no part in it.
     """
     queries = rows.filter(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id"), "vec")
     queries = saved(queries.agg(F.count("*").alias("n_rows")), "query-rows")
-    numbers = queries.select(F.col("vec").alias("v")).distinct().withColumn("qid", F.monotonically_increasing_id())
-    numbers = saved(numbers, "query-numbers")
-    return saved(queries.join(numbers, F.col("vec") == F.col("v")).drop("v"), "queries")
+    several = queries.groupBy(F.col("query_id").alias("i")).agg((F.sum("n_rows") > 1).alias("hides"))
+    own = F.when(F.col("hides"), F.col("query_id")).otherwise(0).alias("own")
+    queries = queries.join(several, F.col("query_id") == F.col("i")).select("query_id", "vec", "n_rows", own, "hides")
+    numbers = queries.select(F.col("vec").alias("v"), F.col("own").alias("o"), F.col("hides").alias("h")).distinct()
+    numbers = saved(numbers.withColumn("qid", F.monotonically_increasing_id()), "query-numbers")
+    same = (F.col("vec") == F.col("v")) & (F.col("own") == F.col("o")) & (F.col("hides") == F.col("h"))
+    return saved(queries.join(numbers, same).drop("v", "o", "h"), "queries")
 
 
 def in_blocks(queries: DataFrame) -> DataFrame:
-    """(qid, vec) of the different query vectors, about ``BLOCK`` in a partition."""
-    different = queries.groupBy("qid").agg(F.first("vec").alias("vec"))
+    """(qid, vec, own, hides) of what is searched, about ``BLOCK`` in a partition."""
+    firsts = [F.first(name).alias(name) for name in ("vec", "own", "hides")]
+    different = queries.groupBy("qid").agg(*firsts)
     n = queries.select("qid").distinct().count()
     return different.repartition(max(1, -(-n // BLOCK)))
 
@@ -77,7 +87,8 @@ def in_blocks(queries: DataFrame) -> DataFrame:
 def best_of_each(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of a query the k best that are not of its id.
 
-    ``found`` has (qid, vec_id, score) with the k + 1 best of each qid and perhaps more.
+    ``found`` has (qid, vec_id, score) with the k + 1 best rows of each qid, without those that it hides,
+    and perhaps more.
     """
     order = [F.col("score").desc(), F.col("vec_id")]
     top = F.row_number().over(Window.partitionBy("qid").orderBy(*order))

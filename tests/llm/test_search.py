@@ -211,6 +211,23 @@ def test_queries_that_share_an_id(spark, operator, every, k):
     assert lists(operator.search(frame(spark, rows), **more).collect()) == naive_lists(plain, every, k)
 
 
+@pytest.mark.parametrize("operator,every,k", [(mtree, 50, 5), (hash_forest, 20, 20)])
+def test_repeated_rows_leave_others_their_places(spark, operator, every, k):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-9, 9, 8).astype(float).tolist()) for i in range(1, 60)]
+    for key, m in ((100, 2), (200, 6), (300, 30)):
+        rows += [(key, rng.integers(20, 29, 8).astype(float).tolist())] * m
+    rows += [(400, rng.integers(30, 39, 8).astype(float).tolist()) for _ in range(25)]  # one id, many vectors
+    rows += [(71, [40.0] * 8)] * 30 + [(72, [40.0] * 8), (500, [40.0] * 8)]  # an equal vector of a later id
+    whole = operator is mtree
+    plain = [(key, np.floor(256 * v) if whole else v) for key, v in usable(rows, whole)]
+    more = {} if whole else {"share": 24.0}
+    assert lists(operator.search(frame(spark, rows), **more).collect()) == naive_lists(plain, every, k)
+    if whole:
+        empty = [(key, []) for key in [50] * 30 + [100, 1, 2, 3]]
+        assert {r.vec_id for r in mtree.search(frame(spark, empty)).collect() if r.query_id == 50} == {1, 2, 3, 100}
+
+
 @pytest.mark.parametrize("page", [64, 4096])
 def test_approximate_search(spark, vectors, monkeypatch, page):
     monkeypatch.setattr(hash_forest, "PAGE", page)
