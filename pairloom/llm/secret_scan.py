@@ -50,9 +50,16 @@ SENSITIVE = {
 }
 # Words that say the value is not itself the secret.
 HARMLESS = {"file", "path", "url", "uri", "name", "id", "type", "length", "size", "count", "limit", "field"}
+# Words that make a placeholder after "my" or "your", all in one case.
+_WORDS = (
+    "access api app auth bearer client code credentials credential database db encryption goes here id key name own"
+    " passphrase password passwd private pwd secret server service signing string super token user value"
+)
+_PHRASE = "(?:" + "|".join(sorted(_WORDS.split(), key=len, reverse=True)) + ")"
 PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|test|none|null|true|false|undefined|todo"
-    r"|your[\w-]*|my[\w-]*|<.*>|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\})$"
+    rf"|(?-i:(?:your|my)(?:[-_]?{_PHRASE})++|(?:YOUR|MY)(?:[-_]?{_PHRASE.upper()})++)"
+    r"|<.*>|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\})$"
 )
 MIN_SCORE = 0.6
 MIN_LITERAL = 8

@@ -253,3 +253,10 @@ def test_long_texts_are_taken_in_parts(spark, monkeypatch, unigram):
     df = spark.createDataFrame([*train, (1000, text, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.identify(df).collect()}[1000]
     assert got.lang_pred == "en" and got.coverage > 0.8
+
+
+def test_only_known_phrases_are_placeholders():
+    for literal in ("your-api-key", "my_password", "YOUR_SECRET_TOKEN", "mypassword", "your-api-key-here"):
+        assert secret_scan.literal_score(literal) == 0.0
+    for text in ('db_pwd = "MyS3cretPass99x"', 'auth_credential: "mYq7Zk29LpXw4"', "bearer = your9fK2mQx81Tz"):
+        assert secret_scan.lexed_spans(text), text
