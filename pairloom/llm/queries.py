@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import hash_forest, langid, line_dedup, mixing, mtree, packing, secret_scan, sharding, simhash, token_counts
+from pairloom.llm import alignment, hash_forest, langid, line_dedup, mixing, mtree, packing, secret_scan, sharding, simhash, token_counts
 from pairloom.llm.common import saved
 
 
@@ -76,6 +76,14 @@ def op10_search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_texts(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_scan_secrets": op2_scan_secrets,
@@ -87,6 +95,7 @@ QUERIES = {
     "op8_simhash_classes": op8_simhash_classes,
     "op9_identify_language": op9_identify_language,
     "op10_search_nearest": op10_search_nearest,
+    "op11_align_tokens": op11_align_tokens,
 }
 
 _VISIBLE = r"""
