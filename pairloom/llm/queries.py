@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import alignment, hash_forest, langid, line_dedup, mixing, mtree, packing, secret_scan, sharding, simhash, token_counts
+from pairloom.llm import (
+    alignment,
+    conversation_trie,
+    decontamination,
+    hash_forest,
+    langid,
+    line_dedup,
+    mixing,
+    mtree,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+)
 from pairloom.llm.common import saved
 
 
@@ -84,6 +98,16 @@ def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_scan_secrets": op2_scan_secrets,
@@ -96,17 +120,24 @@ QUERIES = {
     "op9_identify_language": op9_identify_language,
     "op10_search_nearest": op10_search_nearest,
     "op11_align_tokens": op11_align_tokens,
+    "op12_find_benchmark": op12_find_benchmark,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _VISIBLE = r"""
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
-    '(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|tr|td|th|table|article|section|header|footer|main|aside|title|body|head|html|form|blockquote|pre)(?:\s[^>]*)?/?>', chr(10), 'g'),
-    '<[^>]*>', '', 'g'),
+    '(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', '', 'g'),
+    '(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|tr|td|th|table|article|section|header|footer|main|aside|title|body|head|html|form|blockquote|pre)(?:[\s/][^>]*)?(?:>|\z)', chr(10), 'g'),
+    '<[A-Za-z/!?][^>]*(?:>|\z)', '', 'g'),
     '[ \t]*\n[ \t\n]*', chr(10), 'g'), chr(10))"""
 
 _BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
 
+_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}'), "
+    rf"'{decontamination.WORDS}')"
+)
+
 ORACLES: dict[str, str] = {
     "op5_drop_site_lines": f"""
         WITH p AS (
@@ -146,4 +177,22 @@ ORACLES: dict[str, str] = {
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
           FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_find_benchmark": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+        b AS (SELECT item_id, words, least({decontamination.WINDOW}, len(words)) AS n
+              FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+        w AS (SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS phrase
+              FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS s FROM b)),
+        p AS (SELECT r, n, p, array_to_string(words[p:p + n - 1], ' ') AS phrase
+              FROM (SELECT r, n, words, unnest(range(1, len(words) - n + 2)) AS p
+                    FROM d CROSS JOIN (SELECT DISTINCT n FROM b))),
+        m AS (SELECT DISTINCT r, n, p, phrase FROM p SEMI JOIN w USING (n, phrase)),
+        h AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS pos FROM m) GROUP BY r),
+        i AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items
+              FROM m JOIN w USING (n, phrase) WHERE item_id IS NOT NULL GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+               sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
 }
