@@ -8,14 +8,14 @@ page; blank lines are left where they are.
 The count folds map-side, so a host or line that holds a third of all rows arrives as one row per task.
 A host has at most (lines per page / max_ratio) boilerplate lines. The list of all hosts is broadcast up
 to ``BROADCAST_LINES`` lines, checked by a count; beyond, it is joined by host and a salt, which deals a
-hot host over many tasks. Both ways give the same rows.
+host with many pages over several tasks. Both ways give the same rows. A page looks up its lines among its
+own boilerplate only, in buckets, so a page of many lines takes little more than linear time.
 
 Nulls: a null host is a host of its own; a null text has no lines, counts as a page, and stays null. An
-empty text stays empty. Empty table: no rows. Repeated rows count as pages of their own, unless
-``once_per_text`` counts the different texts of a host instead: then copies of a page are no sign that its
-lines are boilerplate. Near copies are different texts; ``spare_from`` keeps a text whole that would lose
-more than half of its characters, among them a line of that many characters or more. The result has the
-named columns only, so others may have any name.
+empty text stays empty. Empty table: no rows. Repeated rows count as pages of their own, unless a
+``page`` column says which rows are one page: then copies of a page, or near copies that have been put in
+one class, are no sign that its lines are boilerplate. The result has the named columns only, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.rows import once
 from pairloom.llm.common import saved
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
 BROADCAST_LINES = 200_000
-SALTS = 64
+# Beyond the broadcast: pages of a host that one task should hold, and hosts that may be larger.
+PAGES_PER_SALT = 100_000
+MOST_SALTS = 256
 
 
 def _stripped(line: Column) -> Column:
@@ -38,52 +41,71 @@ def _stripped(line: Column) -> Column:
 
 
 def _digest(line: Column) -> Column:
-    # 96 bits: two lines of one host do not meet by accident.
-    return F.struct(F.xxhash64(_stripped(line)).alias("a"), F.hash(_stripped(line)).alias("b"))
+    return F.xxhash64(_stripped(line))
 
 
 def line_digests(text: str) -> Column:
     """Digests of a text's different lines that are not blank."""
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda line: _stripped(line) != "")
-    return F.array_distinct(F.transform(lines, _digest))
+    # 96 bits: two lines of one host do not meet by accident.
+    return F.array_distinct(F.transform(lines, lambda line: F.struct(_digest(line).alias("a"), F.hash(_stripped(line)).alias("b"))))
 
 
 def boilerplate(
-    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once_per_text: bool = False
+    pages: DataFrame,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """(host, host_pages, line, line_pages) of each boilerplate line; ``pages`` has host and text.
 
-    With ``once_per_text`` pages are the different texts of a host; copies fold map-side.
+    Where ``pages`` has a column ``page``, rows of one value are one page, and ``classes`` (page, class)
+    may put several pages together as one. Copies fold map-side before they are looked up there.
     """
-    if once_per_text:
-        pages = pages.withColumn("page", F.xxhash64("text"))
+    lines = F.explode(line_digests("text")).alias("line")
+    if "page" in pages.columns:
+        host_pages = pages.select("host", "page").distinct()
+        line_pages = pages.select("host", "page", lines).distinct()
+        if classes is not None:
+            host_pages, line_pages = (
+                df.join(classes, "page", "left").withColumn("page", F.coalesce("class", "page"))
+                for df in (host_pages, line_pages)
+            )
         n_pages = F.count_distinct("page")
     else:
-        pages = pages.withColumn("page", F.lit(None))
-        n_pages = F.count("*")
-    hosts = pages.groupBy("host").agg(n_pages.alias("host_pages"))
-    lines = (
-        pages.select("host", "page", F.explode(line_digests("text")).alias("line"))
-        .groupBy("host", "line")
+        host_pages, line_pages, n_pages = pages, pages.select("host", lines), F.count("*")
+    hosts = host_pages.groupBy("host").agg(n_pages.alias("host_pages"))
+    found = (
+        line_pages.groupBy("host", "line")
         .agg(n_pages.alias("line_pages"))
         .filter(F.col("line_pages") >= min_pages)
         .select(F.col("host").alias("line_host"), "line", "line_pages")
     )
     return (
-        lines.join(hosts, F.col("line_host").eqNullSafe(F.col("host")))
+        found.join(hosts, F.col("line_host").eqNullSafe(F.col("host")))
         .filter(F.col("line_pages") > max_ratio * F.col("host_pages"))
         .select("host", "host_pages", "line", "line_pages")
     )
 
 
-def _spared(spare_from: int) -> Column:
-    """Whether what is ``left`` lacks a long line and most characters of the text."""
-    long = F.filter(F.split("text", "\n", -1), lambda line: F.length(_stripped(line)) >= spare_from)
-    lost = F.exists(long, lambda line: F.array_contains(F.col("lines"), _digest(line)))
-    ink = lambda text: F.length(F.regexp_replace(text, r"\s+", ""))
-    fewer = F.size("left") < F.col("n_lines")
-    most = 2 * ink(F.array_join("left", "\n")) < ink(F.col("text"))
-    return F.coalesce(F.when(fewer, lost & most), F.lit(False))
+def _with_lists(pages: DataFrame, found: DataFrame, broadcast_lines: int) -> DataFrame:
+    """Pages with the boilerplate of their host in ``listed``."""
+    lists = found.groupBy(F.col("host").alias("list_host")).agg(
+        F.collect_list("line.a").alias("listed"), F.max("host_pages").alias("host_pages")
+    )
+    same_host = F.col("host").eqNullSafe(F.col("list_host"))
+    if found.count() <= broadcast_lines:
+        return pages.join(F.broadcast(lists), same_host, "left").drop("list_host", "host_pages")
+    salts = F.least(F.lit(MOST_SALTS), 1 + F.floor(F.col("host_pages") / PAGES_PER_SALT)).cast("int")
+    salted = lists.withColumn("list_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    # Hosts of several salts; each has PAGES_PER_SALT pages, so there are few, and all others have salt 0.
+    large = lists.filter(salts > 1).select(F.col("list_host").alias("large_host"), salts.alias("salts"))
+    dealt = pages.join(F.broadcast(large), F.col("host").eqNullSafe(F.col("large_host")), "left").withColumn(
+        "salt", F.pmod(F.xxhash64("text", "_k0"), F.coalesce("salts", F.lit(1))).cast("int")
+    )
+    return dealt.join(salted, same_host & (F.col("salt") == F.col("list_salt")), "left").drop(
+        "list_host", "host_pages", "large_host", "salts", "salt", "list_salt"
+    )
 
 
 def drop_site_lines(
@@ -94,37 +116,41 @@ def drop_site_lines(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
-    once_per_text: bool = False,
-    spare_from: int | None = None,
+    page: Column | None = None,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """The ``keep`` columns, ``host``, ``text`` without boilerplate, ``n_lines`` and ``n_dropped``.
 
-    ``n_lines`` counts the lines of the text before, blank ones too.
+    ``n_lines`` counts the lines of the text before, blank ones too. ``page`` and ``classes`` are those
+    of ``boilerplate``.
     """
     kept = [F.col(f"`{name}`").alias(f"_k{i}") for i, name in enumerate(keep)]
+    names = [f"_k{i}" for i in range(len(kept))]
     pages = df.select(*kept, host.alias("host"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(boilerplate(pages.select("host", "text"), max_ratio, min_pages, once_per_text), "boilerplate")
-    lists = found.groupBy(F.col("host").alias("list_host")).agg(F.collect_list("line").alias("lines"))
-    same_host = F.col("host").eqNullSafe(F.col("list_host"))
-    if found.count() <= broadcast_lines:
-        matched = pages.join(F.broadcast(lists), same_host, "left")
-    else:
-        salted = lists.withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = pages.withColumn("salt", F.pmod(F.xxhash64("text", "_k0"), F.lit(SALTS)).cast("int")).join(
-            salted, same_host & (F.col("salt") == F.col("list_salt")), "left"
-        )
+    counted = df.select(host.alias("host"), F.col(f"`{text_col}`").alias("text"), *([page.alias("page")] if page is not None else []))
+    found = saved(boilerplate(counted, max_ratio, min_pages, classes), "boilerplate")
+    matched = _with_lists(pages, found, broadcast_lines)
+    # The page's own boilerplate, by hashing, and then in as many buckets as make both steps short.
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda line: ~F.array_contains(F.col("lines"), _digest(line)))
-    cleaned = matched.select(
-        *[f"_k{i}" for i in range(len(kept))],
+    looked = once(
+        matched, [*names, "host", "text"], own=F.array_intersect(F.transform(lines, _digest), F.col("listed"))
+    )
+    n_buckets = F.ceil(F.sqrt(F.size("own"))).cast("int")
+    numbers = F.when(F.size("own") > 0, F.sequence(F.lit(0), n_buckets - 1))
+    cut = once(
+        looked,
+        [*names, "host", "text"],
+        buckets=F.transform(numbers, lambda i: F.filter("own", lambda line: F.pmod(line, n_buckets) == i)),
+    )
+    in_bucket = lambda line: F.get("buckets", F.pmod(_digest(line), F.size("buckets")).cast("int"))
+    left = F.filter(lines, lambda line: ~F.array_contains(in_bucket(line), _digest(line)) | (_stripped(line) == ""))
+    cleaned = cut.select(
+        *names,
         "host",
         "text",
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.when(F.col("lines").isNotNull(), left).alias("left"),
-        "lines",
+        F.when(F.col("buckets").isNotNull(), left).alias("left"),
     )
-    if spare_from is not None:
-        cleaned = cleaned.withColumn("left", F.when(~_spared(spare_from), F.col("left")))
     return cleaned.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)],
         "host",
@@ -134,14 +160,22 @@ def drop_site_lines(
     )
 
 
+# Patterns that never read a stretch of text twice: what is not closed goes on to the end of the page, as
+# in browsers, and a match that has begun cannot fail.
+_HIDDEN = r"(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
 # What begins a new line of text in a page.
-_BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|tr|td|th|table|article|section|header|footer|main|aside|title|body|head|html|form|blockquote|pre)(?:\s[^>]*)?/?>"
+_BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|tr|td|th|table|article|section|header|footer|main|aside|title|body|head|html|form|blockquote|pre)(?:[\s/][^>]*+)?(?:>|\z)"
+_TAG = r"<[A-Za-z/!?][^>]*+(?:>|\z)"
 
 
 def visible_lines(html: str) -> Column:
-    """A page's text: scripts, styles and comments out, block tags as line ends, other tags out."""
-    text = F.regexp_replace(F.col(html), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
+    """A page's text: scripts, styles and comments out, block tags as line ends, other tags out.
+
+    A tag begins with a letter, slash, exclamation or question mark after the bracket; another bracket is
+    text. Null stays null, an empty page has an empty text.
+    """
+    text = F.regexp_replace(F.col(html), _HIDDEN, "")
     text = F.regexp_replace(text, _BREAKS, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(text, r"[ \t]*\n[ \t\n]*", "\n")
+    text = F.regexp_replace(text, _TAG, "")
+    text = F.regexp_replace(text, r"(?<![ \t])[ \t]*+\n[ \t\n]*+", "\n")
     return F.btrim(text, F.lit("\n"))

@@ -1,12 +1,19 @@
 """Secret scans: plain patterns, and an assignment-aware lexer on top of them.
 
 The plain patterns find assignments to names that hold secrets, access key ids and long hexadecimal
-runs. The lexer goes further: it reads assignments in source and configuration syntax (``a = "b"``,
-``a: b``, ``"a": "b"``, ``a := 'b'``, ``a => "b"``, ``export A=b``, ``a="b"`` in tags) into pairs of name
-and literal, follows names to the literals they stand for (``key = "..."`` and then ``password = key``),
-joins literals put together with ``+``, and scores each literal by how sensitive the words of the names
-are that it reaches and by how little it looks like a word or a placeholder. Literals that score high
-enough are reported where they stand, as kind ``lexed``. Plain findings are never taken back.
+runs. The lexer goes further. It first tells strings and comments from code, then reads source and
+configuration syntax into pairs of name and literal:
+
+* assignments with ``=``, ``:``, ``:=``, ``=>``, also to a quoted or bracketed key, after a type annotation, in
+  parentheses, in triple quotes, on the next line, and YAML block scalars;
+* ``#define``, ``setenv``, ``export``, ``ENV`` and command-line options;
+* setters, calls with a name and a literal, tags and attributes, and the literals among a call's arguments.
+
+It follows names to the literals they stand for (``key = "..."`` and then ``password = key`` or
+``password = f"{key}"``), joins literals put together with ``+``, and scores each literal by how sensitive the
+words of the names are that it reaches and by how little it looks like a word, a name or a placeholder.
+Literals that score high enough are reported where they stand, as kind ``lexed``. Plain findings are never
+taken back. A name inside a string or comment can only be given a value inside it.
 
 Each text is scanned whole, in one pass per pattern; no pattern tries a place twice, so time is linear.
 Spans are in code points, end exclusive. Nulls: a null text is an empty one and has no spans; a null id
@@ -18,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -33,14 +41,55 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-# One assignment: a name, an operator, and a first value that is quoted, or bare up to a delimiter.
-NAME = r"(?<![\w.$-])([A-Za-z_$][\w.$-]*+)"
-OPERATOR = r"[\"']?[ \t]*+(?::=|=>|[:=](?!=))[ \t]*+"
-VALUE = r"(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s\"'`,;(){}\[\]<>]++))"
-PAIR = re.compile(NAME + OPERATOR + VALUE)
-JOINED = re.compile(r"[ \t]*+\+[ \t]*+" + VALUE)
+# What strings and comments look like. A string that its line does not close is none; what else is not
+# closed goes on to the end, so no stretch is read twice.
+SEGMENT = re.compile(
+    r'(?P<triple>"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\Z)|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+(?:\'\'\'|\Z))'
+    r'|(?P<string>"(?:[^"\\\n]|\\.)*+(?P<c1>")?|(?<!\w)\'(?:[^\'\\\n]|\\.)*+(?P<c2>\')?|`[^`\n]*+(?P<c3>`)?)'
+    r"|(?P<comment><!--(?:[^-]|-(?!->))*+(?:-->|\Z)|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)"
+    r"|(?:(?<![:\w\"'/])//|(?<![^\s;])\#(?!\s*+define\b))[^\n]*+)",
+    re.DOTALL,
+)
+# A name, and what may stand between it and its value.
+WORD = r"[A-Za-z_$][\w.$-]*+"
+NAME = rf"(?<![\w.$-])({WORD})"
+LINE_END = r"(?:\\?\r?\n[ \t]*+(?=[\"'`(]))?"
+OPERATOR = (
+    r"(?:[\"'`]?[ \t]*+\]|[\"'`])?[ \t]*+"
+    r"(?:\??:[ \t]*+[A-Za-z_][\w.\[\]|?<> ]{0,60}+=(?![=>])|:=|=>|[?+|]*+=(?![=~])|:(?![:=/]))[ \t]*+" + LINE_END
+)
+# Marks before a literal, and the literal: quoted in one of four ways, or bare up to a delimiter.
+PREFIX = r"(?:\([ \t]*+)*+(?:[rRbBuUfF]{1,2}(?=[\"'])|[@$](?=\"))?"
+VALUE = (
+    PREFIX + r"(?:\"\"\"((?:[^\"\\]|\\.|\"(?!\"\"))*+)\"\"\"|'\'\'((?:[^'\\]|\\.|'(?!''))*+)'\'\'"
+    r"|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s\"'`,;(){}\[\]<>|]++))"
+)
+PAIR = re.compile(NAME + OPERATOR + VALUE, re.DOTALL)
+JOINED = re.compile(r"[ \t]*+(?:\+|\.(?=[ \t]))[ \t]*+(?:\\?\n[ \t]*+)?" + VALUE, re.DOTALL)
+BLOCK = re.compile(rf"^([ \t]*+)(?:-[ \t]++)?[\"']?({WORD})[\"']?[ \t]*+:[ \t]*+[|>][+-]?[0-9]?[ \t]*+\r?\n", re.MULTILINE)
+SPACED = re.compile(
+    rf"(?:^[ \t]*+\#[ \t]*+define[ \t]++|(?<![\w.-])(?:setenv|setx|ENV)[ \t]++|(?<![\w-])--?(?=[A-Za-z]))({WORD})[ \t=]++{VALUE}",
+    re.MULTILINE | re.DOTALL,
+)
+SETTER = re.compile(rf"(?<![A-Za-z0-9])(?:set|with|add|put)_?([A-Z_]\w*+)\([ \t]*+{VALUE}", re.DOTALL)
+TWO = re.compile(rf"\([ \t]*+[\"']({WORD})[\"'][ \t]*+,[ \t]*+{VALUE}", re.DOTALL)
+ATTRIBUTES = re.compile(rf"(?<![\w-])(?:key|name|id|property|variable)[ \t]*+=[ \t]*+[\"']({WORD})[\"'][ \t\n]++value[ \t]*+=[ \t]*+{VALUE}", re.IGNORECASE | re.DOTALL)
+ELEMENT = re.compile(rf"<({WORD})(?:[ \t][^<>\n]*+)?>([^<>\n]++)</")
+NAMED_ELEMENT = re.compile(rf"<[^<>\n]*?(?:key|name|id)[ \t]*+=[ \t]*+[\"']({WORD})[\"'][^<>\n]*+>([^<>\n]++)</", re.IGNORECASE)
+# Strings among the arguments of a call that a name is set to.
+ARGUMENT = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|([()\n])")
+CALL = re.compile(NAME + OPERATOR + rf"(?:(?:await|new)[ \t]++)?({WORD})(?:\[(?=[\"'])|\()")
 REFERENCE = re.compile(r"[A-Za-z_$][\w.$-]*")
+INSIDE = re.compile(r"[$#]?\{[ \t]*+([A-Za-z_$][\w.$-]*+)[ \t]*+(?:![rsa])?\}")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+# Calls whose first argument says where to look, and is no secret.
+LOOKUPS = {
+    "get", "getenv", "env", "environ", "config", "lookup", "fetch", "read", "load", "require", "property", "param",
+    "open", "prompt", "input", "getpass", "find", "resolve",
+}
+MOST_DEPTH = 8
+# Words and names put together, each in one case, and without digits: no literal if bare.
+PLAIN_WORDS = re.compile(r"(?:[a-z]++|[A-Z][a-z]*+|[A-Z]++)(?:[-_./:]++(?:[a-z]++|[A-Z][a-z]*+|[A-Z]++))*+")
 
 # How sensitive a word of a name is, from 0 to 1.
 SENSITIVE = {
@@ -88,35 +137,146 @@ def literal_score(literal: str) -> float:
     return min(1.0, bits / 4.0 * 0.6 + kinds * 0.15)
 
 
-def lex(text: str) -> tuple[list[tuple[str, list[tuple[int, int]]]], list[tuple[str, str]]]:
-    """(name, spans of its literals) and (name, name it is set to), in the order of the text."""
-    literals, references = [], []
-    at = 0
-    while match := PAIR.search(text, at):
-        name, spans, value = match[1], [], match
-        at = match.end()
+class _Segments:
+    """Strings and comments of a text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, bool]] = []  # inner start and end, and whether it is a string
+        for match in SEGMENT.finditer(text):
+            start, end = match.span()
+            if match.lastgroup in ("c1", "c2", "c3") or match["string"] is not None:
+                if end - start < 2 or text[end - 1] != text[start] or not (match["c1"] or match["c2"] or match["c3"]):
+                    continue
+                self.starts.append(start)
+                self.spans.append((start + 1, end - 1, True))
+            elif match["triple"] is not None:
+                self.starts.append(start)
+                self.spans.append((start + 3, max(start + 3, end - 3), True))
+            else:
+                self.starts.append(start)
+                self.spans.append((start, end, False))
+
+    def around(self, at: int) -> tuple[int, int, bool] | None:
+        """The string or comment that a place lies in."""
+        i = bisect_right(self.starts, at) - 1
+        if i >= 0 and self.spans[i][0] <= at < self.spans[i][1]:
+            return self.spans[i]
+        return None
+
+    def allows(self, name: tuple[int, int], value: tuple[int, int], quoted: bool) -> bool:
+        """Whether a name can have a value: both in the same string or comment, or both in code."""
+        own, other = self.around(name[0]), self.around(value[0])
+        if own is not None and own[2] and (own[0], own[1]) == name:
+            own = None  # a quoted name
+        if own is not None:
+            return value[1] <= own[1]
+        # In code a quoted value is a whole string; a bare one lies in none.
+        return other is None or (quoted and (other[0], other[1]) == value)
+
+
+def _call_strings(text: str, at: int, lookup: bool) -> list[tuple[int, int]]:
+    """Spans of the strings among a call's arguments, up to its end or the line's.
+
+    Calls inside calls are read again for their own names, and so down to a bounded depth.
+    """
+    spans, depth, n = [], 1, 0
+    for match in ARGUMENT.finditer(text, at):
+        if match[3] == "(":
+            depth += 1
+            if depth > MOST_DEPTH:
+                break
+        elif match[3]:
+            depth -= 1
+            if not depth or match[3] == "\n":
+                break
+        else:
+            n += 1
+            if not (lookup and n == 1):
+                spans.append(match.span(match.lastindex))
+    return spans
+
+
+def lex(text: str) -> tuple[list[tuple[str, list[tuple[int, int, bool]]]], list[tuple[str, str]]]:
+    """(name, spans of its literals and whether they are quoted) and (name, name it is set to)."""
+    segments = _Segments(text)
+    literals: list[tuple[str, list[tuple[int, int, bool]]]] = []
+    references: list[tuple[str, str]] = []
+
+    def take(match: re.Match, first: int = 2) -> int:
+        """Note the value of a match, and what is joined to it; where reading goes on."""
+        name, spans, value, end = match[1], [], match, match.end(1)
         while value:
             group = value.lastindex
-            start, end = value.span(group)
-            bare = text[start:end]
-            quoted = start > 0 and text[start - 1] in "\"'`" and text[end : end + 1] == text[start - 1]
-            if quoted:
-                spans.append((start, end))
-            else:
-                if REFERENCE.fullmatch(bare):
-                    references.append((name, bare))
-                if bare:
-                    spans.append((start, end))
-            at = value.end()
-            value = JOINED.match(text, at)
-        literals.append((name, spans))
+            start, stop = value.span(group)
+            quoted = stop < len(text) and start > 0 and text[start - 1] in "\"'`" and text[stop] == text[start - 1]
+            if not segments.allows(match.span(1), (start, stop), quoted):
+                break
+            end = max(end, value.end())
+            own = text[start:stop]
+            if not quoted and REFERENCE.fullmatch(own):
+                references.append((name, own))
+            if quoted and "{" in own:
+                references.extend((name, source) for source in INSIDE.findall(own))
+            # A bare name before a bracket is what is called, not a value.
+            if own and (quoted or text[stop : stop + 1] not in ("(", "[")):
+                spans.append((start, stop, quoted))
+            value = JOINED.match(text, value.end())
+        if spans or end > match.end(1):
+            literals.append((name, spans))
+        return max(end, match.end(1))
+
+    has_call = "(" in text or "[" in text
+    at = 0
+    while match := PAIR.search(text, at):
+        at = take(match)
+    if has_call:
+        for match in CALL.finditer(text):
+            callee = re.split(r"[._]", match[2].lower())
+            lookup = text[match.end() - 1] == "[" or not LOOKUPS.isdisjoint(callee) or any(w.startswith("get") for w in callee)
+            found = _call_strings(text, match.end(), lookup)
+            found = [span for span in found if segments.allows(match.span(1), span, True)]
+            literals.append((match[1], []))
+            literals.extend((match[1], [(*span, True)]) for span in found)
+        for pattern in (SETTER, TWO):
+            for match in pattern.finditer(text):
+                take(match)
+    if "--" in text or "define" in text or "setenv" in text or "setx" in text or "ENV" in text or " -" in text:
+        for match in SPACED.finditer(text):
+            take(match)
+    if "<" in text:
+        for match in ATTRIBUTES.finditer(text):
+            take(match)
+        for pattern in (ELEMENT, NAMED_ELEMENT):
+            literals.extend((m[1], [(*m.span(2), True)]) for m in pattern.finditer(text))
+    if ":" in text:
+        for match in BLOCK.finditer(text):
+            literals.append((match[2], _block(text, match.end(), len(match[1]))))
     return literals, references
 
 
+def _block(text: str, at: int, indent: int) -> list[tuple[int, int, bool]]:
+    """Lines that are indented further than their key."""
+    spans = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        own = len(line) - len(line.lstrip(" \t"))
+        if line.strip():
+            if own <= indent:
+                break
+            spans.append((at + own, at + len(line.rstrip()), True))
+        at = end + 1
+    return spans
+
+
 def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int]]:
     """Where literals stand that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
-        return []
+    lowered = text.lower()
+    if not any(word in lowered for word in SENSITIVE):
+        return []  # no name scores
     literals, references = lex(text)
     # Sensitivity flows against assignments: what is set to a name makes that name as sensitive.
     scores: dict[str, float] = {}
@@ -127,7 +287,7 @@ def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int]
     for name, source in references:
         if source in scores:
             sources.setdefault(name, []).append(source)
-    waiting = [name for name in sources if scores[name] > 0]
+    waiting = [name for name in sources if scores.get(name, 0) > 0]
     while waiting:
         name = waiting.pop()
         for source in sources.get(name, ()):
@@ -139,10 +299,14 @@ def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int]
     for name, spans in literals:
         if scores[name] <= 0 or not spans:
             continue
-        values = [text[s:e] for s, e in spans]
         # A bare name that is set elsewhere is a reference, and its own literal is reported there.
-        kept = [s for s, v in zip(spans, values) if v not in known]
-        if scores[name] * literal_score("".join(values)) >= min_score:
+        kept = [(s, e) for s, e, quoted in spans if quoted or text[s:e] not in known]
+        value = "".join(text[s:e] for s, e, _ in spans)
+        if all(not quoted for *_, quoted in spans) and PLAIN_WORDS.fullmatch(value):
+            continue
+        if "{" in value and not INSIDE.sub("", value).strip():
+            continue
+        if scores[name] * literal_score(value) >= min_score:
             found.extend(kept)
     return sorted(set(found))
 
