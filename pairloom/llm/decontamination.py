@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.rows import once
 from pairloom.llm.common import saved, text_or_empty
+from pairloom.operators import joins
 
 WINDOW = 10
 # The words of the contract.
@@ -103,11 +104,11 @@ def phrases(found: DataFrame, entries: DataFrame) -> DataFrame:
 
     Windows with a term that no document has are left out, as they occur nowhere.
     """
-    counts = _postings(entries).groupBy("term").agg(F.count("*").alias("n"))
+    counts = saved(_postings(entries).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     terms = found.select("w", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
     by_window = Window.partitionBy("w")
     ranked = (
-        terms.join(counts, "term")
+        joins.lookup(terms, counts, ["term"])
         .withColumn("present", F.count("*").over(by_window))
         .withColumn("rank", F.row_number().over(by_window.orderBy("n", "term", "offset")) - 1)
         .filter(F.col("present") == F.col("length"))

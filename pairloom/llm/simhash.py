@@ -298,6 +298,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, hot_key: int = HOT_KEY) -
     return cool.unionByName(_links(_longer(members, max_bits), max_bits, 3))
 
 
+def print_classes(prints: DataFrame, max_bits: int = MAX_BITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """``prints`` and class_fp, the smallest fingerprint that each can reach. ``fp`` is unique there."""
+    prints = saved(prints, "simhash-distinct")
+    roots = components(links(prints.select("fp"), max_bits, hot_key))
+    classed = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("class_fp", F.coalesce("root", "fp"))
+    return saved(classed.drop("node", "root"), "simhash-classes")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -315,12 +323,7 @@ def near_duplicates(
         fingerprints(df, [id_col, *carry], text_col, shingle).withColumnRenamed(id_col, "_id"),
         "simhash-prints",
     )
-    prints = saved(rows.groupBy("fp").agg(F.min("_id").alias("least_id")), "simhash-distinct")
-    roots = components(links(prints, max_bits, hot_key))
-    classed = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("class_fp")
-    )
-    classed = saved(classed, "simhash-classes")
+    classed = print_classes(rows.groupBy("fp").agg(F.min("_id").alias("least_id")), max_bits, hot_key)
     ids = classed.groupBy(F.col("class_fp").alias("c")).agg(F.min("least_id").alias("component_id"))
     named = classed.join(ids, F.col("class_fp") == F.col("c")).select(
         F.col("fp").alias("f"), "class_fp", "component_id"
