@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators import responses
+from pairloom.streaming import history
 
 # Below this many new pairs, their digests are broadcast to look them up in what is written.
 BROADCAST_DIGESTS = 500_000
@@ -47,12 +48,14 @@ def ingest_responses_stream(
     and ignores them when it looks for known pairs, so the result is the same, and a run with a new
     checkpoint adds to what is there.
 
-    A batch scans the digests of all pairs written so far, one narrow column.
+    Digests of all pairs are kept in buckets below ``out_dir/history``, of which a batch reads those that
+    its own digests fall into (see ``history``).
     """
     query = _query_id(spark, checkpoint)
-    pairs_dir, bad_dir = f"{out_dir}/pairs", f"{out_dir}/quarantine"
+    pairs_dir, bad_dir, seen_dir = (f"{out_dir}/{name}" for name in ("pairs", "quarantine", "history"))
     # An empty write creates the folder, so that the first batch can read it.
     spark.createDataFrame([], _PAIRS).write.mode("append").parquet(pairs_dir)
+    history.start(spark.read.schema(_PAIRS).parquet(pairs_dir), seen_dir)
 
     def handle(lines: DataFrame, batch_id: int) -> None:
         session = lines.sparkSession
@@ -67,19 +70,17 @@ def ingest_responses_stream(
             .persist()
         )
         try:
-            written = (
-                session.read.schema(_PAIRS)
-                .parquet(pairs_dir)
-                .filter((F.col("query") != query) | (F.col("batch_id") != batch_id))
-                .select("digest")
-            )
             digests = new.select("digest")
             if new.count() <= BROADCAST_DIGESTS:
-                # The written table is then only scanned, on its digest column, not shuffled.
+                # What is read of the history is then only scanned, not shuffled.
                 digests = F.broadcast(digests)
-            known = written.join(digests, "digest", "left_semi")
+            known = history.candidates(new, seen_dir, query, batch_id).join(digests, "digest", "left_semi")
             new.join(known, "digest", "left_anti").write.mode("overwrite").parquet(f"{pairs_dir}/{own}")
             responses.quarantine(parsed).write.mode("overwrite").parquet(f"{bad_dir}/{own}")
+            added = session.read.schema("digest binary").parquet(f"{pairs_dir}/{own}").select(
+                "digest", F.lit(query).alias("query"), F.lit(batch_id).cast("bigint").alias("batch_id")
+            )
+            history.add(added, seen_dir, f"level0-{query}-{batch_id}")
         finally:
             new.unpersist()
             parsed.unpersist()
