@@ -29,6 +29,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from pairloom.llm.common import ROWS_AT_ONCE, field, saved, small_batches
 
 # Characters that are encoded and aligned together.
 CHARS_AT_ONCE = 1 << 19
+# Bytes that a task's writer of token ids holds.
+WRITER_BYTES = 16 << 20
 # Pairs of ids whose counts every task holds.
 HOT_PAIRS = 1 << 20
 # Pairs of ids that a task folds before it passes them on.
@@ -116,20 +119,27 @@ class Encoders:
     """Both tokenizers, and the bytes of their ids."""
 
     def __init__(self, byte_file: str, piece_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_file)
-        self.a.encode_special_tokens = True
+        self.byte_file = byte_file
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         self.a_bytes, self.b_bytes = byte_vocabulary(byte_file), piece_vocabulary(self.b)
         self.a_len, self.b_len = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         self.by_rank = _by_rank(byte_file, self.a_bytes)
 
+    @cached_property
+    def by_file(self):
+        """The tokenizer file's own library, which takes much memory and is seldom needed."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.byte_file)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def _a(self, text: str) -> list[int]:
         if self.by_rank is None or _LONG_RUN.search(text):
-            return self.a.encode(text, add_special_tokens=False).ids
+            return self.by_file.encode(text, add_special_tokens=False).ids
         return self.by_rank(text)
 
     def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -456,5 +466,6 @@ def aligned_texts(
 ) -> DataFrame:
     """The figures of ``describe`` for each row."""
     session = small_batches(df.sparkSession, "8m")
-    aligned = saved(align(df, byte_file, piece_file, id_col, text_col), "aligned", session)
+    aligned = align(df, byte_file, piece_file, id_col, text_col)
+    aligned = saved(aligned, "aligned", session, **{"parquet.block.size": WRITER_BYTES})
     return describe(aligned, byte_lengths(byte_file, piece_file), id_col)

@@ -19,14 +19,14 @@ ROWS_AT_ONCE = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+def saved(df: DataFrame, label: str, session: SparkSession | None = None, **options: str | int) -> DataFrame:
     """Write to the shared folder and read from there, if wanted with another session.
 
     That cuts lineage, and outlives executors.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return (session or spark).read.schema(df.schema).parquet(path)
 
 
