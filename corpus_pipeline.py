@@ -4,9 +4,9 @@ Each stage is a function of (spark, documents, folder of the tables), whose resu
 again as the next one's documents. All but the last keep the columns of documents. Decisions:
 
 1. language_id drops documents without a letter or of no learned language (coverage below MIN_COVERAGE);
-2. line_dedup drops a source's boilerplate lines, and documents that consisted of nothing else. Pages are
-   the different texts of a source, and a text that would lose a line of LONG_LINE characters and more than
-   half of all its characters stays as it is, so that copies and near copies reach stage 3;
+2. line_dedup drops a source's boilerplate lines, and documents that consisted of nothing else. Copies and
+   near copies, which are in one SimHash class, count as one page, so that their lines are no boilerplate
+   for that, and they reach stage 3;
 3. simhash_dedup keeps one document of each near-duplicate class, the one with the smallest id;
 4. mix_sources repeats or drops documents so that sources meet their targets;
 5. pack puts tokens into sequences: one row per piece.
@@ -32,8 +32,6 @@ cloudpickle.register_pickle_by_value(pairloom)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Share of a text's n-grams that its language must know.
 MIN_COVERAGE = 0.3
-# Lines from this length on are not taken for menus or footers where they make up most of a text.
-LONG_LINE = 40
 # Not expressible in SQL: tokenizers, Newton steps and packing.
 ORACLE_SQL = None
 
@@ -50,13 +48,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(known).select(*COLUMNS)
 
 
+def _text_classes(docs: DataFrame) -> DataFrame:
+    """(page, class) of each text that has near copies; pages are digests of texts, one of them names a class."""
+    texts = docs.select(F.xxhash64("text").alias("page"), "text")
+    prints = saved(simhash.fingerprints(texts, ["page"]).distinct(), "page-prints")
+    classed = simhash.print_classes(prints.select("fp").distinct())
+    several = prints.join(classed, "fp").select("page", "class_fp")
+    names = several.groupBy("class_fp").agg(F.min("page").alias("class"), F.count("*").alias("n")).filter("n > 1")
+    return saved(several.join(names, "class_fp").select("page", "class"), "page-classes")
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     cleaned = line_dedup.drop_site_lines(
         docs,
         F.col("source"),
         keep=["doc_id", "lang", "source", "n_chars"],
-        once_per_text=True,
-        spare_from=LONG_LINE,
+        page=F.xxhash64("text"),
+        classes=_text_classes(docs),
     )
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
     return cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(
