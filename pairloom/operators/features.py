@@ -275,11 +275,16 @@ def pad_to_batch_max(
     )
     length = F.array_size(ids)
     batch = Window.partitionBy(order.RANGE, "batch_id")
-    rows = rows.withColumn("_gap", F.max(length).over(batch) - length)
+    return padding(rows, F.max(length).over(batch) - length, pad_id, ids, labels).drop(order.RANGE)
+
+
+def padding(df: DataFrame, gap: Column, pad_id: int, ids: str = "input_ids", labels: str | None = "labels") -> DataFrame:
+    """Add ``gap`` pad ids to each row, and the attention mask; labels are padded with -100."""
+    rows = df.withColumn("_gap", gap.cast("int"))
     columns = {
         ids: F.concat(ids, _repeat(pad_id, F.col("_gap"))),
-        "attention_mask": F.concat(_repeat(1, length), _repeat(0, F.col("_gap"))),
+        "attention_mask": F.concat(_repeat(1, F.array_size(ids)), _repeat(0, F.col("_gap"))),
     }
     if labels is not None:
         columns[labels] = F.concat(labels, _repeat(constants.IGNORE_INDEX, F.col("_gap")))
-    return rows.withColumns(columns).drop("_gap", order.RANGE)
+    return rows.withColumns(columns).drop("_gap")

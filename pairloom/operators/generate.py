@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import schemas
+from pairloom.operators import joins
 from pairloom.operators.order import written
+from pairloom.sources import versions
+
+# Prompts that a resumable run generates, and stores, together.
+ROWS_PER_ROUND = 10_000
+_STORED = "digest string, result string"
 
 # A generator takes a list of texts and gives as many results.
 Generator = Callable[[list], list]
@@ -79,6 +88,56 @@ def batch_generate(
     return rows.mapInPandas(run, schemas.RESULT)
 
 
+def _stored(spark, store: str) -> tuple[int, list[str], DataFrame]:
+    """Version and folders of a store, and its results."""
+    number, content = versions.read(spark, store)
+    folders = (content or {"folders": []})["folders"]
+    if not folders:
+        return number, [], spark.createDataFrame([], _STORED)
+    return number, folders, spark.read.schema(_STORED).parquet(*[f"{store}/{f}" for f in folders])
+
+
+def resume_generate(
+    df: DataFrame,
+    col: str,
+    generator_factory: GeneratorFactory,
+    store: str,
+    params: Mapping | None = None,
+    prompt: str | None = None,
+    batch_size: int = 16,
+    num_partitions: int | None = None,
+    rows_per_round: int = ROWS_PER_ROUND,
+) -> DataFrame:
+    """``batch_generate`` that keeps its results in the folder ``store``, and generates only what is not there.
+
+    A result is found by the digest of its prompt and of all params, the model among them, so a store may
+    serve many models and runs. Equal prompts are generated once. Prompts go in rounds of about
+    ``rows_per_round``; each is stored by a version file that is swapped when the round is done, so a
+    run that breaks off loses one round at most. A store has one writer at a time.
+    """
+    spark = df.sparkSession
+    settings = hashlib.sha256(json.dumps(dict(params or {}), sort_keys=True, default=str).encode()).hexdigest()
+    text = F.coalesce(F.concat(F.lit("t"), F.col(prompt or col)), F.lit("n"))
+    digest = F.sha2(F.concat(F.lit(settings), text), 256)
+    rows = written(df.select(F.col(col).alias("input"), F.col(prompt or col).alias("prompt"), digest.alias("digest")), "prompts")
+    number, folders, known = _stored(spark, store)
+    absent = rows.select("digest", "prompt").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
+    absent = written(absent, "absent")
+    rounds = -(-absent.count() // rows_per_round)
+    turn = F.pmod(F.xxhash64("digest"), F.lit(max(1, rounds)))
+    for i in range(rounds):
+        part = absent.filter(turn == i).select(F.struct("digest", "prompt").alias("asked"))
+        part = part.select(F.col("asked.prompt").alias("prompt"), F.to_json("asked").alias("asked"))
+        made = batch_generate(part, "asked", generator_factory, params, "prompt", batch_size, num_partitions)
+        folder = uuid.uuid4().hex
+        made.select(F.get_json_object("input", "$.digest").alias("digest"), "result").write.parquet(f"{store}/{folder}")
+        folders = [*folders, folder]
+        number = versions.publish(spark, store, {"folders": folders}, number)
+    results = _stored(spark, store)[2].dropDuplicates(["digest"])
+    wanted = written(results.join(rows.select("digest").distinct(), "digest", "left_semi"), "results")
+    return joins.lookup(rows.select("input", "digest"), wanted, ["digest"], "left").select("input", "result")
+
+
 def fan_out_models(
     df: DataFrame,
     models: Sequence[Mapping],
@@ -88,12 +147,14 @@ def fan_out_models(
     prompt_of: Callable[[DataFrame, Mapping], DataFrame] | None = None,
     batch_size: int = 16,
     num_partitions: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """The same rows through each model: (model, input, result).
 
     The rows are written to the shared folder once. Every model then has its own branch of the plan, so
     a task only ever loads one model and no row is shuffled to meet it. Each entry of ``models`` has a 'model' name and is merged into the params.
-    ``prompt_of(df, model)`` may add a 'prompt' column that fits the model.
+    ``prompt_of(df, model)`` may add a 'prompt' column that fits the model. With ``store`` results are kept
+    in that folder, and only what is not there is generated (see ``resume_generate``).
     """
     if not models:
         raise ValueError("no model given")
@@ -101,14 +162,11 @@ def fan_out_models(
     result = None
     for model in models:
         rows = df if prompt_of is None else prompt_of(df, model)
-        part = batch_generate(
-            rows,
-            col,
-            generator_factory,
-            {**(params or {}), **model},
-            prompt=None if prompt_of is None else "prompt",
-            batch_size=batch_size,
-            num_partitions=num_partitions,
-        ).select(F.lit(model["model"]).alias("model"), "input", "result")
+        settings, prompt = {**(params or {}), **model}, None if prompt_of is None else "prompt"
+        if store is None:
+            part = batch_generate(rows, col, generator_factory, settings, prompt, batch_size, num_partitions)
+        else:
+            part = resume_generate(rows, col, generator_factory, store, settings, prompt, batch_size, num_partitions)
+        part = part.select(F.lit(model["model"]).alias("model"), "input", "result")
         result = part if result is None else result.unionByName(part)
     return result

@@ -3,8 +3,9 @@
 A DataFrame has no row order, so everything that depends on position (numbering, running totals,
 the first n rows, runs of ten rows) works on a unique sort key. The key space is cut into ranges:
 
-1. one count over the key columns decides how many ranges are needed;
-2. a sample of keys gives the cut keys;
+1. one aggregation over the key columns counts the rows, which decides how many ranges are needed, and of a
+   key that is a number or a point in time gives the cut keys too, by a quantile sketch;
+2. other keys, and very many ranges, take their cuts from a sample of keys;
 3. one aggregation over the key columns gives the rows and the total of each range, as rows are
    assigned to it, and so each range's start.
 
@@ -43,6 +44,9 @@ MAX_CUT_CHARS = 64 << 20
 MIN_ROWS_PER_RANGE = 1_000
 # Keys sampled per range; with 20 a range rarely grows past twice its share.
 SAMPLE_PER_RANGE = 20
+# Cuts that a quantile sketch gives at once, and its error as a share of a range: one in SKETCH_STEPS.
+SKETCH_CUTS = 512
+SKETCH_STEPS = 20
 # Rows that the width of a row is estimated from. It decides sizes of partitions, never results.
 WIDTH_ROWS = 200
 RANGE = "__range"
@@ -169,10 +173,16 @@ def plan_ranges(
     key_type = df.select(_key(df, order_by).alias("k")).schema["k"].dataType
     amount = F.lit(1) if value is None else value
     narrow = df.select(*order_by, amount.cast("bigint").alias("__amount"))
-    total = n_rows
-    if n_rows is None or value is not None:
-        counted = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("__amount"), F.lit(0)).alias("total")).first()
-        n_rows, total = counted.n, counted.total
+    total, quantiles = n_rows, []
+    sketched = isinstance(key_type, T.IntegralType) and (n_rows is None or n_rows > MIN_ROWS_PER_RANGE)
+    if n_rows is None or value is not None or sketched:
+        sums = [F.count("*").alias("n"), F.coalesce(F.sum("__amount"), F.lit(0)).alias("total")]
+        if sketched:
+            shares = F.lit([i / SKETCH_CUTS for i in range(1, SKETCH_CUTS)])
+            sums.append(F.percentile_approx(_key(df, order_by).cast("bigint"), shares, SKETCH_CUTS * SKETCH_STEPS).alias("q"))
+        counted = narrow.agg(*sums).first()
+        n_rows, quantiles = counted.n, (counted.q or []) if sketched else []
+        total = counted.total if value is not None else n_rows
     if rows_per_range is None:
         most = ROWS_PER_RANGE
         if n_rows > MIN_ROWS_PER_RANGE:
@@ -187,7 +197,11 @@ def plan_ranges(
     whole = KeyRanges(order_by, key_type, [], [0], total, n_rows, [n_rows])
     if n_ranges <= 1:
         return whole
-    cuts = _sample_cuts(narrow.select(*order_by), order_by, n_ranges, n_rows)
+    if quantiles and n_ranges <= SKETCH_CUTS:
+        chosen = [quantiles[round(i * SKETCH_CUTS / n_ranges) - 1] for i in range(1, n_ranges)]
+        cuts = _short([json.dumps({"k": k}) for k in chosen], order_by)
+    else:
+        cuts = _sample_cuts(narrow.select(*order_by), order_by, n_ranges, n_rows)
     ranges = _started(narrow, replace(whole, cuts=cuts, starts=[0] * (len(cuts) + 1)))
     return _align(narrow, ranges, align) if align > 1 else ranges
 

@@ -19,8 +19,12 @@ def evaluate_models(
     params: Mapping | None = None,
     add_generation_prompt: bool = False,
     num_partitions: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
-    """(model, input, result) for each test row and model; prompts follow each model's template."""
+    """(model, input, result) for each test row and model; prompts follow each model's template.
+
+    With ``store`` a run that broke off goes on where it was (see ``generate.resume_generate``).
+    """
 
     def prompt_of(df: DataFrame, model: Mapping) -> DataFrame:
         template = model.get("template") or chat.template_name(
@@ -39,4 +43,5 @@ def evaluate_models(
         params,
         prompt_of=prompt_of,
         num_partitions=num_partitions,
+        store=store,
     )

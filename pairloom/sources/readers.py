@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from pairloom.functions.json import STRICT, single_json
 from pairloom.functions.rows import once
 from pairloom.functions.text import strip
+from pairloom.operators import order
 from pairloom.operators.order import written
+from pairloom.sources import versions
 
 # Rows of one broadcast table of file splits: 32 bytes each. More splits take more such tables.
 SPLITS_PER_TABLE = 1_000_000
@@ -20,8 +22,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Several files follow each other by path. Numbering needs no sort and no shuffle of text: a line's
     place inside its file split comes from the scan, and one small aggregation gives the lines before
-    each split. One task sorts one row per split; the splits are then looked up by a 64-bit hash in
-    broadcast tables of bounded size, as many as it takes.
+    each split: a window over the splits of each file, and a running total over files by ranges of their
+    paths. The splits are then looked up by a 64-bit hash in broadcast tables of bounded size, as many as
+    it takes.
 
     Lines are numbered as the plan is built, and again when it runs. If the files are cut or packed
     into tasks otherwise by then, as when ``spark.sql.files.*`` settings or the number of cores have
@@ -35,13 +38,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = written(
-        scan.groupBy("_split", "_file", "_block")
-        .agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-        .select("_split", "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
-        "splits",
-    )
+    parts = scan.groupBy("_split", "_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    parts = written(parts, "splits")
+    lines_of = written(parts.groupBy("_file").agg(F.sum("_n").alias("_lines")), "files")
+    files = order.prefix_sum(lines_of, "_file", F.col("_lines"), "_start").drop("_lines")
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    splits = written(parts.join(files, "_file").select("_split", "_first", "_n", before.alias("_before")), "splits")
     counted = splits.agg(F.count("*").alias("n"), F.count_distinct("_split").alias("different")).first()
     if counted.n != counted.different:
         raise ValueError("two file splits have one hash; read the files in two parts")
@@ -68,10 +71,10 @@ def read_csv_text(
 ) -> DataFrame:
     """Headed CSV whose cells may hold quotes, commas and line breaks.
 
-    Such a file cannot be split, so one file is one task: keep files small, as ``write_csv_text``
-    does. For files that are known to have no line break inside a cell, ``multi_line=False`` lets
-    large ones be split. An empty cell is null, quoted or not; any other text, 'None' or 'NA' too, is
-    data.
+    Here one file is one task, which suits small files, as ``write_csv_text`` makes them; large ones are
+    read in splits by ``csv_splits.read_csv_splits``. For files that are known to have no line break
+    inside a cell, ``multi_line=False`` lets large ones be split too. An empty cell is null, quoted or
+    not; any other text, 'None' or 'NA' too, is data.
     """
     return (
         spark.read.schema(schema)
@@ -105,9 +108,20 @@ def read_jsonl(
     )
 
 
-def load_split(spark: SparkSession, base: str, name: str, split: str = "train") -> DataFrame:
-    """One split of a saved dataset."""
-    return spark.read.parquet(f"{base}/{name}/{split}")
+def load_split(
+    spark: SparkSession, base: str, name: str, split: str = "train", version: int | None = None
+) -> DataFrame:
+    """One split of a saved dataset, of its newest version or of one that is still kept.
+
+    A folder without versions is read as it is.
+    """
+    root = f"{base}/{name}"
+    number, content = versions.read(spark, root, version)
+    if content is None and version is None:
+        return spark.read.parquet(f"{root}/{split}")
+    if not content or split not in content:
+        raise ValueError(f"{root} has no split {split} in version {version or number}")
+    return spark.read.parquet(*[f"{root}/{folder}" for folder in content[split]])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -44,15 +44,29 @@ def counted_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant turn that follows at once."""
+    """Every turn with the one that follows it, or an empty answer."""
     turns = table(spark, sf_dir, "conversations")
-    users = turns.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("input_text")
-    )
-    answers = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output_text")
-    )
-    return users.join(answers, ["conv_id", "turn"])
+    inputs = turns.select("conv_id", "turn", text_of("text").alias("input_text"))
+    answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output_text"))
+    return inputs.join(answers, ["conv_id", "turn"], "left").withColumn("output_text", text_of("output_text"))
+
+
+def text_of(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def english() -> Column:
+    """Whether a document is English; one without a language is not."""
+    return F.col("lang").eqNullSafe("en")
+
+
+def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, doc_id, line_no, en, ko): each line of a document, and its longer words with the first letter at the end."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "en"))
+    words = F.filter(F.split(F.lower("en"), r"\s+"), lambda w: F.length(w) > 2)
+    turned = F.transform(words, lambda w: F.concat(F.substring(w, 2, 1 << 30), F.substring(w, 1, 1), F.lit("ay")))
+    key = F.col("doc_id") * (1 << 20) + F.col("line_no")
+    return docs.select(key.alias("key"), "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "en", F.array_join(turned, " ").alias("ko"))
 
 
 def _marked(lang: str):

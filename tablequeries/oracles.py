@@ -46,9 +46,8 @@ aligned AS (
 
 EXAMPLES = """
 examples AS (
-  SELECT u.conv_id, u.turn, u.text AS input_text, a.text AS output_text
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  SELECT u.conv_id, u.turn, coalesce(u.text, '') AS input_text, coalesce(a.text, '') AS output_text
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
 
 # The fault rule depends on the row number only, so expected pairs need no JSON parser.
 TASKS = """
@@ -142,7 +141,7 @@ def split_sql(columns: str, inner: str, n_test: str) -> str:
 FROM ({inner})"""
 
 
-_REQUEST_TEXTS = "(SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents WHERE lang = 'en' AND length(text) >= 100)"
+_REQUEST_TEXTS = "(SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents WHERE length(text) >= 100)"
 
 _CAUSAL = f"""
 tok AS (
@@ -214,9 +213,9 @@ ORACLES: dict[str, str] = {
         "20",
     ),
     "concat_corpora": """SELECT row_number() OVER (ORDER BY source_ord, pos) - 1 AS rn, source_ord, pos, english FROM (
-        SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::integer AS source_ord,
-          row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, text AS english
-        FROM documents WHERE lang IN ('en', 'fr', 'de', 'es'))""",
+        SELECT source_ord, row_number() OVER (PARTITION BY source_ord ORDER BY doc_id) - 1 AS pos, text AS english
+        FROM (SELECT *, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 4 END::integer AS source_ord
+          FROM documents))""",
     "mix_corpora": f"""SELECT row_number() OVER (ORDER BY source_ord, pos) - 1 AS rn, source_ord, pos, text FROM (
         (SELECT 0::integer AS source_ord, row_number() OVER (ORDER BY doc_id) - 1 AS pos, text
           FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 300)
@@ -224,7 +223,7 @@ ORACLES: dict[str, str] = {
         UNION ALL (SELECT 2, row_number() OVER (ORDER BY item_id) - 1, text FROM benchmark)
         UNION ALL (SELECT 3, row_number() OVER (ORDER BY conv_id, turn) - 1, text FROM conversations)
         UNION ALL (SELECT 4, row_number() OVER (ORDER BY h, doc_id) - 1, text
-          FROM ({hashed('doc_id, text', 'doc_id', 'documents', "lang <> 'en'")}) ORDER BY h, doc_id LIMIT 50))""",
+          FROM ({hashed('doc_id, text', 'doc_id', 'documents', "lang IS DISTINCT FROM 'en'")}) ORDER BY h, doc_id LIMIT 50))""",
     "dedup_pairs": "SELECT lang, text, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
     "dense_index": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS rn FROM documents",
     "prefix_sum": """SELECT doc_id, n_chars, (coalesce(sum(n_chars) OVER (ORDER BY doc_id
@@ -238,7 +237,7 @@ ORACLES: dict[str, str] = {
           FROM documents WHERE lang = 'en' AND length(text) >= 100) WHERE r <= (SELECT count(*) // 5 FROM documents)
         UNION ALL
         SELECT * FROM (SELECT 1 AS source_ord, doc_id, text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r
-          FROM documents WHERE lang <> 'en' AND length(text) >= 30) WHERE r <= (SELECT count(*) // 5 FROM documents)),
+          FROM documents WHERE lang IS DISTINCT FROM 'en' AND length(text) >= 30) WHERE r <= (SELECT count(*) // 5 FROM documents)),
       batches AS (SELECT rn // 10 AS batch_id, string_agg(text, chr(10) ORDER BY rn) AS content
         FROM (SELECT text, row_number() OVER (ORDER BY source_ord, doc_id) - 1 AS rn FROM chosen) GROUP BY 1)
       SELECT 'task-' || batch_id AS custom_id, {request_json('content', constants.TRANSLATION_SYSTEM_PROMPT_MULTI)} AS request FROM batches""",
@@ -369,3 +368,108 @@ ORACLES["evaluate_models"] = f"WITH {EXAMPLES} " + " UNION ALL ".join(
       {q(m + ': ')} || {chat_text('qwen2.5' if 'Qwen' in m else 'llama-3.1', target=None)} AS result FROM examples"""
     for m in _MODELS
 )
+
+# Queries whose rows SQL cannot give: least-cost paths by dynamic programming. They have tests of their own.
+WITHOUT_SQL = {"align_drifted"}
+
+
+def _model1(steps: int, part: int, floor: float = 1e-7) -> str:
+    """Steps of expectation maximisation over the words of each line and of its other form."""
+    text = rf"""
+lines AS (
+  SELECT doc_id * 1048576 + i - 1 AS key, list_filter(string_split_regex(lower(ls[i]), '\s+'), lambda w: w <> '') AS e
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
+both_ AS (
+  SELECT key, e, list_transform(list_filter(e, lambda w: length(w) > 2),
+    lambda w: substring(w, 2) || substring(w, 1, 1) || 'ay') AS f FROM lines),
+cut AS (
+  SELECT *, greatest(1, ceil(greatest(len(e), len(f)) / {part}.0))::bigint AS parts FROM both_ WHERE len(f) > 0),
+e_ AS (
+  SELECT key, ((place - 1) * parts) // n AS part, e[place] AS e, count(*) AS n_e
+  FROM (SELECT key, parts, e, len(e) AS n, unnest(range(1, len(e) + 1)) AS place FROM cut) GROUP BY ALL
+  UNION ALL SELECT key, unnest(range(0, parts)), '', 1 FROM cut),
+f_ AS (
+  SELECT key, ((place - 1) * parts) // n AS part, f[place] AS f, count(*) AS n_f
+  FROM (SELECT key, parts, f, len(f) AS n, unnest(range(1, len(f) + 1)) AS place FROM cut) GROUP BY ALL),
+seen AS (SELECT * FROM e_ JOIN f_ USING (key, part))"""
+    for step in range(1, steps + 1):
+        known = "(SELECT *, 1.0::double AS t FROM seen)" if step == 1 else f"(SELECT * FROM seen JOIN t{step - 1} USING (e, f))"
+        text += f""",
+c{step} AS (
+  SELECT e, f, sum(n_f * (n_e * t) / total) AS c
+  FROM (SELECT *, sum(n_e * t) OVER (PARTITION BY key, part, f) AS total FROM {known}) GROUP BY e, f),
+t{step} AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM c{step})"""
+    return text + f""",
+chances AS (
+  SELECT key, n_f, greatest(sum(n_e * coalesce(t, 0)) / sum(n_e), {floor}) AS chance
+  FROM seen LEFT JOIN t{steps} USING (e, f) GROUP BY key, part, f, n_f)"""
+
+
+ORACLES["lexical_score"] = (
+    f"WITH {_model1(2, 12)} SELECT key, round(sum(n_f * ln(chance)) / sum(n_f), 6) AS lexical FROM chances GROUP BY key"
+)
+
+
+def _kneser_ney(size: int) -> str:
+    """Chances of all grams of a corpus whose own grams they are."""
+    text = f"""
+padded AS (SELECT doc_id, repeat(chr(2), {size - 1}) || coalesce(text, '') || chr(3) AS t FROM documents WHERE doc_id IS NOT NULL),
+grams AS (
+  SELECT doc_id, substring(t, place, {size}) AS gram, count(*) AS n
+  FROM (SELECT doc_id, t, unnest(range(1, length(t) - {size - 2})) AS place FROM padded) GROUP BY ALL),
+c{size} AS (SELECT gram, sum(n) AS c FROM grams GROUP BY gram)"""
+    for order in range(size - 1, 0, -1):
+        text += f""",
+c{order} AS (SELECT substring(gram, 2) AS gram, count(*) AS c FROM c{order + 1} GROUP BY 1)"""
+    for order in range(1, size + 1):
+        below = f"p{order - 1}.p" if order > 1 else "(1.0 / (SELECT count(*) FROM c1))"
+        lower = f"JOIN p{order - 1} ON p{order - 1}.gram = substring(x.gram, 2)" if order > 1 else ""
+        text += f""",
+d{order} AS (
+  SELECT CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2.0 * n2) ELSE 0.5 END AS d
+  FROM (SELECT count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2 FROM c{order})),
+p{order} AS (
+  SELECT x.gram, greatest(c - d, 0) / total + d * kinds / total * {below} AS p
+  FROM (SELECT gram, c, sum(c) OVER w AS total, count(*) OVER w AS kinds
+        FROM c{order} WINDOW w AS (PARTITION BY substring(gram, 1, {order - 1}))) x
+  CROSS JOIN d{order} {lower})"""
+    return text
+
+
+ORACLES["text_fluency"] = f"""WITH {_kneser_ney(3)}
+  SELECT doc_id, (sum(n) - 1)::bigint AS n_chars, round(sum(n * log2(p)) / sum(n), 6) AS fluency
+  FROM grams JOIN p3 USING (gram) GROUP BY doc_id"""
+
+ORACLES["split_groups"] = f"""WITH RECURSIVE {PAIRS},
+  linked AS (
+    SELECT DISTINCT a.line_no AS x, b.line_no AS y FROM aligned a JOIN aligned b ON a.en = b.en OR a.ko = b.ko),
+  reached AS (SELECT x, y FROM linked UNION SELECT r.x, l.y FROM reached r JOIN linked l ON r.y = l.x),
+  named AS (
+    SELECT x AS line_no, min(least(md5('0:' || en), md5('1:' || ko))) AS g
+    FROM reached JOIN aligned ON line_no = y GROUP BY x),
+  wanted AS (SELECT ceil(0.1 * count(*)) AS n FROM aligned),
+  sized AS (SELECT g, count(*) AS size FROM named GROUP BY g),
+  filled AS (
+    SELECT g, sum(size) OVER (ORDER BY md5('42:' || g)) AS until FROM sized WHERE size <= (SELECT n FROM wanted))
+  SELECT line_no, CASE WHEN until <= (SELECT n FROM wanted) THEN 'test' ELSE 'train' END AS split
+  FROM named LEFT JOIN filled USING (g)"""
+
+ORACLES["read_csv_splits"] = "SELECT doc_id, nullif(text, '') AS text FROM documents"
+ORACLES["resume_generate"] = ORACLES["batch_generate"]
+ORACLES["token_batches"] = """WITH RECURSIVE
+  numbered AS (SELECT doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents WHERE doc_id IS NOT NULL),
+  walk AS (
+    SELECT rn, doc_id, 0::bigint AS batch_id, 1::bigint AS size, n AS top FROM numbered WHERE rn = 0
+    UNION ALL
+    SELECT b.rn, b.doc_id,
+      CASE WHEN w.size < 64 AND (w.size + 1) * greatest(w.top, b.n) <= 50000 THEN w.batch_id ELSE w.batch_id + 1 END,
+      CASE WHEN w.size < 64 AND (w.size + 1) * greatest(w.top, b.n) <= 50000 THEN w.size + 1 ELSE 1 END,
+      CASE WHEN w.size < 64 AND (w.size + 1) * greatest(w.top, b.n) <= 50000 THEN greatest(w.top, b.n) ELSE b.n END
+    FROM walk w JOIN numbered b ON b.rn = w.rn + 1)
+  SELECT doc_id, rn, batch_id, max(top) OVER (PARTITION BY batch_id) AS batch_len FROM walk"""
+ORACLES["profile_sketches"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS corpus, count(*) AS n_rows, count(*) - count({text}) AS n_null, coalesce(sum(length({text})), 0)::bigint AS n_chars,
+      min(length({text})) AS min_len, max(length({text})) AS max_len, true AS near FROM {name}"""
+    for name, text in (("documents", "text"), ("pages", "html"))
+)

@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import constants, schemas
 from pairloom.functions import chat, text, tokens
 from pairloom.operators import (
+    budget,
     chats,
     combine,
+    drift,
     features,
+    fluency,
     generate,
+    groups,
+    lexical,
     order,
     quality,
     requests,
     responses,
     sample,
     select,
+    sketches,
 )
 from pairloom.operators.combine import Source
 from pairloom.plans import corpus, evaluation, training
 from pairloom.session import scratch_dir
-from pairloom.sources import readers, writers
+from pairloom.sources import csv_splits, readers, writers
 from pairloom.streaming import responses as response_stream
 from tablequeries import inputs
 from tablequeries.inputs import joined, table
@@ -229,12 +235,10 @@ def split_count(spark, sf_dir):
 @query
 def concat_corpora(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return combine.concat_corpora(
-        [
-            (docs.filter(F.col("lang") == lang), "text", "doc_id")
-            for lang in ("en", "fr", "de", "es")
-        ]
-    )
+    named = ("en", "fr", "de", "es")
+    others = ~F.coalesce(F.col("lang").isin(*named), F.lit(False))
+    parts = [F.col("lang") == lang for lang in named] + [others]
+    return combine.concat_corpora([(docs.filter(part), "text", "doc_id") for part in parts])
 
 
 @query
@@ -247,7 +251,7 @@ def mix_corpora(spark, sf_dir):
             Source(table(spark, sf_dir, "pages"), "html", "page_id", "head", 100),
             Source(table(spark, sf_dir, "benchmark"), "text", "item_id"),
             Source(turns, "text", ["conv_id", "turn"]),
-            Source(docs.filter(F.col("lang") != "en"), "text", "doc_id", "shuffle", 50),
+            Source(docs.filter(~inputs.english()), "text", "doc_id", "shuffle", 50),
         ],
         seed=42,
     )
@@ -282,7 +286,7 @@ def batch_rows(spark, sf_dir):
 @query
 def build_requests(spark, sf_dir):
     """The flagship: which request goes out for each run of ten long texts."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    docs = table(spark, sf_dir, "documents")
     batches = requests.batch_rows(select.min_length(docs, "text", 100), "text", order_by="doc_id")
     return requests.build_requests(batches).select("custom_id", F.to_json("request").alias("request"))
 
@@ -292,7 +296,7 @@ def combined_requests(spark, sf_dir):
     """Long lines of two corpora, sampled, combined, batched and wrapped."""
     docs = table(spark, sf_dir, "documents")
     subtitles = docs.filter(F.col("lang") == "en").select(F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-    talks = docs.filter(F.col("lang") != "en").select(F.col("doc_id").alias("line_no"), F.col("text").alias("en"))
+    talks = docs.filter(~inputs.english()).select(F.col("doc_id").alias("line_no"), F.col("text").alias("en"))
     both = corpus.combined_english(subtitles, talks, n=docs.count() // 5)
     sent = corpus.translation_requests(
         both, "english", system_prompt=constants.TRANSLATION_SYSTEM_PROMPT_MULTI
@@ -588,7 +592,7 @@ def map_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return generate.map_batches(
         docs,
-        lambda batch: batch[["doc_id"]].assign(n=[sum(w == w[::-1] for w in t.split(" ")) for t in batch["text"]]),
+        lambda batch: batch[["doc_id"]].assign(n=[sum(w == w[::-1] for w in t.split(" ")) for t in batch["text"].fillna("")]),
         "doc_id bigint, n bigint",
     )
 
@@ -621,13 +625,89 @@ def aligned_pairs(spark, sf_dir):
     """Two line files, written from the documents, to distinct pairs."""
     base = scratch_dir(spark, "lines")
     docs = table(spark, sf_dir, "documents")
-    for name, part in (("en", docs.filter("lang = 'en'")), ("ko", docs.filter("lang <> 'en'"))):
+    for name, part in (("en", docs.filter(inputs.english())), ("ko", docs.filter(~inputs.english()))):
         part.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
             "text"
         ).write.text(f"{base}/{name}")
     return corpus.aligned_pairs(spark, f"{base}/en", f"{base}/ko").select("line_no", "en", "ko")
 
 
+@query
+def align_drifted(spark, sf_dir):
+    """Each document's lines with its lines in capitals, of which one in sixteen is lacking."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    left = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    digest = F.md5(F.concat_ws(":", "doc_id", "line_no"))
+    kept = left.filter(~digest.startswith("0")).select("doc_id", "line_no", F.upper("line").alias("line"))
+    in_file = Window.partitionBy("doc_id").orderBy("line_no")  # lines of one document
+    right = kept.withColumn("line_no", F.row_number().over(in_file) - 1)
+    found = drift.align_drifted(left, right, by=["doc_id"])
+    return found.select("doc_id", "left_no", "n_left", "right_no", "n_right", "en", "ko")
+
+
+@query
+def read_csv_splits(spark, sf_dir):
+    """Texts with quotes and line breaks, written to few large files and read in many tasks."""
+    path = scratch_dir(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    writers.write_csv_text(docs.coalesce(2), path, rows_per_file=None)
+    return csv_splits.read_csv_splits(spark, path, docs.schema)
+
+
+@query
+def token_batches(spark, sf_dir):
+    """Documents in batches of 50,000 characters at most, counted with padding."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", "n_chars")
+    return budget.token_batches(docs, 50_000, "doc_id", "n_chars", most_rows=64).drop("n_chars")
+
+
+@query
+def resume_generate(spark, sf_dir):
+    """The second of two runs over one store, which finds all results there."""
+    store = scratch_dir(spark, "store")
+    docs = table(spark, sf_dir, "documents")
+    generate.resume_generate(docs.filter("doc_id % 2 = 0"), "text", echo_generator, store).count()
+    return generate.resume_generate(docs, "text", echo_generator, store)
+
+
+@query
+def profile_sketches(spark, sf_dir):
+    """Merged profiles of parts of two tables; how many texts differ is within four deviations."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    parts = [docs.filter(F.pmod(F.xxhash64("text"), F.lit(3)) == i) for i in range(3)]
+    rows = sketches.sketch(pages, "html", "pages")
+    for part in parts:
+        rows = rows.unionByName(sketches.sketch(part, "text", "documents"))
+    exact = docs.agg(F.lit("documents").alias("corpus"), F.count_distinct("text").alias("n")).unionByName(
+        pages.agg(F.lit("pages").alias("corpus"), F.count_distinct("html").alias("n"))
+    )
+    found = sketches.estimates(sketches.merge(rows)).join(exact, "corpus")
+    near = F.abs(F.col("n_different") - F.col("n")) <= 0.033 * F.col("n") + 1
+    return found.select("corpus", "n_rows", "n_null", "n_chars", "min_len", "max_len", near.alias("near"))
+
+
+@query
+def lexical_score(spark, sf_dir):
+    """How well the words of each line and of its other form give each other, in parts of twelve words."""
+    pairs = inputs.line_pairs(spark, sf_dir)
+    found = lexical.score(pairs, lexical.learn(pairs, "key", steps=2, part=12), "key", part=12)
+    return found.select("key", F.round("lexical", 6).alias("lexical"))
+
+
+@query
+def text_fluency(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    found = fluency.score(docs, fluency.learn(docs, size=3), "doc_id")
+    return found.select("doc_id", "n_chars", F.round("fluency", 6).alias("fluency"))
+
+
+@query
+def split_groups(spark, sf_dir):
+    """Pairs of a document and the next one, those with a text in common on one side."""
+    pairs = inputs.pairs(spark, sf_dir)
+    return _labelled(*groups.split_groups(pairs, 42, fraction=0.1), ["line_no"])
+
+
 @query
 def publish_pairs(spark, sf_dir):
     """The saved pairs, and how many lines were set aside for each reason."""

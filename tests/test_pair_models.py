@@ -74,11 +74,10 @@ def test_shuffled_pairs_score_below_true_ones(spark):
     assert got[900].lexical is None and not got[900].plausible and {"e", "t"} <= set(found[0].asDict())
 
 
-def test_very_long_pairs_are_cut_in_proportion(spark, monkeypatch):
-    monkeypatch.setattr(lexical, "PART", 10)
+def test_very_long_pairs_are_cut_in_proportion(spark):
     words = list(DICTIONARY) * 40
     long = (1, " ".join(words), " ".join(DICTIONARY[w] for w in words))
-    seen = lexical.cooccurrences(pair_frame(spark, [long]), "id", "en", "ko")
+    seen = lexical.cooccurrences(pair_frame(spark, [long]), "id", "en", "ko", part=10)
     per_part = seen.groupBy("part").agg(F.count_distinct("e").alias("e"), F.count_distinct("f").alias("f")).collect()
     assert len(per_part) == 48 and all(r.e <= 11 and r.f <= 10 for r in per_part)
     assert seen.filter("e <> ''").groupBy("part", "e").agg(F.first("n_e").alias("n")).agg(F.sum("n")).first()[0] == len(words)
