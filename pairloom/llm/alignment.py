@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ROWS_AT_ONCE, field, saved, small_batches
+from pairloom.llm.common import ROWS_AT_ONCE, arrow_bytes, field, saved, small_batches
 
 # Characters that are encoded and aligned together.
 CHARS_AT_ONCE = 1 << 19
@@ -465,7 +465,8 @@ def aligned_texts(
     df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The figures of ``describe`` for each row."""
-    session = small_batches(df.sparkSession, "8m")
+    session = small_batches(df.sparkSession)
     aligned = align(df, byte_file, piece_file, id_col, text_col)
-    aligned = saved(aligned, "aligned", session, **{"parquet.block.size": WRITER_BYTES})
+    with arrow_bytes(df.sparkSession):
+        aligned = saved(aligned, "aligned", session, **{"parquet.block.size": WRITER_BYTES})
     return describe(aligned, byte_lengths(byte_file, piece_file), id_col)

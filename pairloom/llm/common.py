@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +31,27 @@ def saved(df: DataFrame, label: str, session: SparkSession | None = None, **opti
     return (session or spark).read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """While this lasts, jobs that the session begins hand Python fewer bytes at a time."""
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
     """A session like the given one that hands Python fewer bytes at a time, for rows of large blobs."""
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
-    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    session.conf.set(ARROW_BYTES, size)
     return session
 
 
