@@ -6,8 +6,9 @@ level h + s, or into a new window (h = 0). Full windows leave the array. Documen
 are cut into whole windows, and what is left over is placed.
 
 A task packs the documents of its own input partition: no shuffle. It holds the open windows only. When
-more than ``max_open`` are open, and at the end, they are closed by cutting: documents of the emptiest
-windows fill the gaps of the fullest, so that a task pads one window at most.
+more than ``max_open`` are open, the fullest quarter is closed: documents of the emptiest windows are cut to
+fill their gaps. All others stay open on their levels, and placement by squares goes on. At the end all are
+closed in this way, so that a task pads one window at most.
 
 The result depends on the input's partitions, which for a table in files are the same when a task runs
 again. An input whose rows come in another order each time should be written first.
@@ -114,14 +115,16 @@ class Packer:
             yield from self.close(last=False)
 
     def close(self, last: bool = True) -> Iterator[list[tuple]]:
-        """All open windows, filled up by cutting documents; one with a gap may be left.
+        """Close the fullest quarter of the open windows, or the ``last`` time all of them.
 
-        It stays open unless this is the ``last`` call.
+        They are filled up by cutting documents of the emptiest windows. Only the very last window of all
+        may be left with a gap.
         """
         windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
         self.open, self.n_open, self.levels = {}, 0, Levels(self.window)
         first, donor = 0, len(windows) - 1
-        while first <= donor:
+        closing = len(windows) if last else len(windows) // 4
+        while first <= donor and first < closing:
             pieces = windows[first]
             gap = self.window - sum(len(p[2]) // 4 for p in pieces)
             while gap and first < donor:
@@ -135,10 +138,17 @@ class Packer:
                 gap -= taken
             first += 1
             if gap and not last:
-                self.open[self.window - gap], self.n_open = [pieces], 1
-                self.levels.add(self.window - gap, 1)
+                self._keep(pieces)
             else:
                 yield pieces
+        for pieces in windows[first : donor + 1]:
+            self._keep(pieces)
+
+    def _keep(self, pieces: list[tuple]) -> None:
+        level = sum(len(p[2]) // 4 for p in pieces)
+        self.open.setdefault(level, []).append(pieces)
+        self.n_open += 1
+        self.levels.add(level, 1)
 
 
 class Encoder:

@@ -189,3 +189,29 @@ def test_mixing_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     found = mixing.mix(docs(spark, [(1, None, "a"), (2, "", None)])).collect()
     assert [(r.size, r.taken, r.target) for r in found] == [(0, 0, 0.0)] * 2
+
+
+def test_levels_go_on_when_many_windows_are_open():
+    """With 5,000 documents of over half a window, which open a window each, few are cut."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(33, 64, 5_000)
+    packer, full = packing.Packer(window=64, max_open=400), []
+    most = 0
+    for i, size in enumerate(sizes.tolist()):
+        full += packer.place(i, np.full(size, i, "<u4").tobytes())
+        most = max(most, packer.n_open)
+        if packer.n_open < 250 and i > 1_000:
+            raise AssertionError("all windows have been closed")
+    kept = {level: len(found) for level, found in packer.open.items()}
+    assert sum(kept.values()) == packer.n_open and most <= 401
+    # The level array says what is open.
+    assert all(packer.levels.twice[level] == 2 * n for level, n in kept.items())
+    full += packer.close()
+    lengths = [sum(len(p[2]) // 4 for p in pieces) for pieces in full]
+    assert sum(n < 64 for n in lengths) <= 1 and sum(lengths) == sizes.sum()
+    pieces = sorted((p[0], p[1], len(p[2]) // 4) for window in full for p in window)
+    at = {}
+    for key, start, length in pieces:
+        assert start == at.get(key, 0)
+        at[key] = start + length
+    assert [at[i] for i in range(5_000)] == sizes.tolist()
