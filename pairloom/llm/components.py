@@ -6,31 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import saved
+from pairloom.operators import joins
 
 
 def _least(links: DataFrame) -> DataFrame:
-    """(n, least) with the smallest neighbour of each node; folds map-side, so hubs are cheap."""
-    return links.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("least"))
+    """(a, least) with the smallest neighbour of each node, written; folds map-side, so hubs are cheap."""
+    return saved(links.groupBy("a").agg(F.min("b").alias("least")), "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Larger neighbours of a node are linked to the smallest node around it."""
+    """Larger neighbours of a node are linked to the smallest node around it.
+
+    A hub's links are looked up among broadcast entries, so they stay where they are.
+    """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     root = F.least("least", "a")
-    return (
-        both.join(_least(both), F.col("a") == F.col("n"))
-        .filter(F.col("b") > F.col("a"))
-        .select(F.col("b").alias("a"), root.alias("b"))
-    )
+    return joins.lookup(both, _least(both), ["a"]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), root.alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them. Needs a > b."""
-    joined = links.join(_least(links), F.col("a") == F.col("n"))
+    least = _least(links)
+    joined = joins.lookup(links, least, ["a"])
     return (
         joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
         .filter(F.col("a") != F.col("b"))
-        .unionByName(_least(links).select(F.col("n").alias("a"), F.col("least").alias("b")))
+        .unionByName(least.select("a", F.col("least").alias("b")))
     )
 
 

@@ -11,8 +11,11 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import hash_forest, mtree, simhash
 from pairloom.llm.components import components
+from pairloom.operators import joins
 
 
 def naive_classes(items: list, linked) -> dict:
@@ -40,6 +43,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most_rows", [joins.MOST_ROWS, 50])
+def test_components_of_a_star(spark, monkeypatch, most_rows):
+    """A hub of 100,000 links, next to chains: its links are looked up where they are."""
+    monkeypatch.setattr(joins.lookup, "__defaults__", ("inner", most_rows))
+    hub = spark.range(100_000).select(F.lit(5).cast("bigint").alias("a"), (F.col("id") + 10).alias("b"))
+    chain = spark.range(20).select((F.col("id") + 200_000).alias("a"), (F.col("id") + 200_001).alias("b"))
+    found = components(hub.unionByName(chain))
+    assert found.filter("node < 200000").agg(F.count("*"), F.min("root"), F.max("root")).first() == (100_001, 5, 5)
+    assert {tuple(r) for r in found.filter("node >= 200000").collect()} == {(200_000 + i, 200_000) for i in range(21)}
+
+
 def naive_print(text: str | None) -> int:
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", lower) if w]
