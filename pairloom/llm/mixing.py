@@ -26,10 +26,11 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import one_per_copy, saved, text_or_empty, word_count
+from pairloom.operators import order
 
 MAX_COPIES = 3.0
 BUCKET = 2_000
@@ -38,10 +39,16 @@ TOLERANCE = 1e-7
 
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """Add weights in turn to sources by code point, null last; one row per source goes to one task."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    """Add weights in turn to sources, each given once, by code point, null last.
+
+    Sources are numbered by ranges, so no task holds them all.
+    """
+    sources = saved(sources, "sources")
+    named, n = order.indexed(sources.filter(F.col("source").isNotNull()), "source", "_place")
+    placed = named.unionByName(sources.filter(F.col("source").isNull()).withColumn("_place", F.lit(n).cast("bigint")))
     values = F.array(*[F.lit(float(w)) for w in weights])
-    return sources.withColumn("weight", F.get(values, place % len(weights)))
+    weight = F.get(values, (F.col("_place") % len(weights)).cast("int"))
+    return placed.withColumn("weight", weight).drop("_place")
 
 
 def targets(sources: DataFrame, share: float = 1.0, max_copies: float = MAX_COPIES) -> DataFrame:
