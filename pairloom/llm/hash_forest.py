@@ -13,7 +13,8 @@ more than ``PAGE`` strings into pages. A page is one row with a sorted array, it
 a task holds one page and one block of queries at a time, however many strings share a prefix. The first
 round counts, for each query and level, the strings of its own buckets; above level b counts come from
 the bucket sizes, of which there are at most 2**12 per tree. The second round scores what the chosen
-level covers, however much that is: no candidate is dropped.
+level covers, however much that is: no candidate is dropped. Scores of what is kept are summed in one
+order for all pairs, so that equal products tie and reruns agree to the last bit.
 
 How many candidates a recall needs depends on the data. Vectors without clusters, as independent random
 ones, need ``share`` of all rows whatever the index; in clustered data ``share=0`` with a fixed
@@ -293,9 +294,12 @@ def search(
                             continue
                         own = scores[j][point[rows_]]
                         if len(own) > k + 1:
+                            # A product over blocks may be off by this much.
+                            off = 4 * dims * np.finfo(float).eps * math.sqrt(most * float(qvecs[at + j] @ qvecs[at + j]))
                             least = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
-                            kept = own >= least
-                            own, rows_ = own[kept], rows_[kept]
+                            rows_ = rows_[own >= least - off]
+                        # One order of summation for all, so that equal products tie and reruns agree.
+                        own = (vecs[point[rows_]] * qvecs[at + j]).sum(axis=1)
                         order = np.lexsort((ids[rows_], -own))[: k + 1]
                         rows_ = rows_[order]
                         out["qid"].append(np.full(len(order), qids[at + j]))
