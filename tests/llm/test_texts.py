@@ -203,6 +203,40 @@ def test_language_of_held_out_texts(spark):
     assert len(rows) > 20 and all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in rows)
 
 
+def exact_grams(text):
+    """N-grams of letters and single spaces, by hand."""
+    cleaned = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    cleaned = re.sub(" +", " ", cleaned)
+    return [cleaned[i : i + n] for n in langid.SIZES for i in range(len(cleaned) - n + 1)]
+
+
+def test_filters_against_exact_sets(spark):
+    """Bloom counts are never below those of exact n-gram sets, and above them by accident only."""
+    import zlib
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    filters = langid.learn(spark.read.parquet(f"{DATA}/documents.parquet"))
+    texts = defaultdict(set)
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            texts[r.lang].add(r.text)
+    known = {}
+    for lang, own in texts.items():
+        counts = Counter(g for text in own for g in set(exact_grams(text)))
+        known[lang] = {g for g, n in counts.items() if n >= langid.MIN_SHARE * len(own)}
+    asked = [r.text for r in docs if len(r.text) < langid.CHUNK][:120]
+    hits = langid.hits_of(filters, langid.Grams(), asked)
+    right = 0
+    for row, text in zip(hits, asked):
+        grams = exact_grams(text)
+        assert row[-1] == len(grams)
+        exact = [sum(g in known[lang] for g in grams) for lang in filters.languages]
+        for got, want, accident in zip(row, exact, filters.accident):
+            assert want <= got <= want + 3 * accident * len(grams) + 0.01 * len(grams) + 3
+        right += not any(map(str.isalpha, text)) or int(row[:-1].argmax()) == max(range(len(exact)), key=exact.__getitem__)
+    assert right >= 0.98 * len(asked)
+
+
 def test_language_edge_cases(spark):
     train = [(i, text, lang) for i in range(40) for text, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"))]
     odd = [
