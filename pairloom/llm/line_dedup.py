@@ -44,11 +44,16 @@ def _digest(line: Column) -> Column:
     return F.xxhash64(_stripped(line))
 
 
+def _wide_digest(stripped: Column) -> Column:
+    # 96 bits: two lines of one host do not meet by accident.
+    return F.struct(F.xxhash64(stripped).alias("a"), F.hash(stripped).alias("b"))
+
+
 def line_digests(text: str) -> Column:
     """Digests of a text's different lines that are not blank."""
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda line: _stripped(line) != "")
-    # 96 bits: two lines of one host do not meet by accident.
-    return F.array_distinct(F.transform(lines, lambda line: F.struct(_digest(line).alias("a"), F.hash(_stripped(line)).alias("b"))))
+    lines = F.filter(F.transform(F.split(F.col(text), "\n", -1), _stripped), lambda line: line != "")
+    # Texts are told apart by hashing; structs would be compared in pairs.
+    return F.transform(F.array_distinct(lines), _wide_digest)
 
 
 def boilerplate(
