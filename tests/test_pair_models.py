@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -114,6 +115,32 @@ def plain_kneser_ney(texts, size):
     return chance
 
 
+@pytest.mark.parametrize("size", [1, 3, 4])
+def test_grams_of_parts_and_of_long_texts(spark, monkeypatch, size):
+    texts = [(1, "a\U0001f600b\u00e9 aa"), (2, None), (3, ""), (4, "abc" * 20), (5, "\U0010ffff" * 3)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    want = Counter()
+    for i, text in texts:
+        padded = "\u0002" * (size - 1) + (text or "") + "\u0003"
+        want.update((i, padded[k : k + size]) for k in range(len(padded) - size + 1))
+    for chars in (7, fluency.CHARS_AT_ONCE):
+        monkeypatch.setattr(fluency, "CHARS_AT_ONCE", chars)
+        got, every = Counter(), Counter()
+        for r in fluency._grams(df, "text", size, "id").collect():
+            got[r.row, r.gram] += r.n
+        for r in fluency._grams(df, "text", size).collect():
+            every[r.gram] += r.n
+        assert got == want
+        assert every == sum((Counter({g: n}) for (_, g), n in want.items()), Counter())
+
+
+def test_a_very_long_text_takes_time_as_its_length(spark):
+    df = spark.createDataFrame([(1, "some words " * 100_000)], "id long, text string")
+    began = time.monotonic()
+    assert fluency.score(df, fluency.learn(df, size=3), "id").first().n_chars == 1_100_000
+    assert time.monotonic() - began < 120
+
+
 @pytest.mark.parametrize("most_rows", [joins.MOST_ROWS, 10])
 def test_fluency_equals_plain_version(spark, monkeypatch, most_rows):
     monkeypatch.setattr(joins.lookup, "__defaults__", ("inner", most_rows))
