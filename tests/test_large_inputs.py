@@ -16,6 +16,7 @@ from pairloom.operators import budget, generate, sketches
 from pairloom.session import scratch_dir
 from pairloom.sources import readers, versions, writers
 from pairloom.sources.csv_splits import read_csv_splits
+from tablequeries import queries
 
 
 def plain_batches(lengths, tokens, most_rows):
@@ -204,3 +205,21 @@ def test_sketches_stay_within_their_bounds(spark):
         assert hot.digest == digest and 0 <= hot.n - texts.count("hot") <= 3.5 / sketches.TOP_ITEMS * 30_000
     none = sketches.estimates(sketches.sketch(df.limit(0), "text")).first()
     assert (none.n_rows, none.n_different, none.length_quantiles, none.most_frequent) == (0, 0, None, [])
+
+
+def test_large_csv_files_are_written_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 50).alias("text"))
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    keep = writers.write_csv_text
+    monkeypatch.setattr(queries.writers, "write_csv_text", lambda df, *args, **more: (written.append(df.rdd.getNumPartitions()), keep(df, *args, **more)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size, least in ((1 << 28, 2), (20_000, 5)):
+            monkeypatch.setattr(queries, "CSV_BYTES", size, raising=False)
+            assert queries.read_csv_splits(spark, str(tmp_path)).count() == 400
+            assert written.pop() == least
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
