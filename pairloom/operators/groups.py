@@ -66,18 +66,32 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def with_groups(df: DataFrame, columns: Sequence[str] = ("en", "ko"), name: str = GROUP) -> DataFrame:
-    """Rows with the name of their group, a digest. Rows that are null in all columns are one group."""
-    columns = list(columns)
+def _keyed(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, written, with ``__node``, and the (__node, __root) of those whose group has another name.
+
+    The rows are computed once; of the written ones, all that follows reads the nodes only.
+    """
     nodes = [_node(column, i) for i, column in enumerate(columns)]
-    first = F.coalesce(*nodes, F.lit("none"))
-    links = [df.select(first.alias("a"), node.alias("b")).filter("b IS NOT NULL") for node in nodes[1:]]
+    more = {f"__node{i}": node for i, node in enumerate(nodes[1:])}
+    wide = order.written(df.withColumns({"__node": F.coalesce(*nodes, F.lit("none")), **more}), "grouped")
+    keyed = wide.drop(*more)
+    links = [wide.select(F.col("__node").alias("a"), F.col(name).alias("b")).filter("b IS NOT NULL") for name in more]
     if not links:
-        return df.withColumn(name, first)
+        return keyed, None
     roots = components(reduce(DataFrame.unionByName, links))
-    keyed = order.written(df.withColumn("__node", first), "grouped")
-    found = joins.lookup(keyed, roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), ["__node"], "left")
-    return found.withColumn(name, F.coalesce("__root", "__node")).drop("__root", "__node")
+    return keyed, roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+
+
+def _named(keyed: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+    if roots is None:
+        return keyed.withColumn(name, F.col("__node"))
+    return joins.lookup(keyed, roots, ["__node"], "left").withColumn(name, F.coalesce("__root", "__node")).drop("__root")
+
+
+def with_groups(df: DataFrame, columns: Sequence[str] = ("en", "ko"), name: str = GROUP) -> DataFrame:
+    """Rows with the name of their group, a digest. Rows that are null in all columns are one group."""
+    keyed, roots = _keyed(df, list(columns))
+    return _named(keyed, roots, name).select(*df.columns, name)
 
 
 def split_groups(
@@ -92,16 +106,20 @@ def split_groups(
         raise ValueError("give either n or fraction")
     if fraction is not None and not 0 <= fraction <= 1:
         raise ValueError("the fraction must lie between 0 and 1")
-    grouped = order.written(with_groups(df, columns, "__group"), "grouped")
-    total = grouped.count()
+    keyed, roots = _keyed(df, list(columns))
+    total = keyed.count()
     wanted = n if n is not None else math.ceil(fraction * total)
     if not 0 <= wanted <= total:
         raise ValueError(f"test set of {wanted} is larger than the data set of {total}, or negative")
-    sizes = grouped.groupBy("__group").agg(F.count("*").alias("size"))
+    # Groups are dealt by their nodes; rows are only met again with the nodes of the test set.
+    nodes = order.written(keyed.groupBy("__node").agg(F.count("*").alias("n")), "nodes")
+    grouped = order.written(_named(nodes, roots, "__group"), "nodes")
+    sizes = grouped.groupBy("__group").agg(F.sum("n").alias("size"))
     rank = F.md5(F.concat(F.lit(f"{seed}:"), "__group"))
     fitting = order.written(sizes.filter(F.col("size") <= wanted).withColumn("rank", rank), "groups")
     before = order.prefix_sum(fitting, "rank", F.col("size"), "before")
     chosen = order.written(before.filter(F.col("before") + F.col("size") <= wanted).select("__group", F.lit(True).alias("__test")), "groups")
-    marked = joins.lookup(grouped, chosen, ["__group"], "left")
+    chosen = order.written(joins.lookup(grouped, chosen, ["__group"]).select("__node", "__test"), "nodes")
+    marked = joins.lookup(keyed, chosen, ["__node"], "left")
     test = F.coalesce("__test", F.lit(False))
     return marked.filter(~test).select(*df.columns), marked.filter(test).select(*df.columns)

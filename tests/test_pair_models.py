@@ -229,6 +229,18 @@ def test_split_without_leaks(spark, n):
     assert {r.id for r in again} == {r.id for r in test}
 
 
+def test_rows_are_computed_once_for_a_split(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        return text
+
+    df = spark.range(50).select(F.col("id"), F.udf(count)(F.concat(F.lit("a"), F.col("id") % 40)).alias("en"), F.col("id").cast("string").alias("ko"))
+    train, test = groups.split_groups(df, 5, fraction=0.2)
+    assert train.count() + test.count() == 50 and calls.value == 50
+
+
 def test_split_sizes_are_checked(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id long, en string, ko string")
     for wrong in ({"n": 2}, {"n": -1}, {"fraction": 1.5}, {}, {"n": 1, "fraction": 0.5}):
