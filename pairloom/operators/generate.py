@@ -19,6 +19,8 @@ from pairloom.sources import versions
 
 # Prompts that a resumable run generates, and stores, together.
 ROWS_PER_ROUND = 10_000
+# Results, which are texts, that are broadcast; of more, those of hot prompts alone.
+RESULTS_PER_BROADCAST = 20_000
 _STORED = "digest string, result string"
 
 # A generator takes a list of texts and gives as many results.
@@ -119,23 +121,29 @@ def resume_generate(
     settings = hashlib.sha256(json.dumps(dict(params or {}), sort_keys=True, default=str).encode()).hexdigest()
     text = F.coalesce(F.concat(F.lit("t"), F.col(prompt or col)), F.lit("n"))
     digest = F.sha2(F.concat(F.lit(settings), text), 256)
-    rows = written(df.select(F.col(col).alias("input"), F.col(prompt or col).alias("prompt"), digest.alias("digest")), "prompts")
+    own = [] if prompt in (None, col) else [F.col(prompt).alias("prompt")]
+    rows = written(df.select(F.col(col).alias("input"), *own, digest.alias("digest")), "prompts")
+    asked = rows.select("digest", F.col("prompt" if own else "input").alias("prompt"))
     number, folders, known = _stored(spark, store)
-    absent = rows.select("digest", "prompt").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
-    absent = written(absent, "absent")
-    rounds = -(-absent.count() // rows_per_round)
+    # What is absent is found by digests alone; only the prompts of these are shuffled, to become one each.
+    digests = asked.select("digest").distinct()
+    digests = written(digests.join(known.select("digest"), "digest", "left_anti") if folders else digests, "absent")
+    rounds = -(-digests.count() // rows_per_round)
     turn = F.pmod(F.xxhash64("digest"), F.lit(max(1, rounds)))
+    absent = (joins.lookup(asked, digests, ["digest"]) if folders else asked).dropDuplicates(["digest"])
+    # In the order of their rounds, so that a round skips the prompts of the others.
+    absent = written(absent.withColumn("turn", turn).sortWithinPartitions("turn"), "absent") if rounds else absent
     for i in range(rounds):
-        part = absent.filter(turn == i).select(F.struct("digest", "prompt").alias("asked"))
+        part = absent.filter(F.col("turn") == i).select(F.struct("digest", "prompt").alias("asked"))
         part = part.select(F.col("asked.prompt").alias("prompt"), F.to_json("asked").alias("asked"))
         made = batch_generate(part, "asked", generator_factory, params, "prompt", batch_size, num_partitions)
         folder = uuid.uuid4().hex
-        made.select(F.get_json_object("input", "$.digest").alias("digest"), "result").write.parquet(f"{store}/{folder}")
+        made.select(F.get_json_object("input", "$.digest").alias("digest"), "result").write.parquet(f"{store}/{folder}", compression="zstd")
         folders = [*folders, folder]
         number = versions.publish(spark, store, {"folders": folders}, number)
-    results = _stored(spark, store)[2].dropDuplicates(["digest"])
-    wanted = written(results.join(rows.select("digest").distinct(), "digest", "left_semi"), "results")
-    return joins.lookup(rows.select("input", "digest"), wanted, ["digest"], "left").select("input", "result")
+    # A store has each digest once: a round takes none that is there, and one writer swaps the version.
+    results = _stored(spark, store)[2]
+    return joins.lookup(rows.select("input", "digest"), results, ["digest"], "left", RESULTS_PER_BROADCAST).select("input", "result")
 
 
 def fan_out_models(

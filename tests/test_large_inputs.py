@@ -223,3 +223,20 @@ def test_large_csv_files_are_written_in_tasks_of_bounded_size(spark, tmp_path, m
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_prompts_are_kept_once_and_in_the_order_of_their_rounds(spark, monkeypatch):
+    kept = {}
+    keep = generate.written
+    monkeypatch.setattr(generate, "written", lambda df, label="keys", path=None: kept.setdefault(label, []).append(found := keep(df, label, path)) or found)
+    df = spark.range(40).select(F.concat(F.lit("t"), F.col("id") % 30).alias("text"), F.col("id").cast("string").alias("other"))
+    factory = lambda params: lambda texts: [t + "!" for t in texts]
+    store = scratch_dir(spark, "store")
+    assert generate.resume_generate(df, "text", factory, store, rows_per_round=4).count() == 40
+    assert sorted(kept["prompts"][0].columns) == ["digest", "input"]
+    rounds = kept["absent"][-1]
+    assert rounds.select("turn").distinct().count() > 4
+    turns = rounds.groupBy(F.input_file_name()).agg(F.collect_list("turn").alias("t")).collect()
+    assert all(r.t == sorted(r.t) for r in turns)
+    other = generate.resume_generate(df, "text", factory, store, prompt="other").collect()
+    assert Counter((r.input, r.result) for r in other) == Counter((f"t{i % 30}", f"{i}!") for i in range(40))
