@@ -83,3 +83,16 @@ def test_end_id_stays_on_truncation(spark):
     assert got == [[2, 5, 6, 1], [2, 5, 1, 0], [0, 0, 0, 0], None]
     got = [r.input_ids for r in features.pad_truncate(df, 4, 0).collect()]
     assert got == [[2, 5, 6, 7], [2, 5, 1, 0], [0, 0, 0, 0], None]
+
+
+def test_pairs_are_computed_once_for_a_published_split(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        return text
+
+    pairs = spark.range(40).select(F.udf(count)(F.concat(F.lit("a"), "id")).alias("en"), F.col("id").cast("string").alias("ko"))
+    monkeypatch.setattr(queries.inputs, "pairs", lambda *_: pairs)
+    found = queries.split_published(spark, "").collect()
+    assert len(found) == 40 and sum(r.split == "test" for r in found) == 4 and calls.value == 40
