@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.operators import responses
+from pairloom.operators import order, responses
 from pairloom.streaming import history
 
 # Below this many new pairs, their digests are broadcast to look them up in what is written.
@@ -74,7 +74,11 @@ def ingest_responses_stream(
             if new.count() <= BROADCAST_DIGESTS:
                 # What is read of the history is then only scanned, not shuffled.
                 digests = F.broadcast(digests)
-            known = history.candidates(new, seen_dir, query, batch_id).join(digests, "digest", "left_semi")
+            known = history.candidates(new, seen_dir, query, batch_id).join(digests, "digest", "left_semi").distinct()
+            known = order.written(known, "known-digests")
+            if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+                # The texts stay where they are.
+                known = F.broadcast(known)
             new.join(known, "digest", "left_anti").write.mode("overwrite").parquet(f"{pairs_dir}/{own}")
             responses.quarantine(parsed).write.mode("overwrite").parquet(f"{bad_dir}/{own}")
             added = session.read.schema("digest binary").parquet(f"{pairs_dir}/{own}").select(

@@ -116,3 +116,20 @@ def test_pairs_from_before_the_history_count(spark, tmp_path):
     stream.ingest_responses_stream(spark, str(folder), f"{base}/out", str(tmp_path / "c")).awaitTermination()
     assert sorted(map(tuple, stream.read_pairs(spark, f"{base}/out").collect())) == [("a", "1"), ("b", "2")]
     assert stream.read_pairs(spark, f"{base}/out").filter(F.col("en") == "a").count() == 1
+
+
+def test_texts_are_not_shuffled_to_meet_few_known_pairs(spark, tmp_path, monkeypatch):
+    """In a batch of very many pairs the known ones, if few, are broadcast."""
+    monkeypatch.setattr(stream, "BROADCAST_DIGESTS", 5)
+    base = scratch_dir(spark, "test")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    calls, keep = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (calls.append(df.columns), keep(df))[1])
+    for i, first in enumerate((0, 7)):
+        drop(folder, f"{i}.jsonl", [answer(i, [(f"a{j}", str(j)) for j in range(first, first + 10)])])
+        calls.clear()
+        stream.ingest_responses_stream(spark, str(folder), f"{base}/out", str(tmp_path / "c")).awaitTermination()
+        assert ["digest"] in calls
+    got = sorted(map(tuple, stream.read_pairs(spark, f"{base}/out").collect()))
+    assert got == sorted((f"a{j}", str(j)) for j in range(17))
