@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 import pairloom
 from pairloom.llm import langid, line_dedup, mixing, packing, simhash
-from pairloom.llm.common import saved
+from pairloom.llm.common import arrow_bytes, saved
 
 # Python workers may start in another folder; send functions of the package along with the job.
 cloudpickle.register_pickle_by_value(pairloom)
@@ -51,7 +51,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _text_classes(docs: DataFrame) -> DataFrame:
     """(page, class) of each text that has near copies; pages are digests of texts, one of them names a class."""
     texts = docs.select(F.xxhash64("text").alias("page"), "text")
-    prints = saved(simhash.fingerprints(texts, ["page"]).distinct(), "page-prints")
+    # Python workers, and Arrow in the JVM, keep what their largest batch took.
+    with arrow_bytes(docs.sparkSession):
+        prints = saved(simhash.fingerprints(texts, ["page"]).distinct(), "page-prints")
     classed = simhash.print_classes(prints.select("fp").distinct())
     several = prints.join(classed, "fp").select("page", "class_fp")
     names = several.groupBy("class_fp").agg(F.min("page").alias("class"), F.count("*").alias("n")).filter("n > 1")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pairloom.llm import common
 from tests.llm.test_search import naive_classes, naive_print
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -156,3 +157,12 @@ def test_run(spark, docs, tmp_path):
     assert {r.doc_id for r in pieces} <= {r[0] for r in docs}
     assert all(np.frombuffer(r.ids, "<u4").size == r.length for r in pieces)
     assert sum(np.frombuffer(r.ids, "<u4")[-1] == 2 for r in pieces) >= 100
+
+
+def test_python_gets_small_batches_of_texts_for_classes(spark, docs, monkeypatch):
+    sizes, keep = [], corpus_pipeline.simhash.fingerprints
+    size = lambda: spark.conf.get(common.ARROW_BYTES)
+    monkeypatch.setattr(corpus_pipeline.simhash, "fingerprints", lambda *args: (sizes.append(size()), keep(*args))[1])
+    before = size()
+    assert corpus_pipeline._text_classes(spark.createDataFrame(docs, SCHEMA)).count() >= 2
+    assert sizes == ["4m"] and size() == before
