@@ -27,7 +27,7 @@ exactly one bead at all sizes. Null lines are empty. Line numbers must count fro
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,10 @@ STRETCH, REACH = 300, 2_000
 PROBE = 24
 # Lines on either side of the diagonal that the table of a stretch covers.
 BAND = 120
+# Groups that Python gets together; each has a bounded number of lines, and often few.
+GROUPS_AT_ONCE = 32
+# Places of a table whose costs are computed together.
+CELLS = 1 << 16
 # Anchors of a block, and neighbours on either side that may support one.
 BLOCK = 2_000
 NEIGHBOURS = 3
@@ -68,6 +72,18 @@ def bead_costs(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
     return np.where(mean > 0, z * z / 2 - np.log(2 * 0.3989422804 * poly), 0.0)
 
 
+def _costs(a: np.ndarray, b: np.ndarray, b2: np.ndarray, first: int, last: int, prior: dict, ratio: float) -> Iterator[dict]:
+    """Of each line of a from ``first`` to before ``last``: the costs of beads that end with it, by place in b."""
+    one, m = a[first:last, None], len(b)
+    two = one + (a[first - 1 : last - 1, None] if first else np.concatenate([[0.0], a[: last - 1]])[:, None])
+    found = {(1, 0): np.broadcast_to(prior[1, 0] + bead_costs(one, np.zeros(1), ratio), (last - first, m + 1))}
+    for kind, own, other in (((1, 1), one, b), ((1, 2), one, b2), ((2, 1), two, b), ((2, 2), two, b2)):
+        cost = prior[kind] + bead_costs(own, other, ratio)
+        found[kind] = np.concatenate([np.full((last - first, kind[1]), np.inf), cost], axis=1)
+    for row in range(last - first):
+        yield {kind: cost[row] for kind, cost in found.items() if first + row or kind[0] == 1}
+
+
 def beads(a: Sequence[int], b: Sequence[int], ratio: float, band: int = BAND) -> list[tuple[int, int]]:
     """(lines of a, lines of b) of each bead, in order: the least sum of costs.
 
@@ -87,15 +103,9 @@ def beads(a: Sequence[int], b: Sequence[int], ratio: float, band: int = BAND) ->
     steps: list[dict] = []
     table[0] = np.where(np.arange(m + 1) <= wide, run, np.inf)
     for i in range(1, n + 1):
-        one, two = a[i - 1], a[i - 1] + (a[i - 2] if i > 1 else 0)
-        costs = {
-            (1, 0): np.full(m + 1, prior[1, 0] + bead_costs(np.array([one]), np.zeros(1), ratio)[0]),
-            (1, 1): np.concatenate([[np.inf], prior[1, 1] + bead_costs(np.full(m, one), b, ratio)]),
-            (1, 2): np.concatenate([[np.inf] * min(2, m + 1), prior[1, 2] + bead_costs(np.full(m - 1, one), b2, ratio)]),
-        }
-        if i > 1:
-            costs[2, 1] = np.concatenate([[np.inf], prior[2, 1] + bead_costs(np.full(m, two), b, ratio)])
-            costs[2, 2] = np.concatenate([[np.inf] * min(2, m + 1), prior[2, 2] + bead_costs(np.full(m - 1, two), b2, ratio)])
+        if len(steps) < i:
+            steps.extend(_costs(a, b, b2, i - 1, min(n, i - 1 + max(1, CELLS // (m + 1))), prior, ratio))
+        costs = steps[i - 1]
         best = np.full(m + 1, np.inf)
         for (x, y), cost in costs.items():
             before = np.concatenate([[np.inf] * y, table[i - x][: m + 1 - y]])
@@ -106,7 +116,6 @@ def beads(a: Sequence[int], b: Sequence[int], ratio: float, band: int = BAND) ->
         # A run of lines of b alone ends here: the least over where it began.
         table[i] = np.minimum(best, run + np.minimum.accumulate(best - run))
         table[i][math.floor(middle + wide) + 1 :] = np.inf
-        steps.append(costs)
     out, i, j = [], n, m
     while i or j:
         here = table[i][j]
@@ -296,24 +305,29 @@ def align_drifted(
         part = _between(lines.drop("length", "key"), asked, stretch)
         rows = rows.unionByName(part.select("file", "group", F.lit(side).alias("side"), F.lit(None).cast("array<bigint>").alias("gap"), "i", "line"))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["side"] == side].sort_values("i") for side in (0, 1)]
-        firsts = [int(side["i"].iloc[0]) if len(side) else 0 for side in sides]
-        texts = [side["line"].tolist() for side in sides]
+    def solve(several: pd.DataFrame) -> pd.DataFrame:
+        dealt: dict = {}
+        for number, side, name, gap, i, line in zip(*[several[c].tolist() for c in ("group", "side", "file", "gap", "i", "line")]):
+            own = dealt.setdefault(number, (name, [], [], []))
+            own[1 + side].append((int(i), line) if side < 2 else tuple(gap))
         out: list[tuple] = []
-        for p, p_to, q, q_to in sorted(map(tuple, group.loc[group["side"] == 2, "gap"])):
-            parts = texts[0][p - firsts[0] : p_to - firsts[0]], texts[1][q - firsts[1] : q_to - firsts[1]]
-            i = j = 0
-            for x, y in beads(*[[len(line) for line in part] for part in parts], ratio):
-                joined = [" ".join(part[at : at + k]) if k else None for part, at, k in zip(parts, (i, j), (x, y))]
-                out.append((group["file"].iloc[0], p + i, x, q + j, y, *joined))
-                i, j = i + x, j + y
+        for name, *sides, gaps_here in dealt.values():
+            sides = [sorted(side) for side in sides]
+            firsts = [side[0][0] if side else 0 for side in sides]
+            texts = [[line for _, line in side] for side in sides]
+            for p, p_to, q, q_to in sorted(gaps_here):
+                parts = texts[0][p - firsts[0] : p_to - firsts[0]], texts[1][q - firsts[1] : q_to - firsts[1]]
+                i = j = 0
+                for x, y in beads(*[[len(line) for line in part] for part in parts], ratio):
+                    joined = [" ".join(part[at : at + k]) if k else None for part, at, k in zip(parts, (i, j), (x, y))]
+                    out.append((name, p + i, x, q + j, y, *joined))
+                    i, j = i + x, j + y
         return pd.DataFrame(out, columns=schema.names)
 
     kinds = (T.StringType(), *(T.LongType(),) * 4, *(T.StringType(),) * 2)
     columns = ("left_no", "n_left", "right_no", "n_right", *names)
     schema = T.StructType([T.StructField(name, kind) for name, kind in zip(("file", *columns), kinds)])
-    found = rows.groupBy("group").applyInPandas(solve, schema)
+    found = rows.groupBy(F.expr(f"group div {GROUPS_AT_ONCE}")).applyInPandas(solve, schema)
     if not by:
         return found.drop("file")
     files = [df.select(file.alias("file"), *[F.col(n).alias(f"by{k}") for k, n in enumerate(by)]).distinct() for df in (left, right)]

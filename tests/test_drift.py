@@ -140,3 +140,13 @@ def test_unrelated_files_and_empty_ones(spark):
     assert drift.align_drifted(none, none).count() == 0
     alone = drift.align_drifted(frame(spark, left), none, stretch=30).collect()
     assert sorted(r.left_no for r in alone) == list(range(700)) and all(r.n_right == 0 and r.ko is None for r in alone)
+
+
+def test_costs_of_many_lines_are_computed_together(monkeypatch):
+    calls, keep = [], drift.bead_costs
+    monkeypatch.setattr(drift, "bead_costs", lambda *args: (calls.append(1), keep(*args))[1])
+    lengths = [(7 * i) % 90 for i in range(200)]
+    want = drift.beads(lengths, lengths[3:], 1.0)
+    assert len(calls) < 20
+    monkeypatch.setattr(drift, "CELLS", 500)
+    assert drift.beads(lengths, lengths[3:], 1.0) == want
