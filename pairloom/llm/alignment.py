@@ -15,7 +15,9 @@ sizes; no text is shuffled. Counts fold within a task before they are shuffled b
 a large share, are joined. Both ways give the same sums, so results do not depend on the bound.
 
 Very long texts are encoded and aligned in parts that end before a space between other characters: neither
-tokenizer has a token that reaches across one, so both sides share a cut there.
+tokenizer has a token that reaches across one, so both sides share a cut there. What stands between two such
+cuts is a word; a task remembers the ids of words, ``WORD_CHARS`` characters of them, and alignment begins with
+the words as intervals.
 
 Nulls: a null text has no tokens, as an empty one and one whose bytes a tokenizer does not give back; a
 null id is passed on. Special tokens' strings within a text are plain text. Repeated rows are rows of
@@ -40,6 +42,10 @@ from pairloom.llm.common import ROWS_AT_ONCE, arrow_bytes, field, saved, small_b
 
 # Characters that are encoded and aligned together.
 CHARS_AT_ONCE = 1 << 19
+# Characters of words whose ids a task remembers.
+WORD_CHARS = 1 << 21
+# Words that are encoded as one text.
+WORDS_TOGETHER = 1024
 # Bytes that a task's writer of token ids holds.
 WRITER_BYTES = 16 << 20
 # Pairs of ids whose counts every task holds.
@@ -50,7 +56,7 @@ FOLD = 1 << 19
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 _LISTS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 # A space where a text may be cut.
-_CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+_CUT = re.compile(r" (?<=[^ ] )(?=\S)")
 # Longer runs of white space are left to the tokenizer file's own library.
 _LONG_RUN = re.compile(r"\s{2000}")
 # Fixed value: how byte-level tokenizers of this kind split a text before they merge.
@@ -152,6 +158,97 @@ class Encoders:
         return out
 
 
+class _Words:
+    """Ids of both tokenizers for words that were met before; a word is what stands between two cuts.
+
+    Neither tokenizer has a token that reaches across a cut, so a text's ids are those of its words. New words
+    are encoded many together, as texts, and taken apart where both sides have an end.
+    """
+
+    def __init__(self, encoders: Encoders):
+        self.encoders = encoders
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}  # -1: bytes are not given back
+        self.chars = 0
+        # For each side the ids of all words, and where each word's end.
+        self.ids = [np.zeros(0, np.int32) for _ in range(2)]
+        self.stops = [np.zeros(1, np.int64) for _ in range(2)]
+
+    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+        """What ``Encoders.encode`` gives for each segment, and where its words end on side a."""
+        if self.chars > WORD_CHARS:
+            self._clear()
+        rows = [_CUT.split(segment) for segment in segments]
+        words = [w for row in rows for w in row]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.places])
+        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([len(row) for row in rows])
+        known = places >= 0
+        sides = []
+        for ids, stops in zip(self.ids, self.stops):
+            first = np.where(known, stops[places], 0)
+            sizes = np.where(known, stops[places + 1], 0) - first
+            word_stops = np.cumsum(sizes)
+            sides.append((ids[_ranges(first, sizes)], word_stops, [0, *word_stops[ends - 1].tolist()]))
+        (a, a_words, a_at), (b, _, b_at) = sides
+        out, first = [], 0
+        for i, end in enumerate(ends.tolist()):
+            if known[first:end].all():
+                out.append((a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]], a_words[first:end] - a_at[i]))
+            else:
+                # A word that is not given back alone may be so within its text.
+                pair = self.encoders.encode([segments[i]])[0]
+                out.append(pair and (*pair, np.array([len(pair[0])])))
+            first = end
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        # Next to white space at an end would be no cut.
+        apart = [w for w in words if not w or w[0].isspace() or w[-1] == " "]
+        odd = set(apart)
+        together = [w for w in words if w not in odd]
+        chunks = [together[at : at + WORDS_TOGETHER] for at in range(0, len(together), WORDS_TOGETHER)]
+        kept = []
+        for chunk, pair in zip(chunks, self.encoders.encode([" ".join(chunk) for chunk in chunks])):
+            stops = pair and self._stops(chunk, pair)
+            if stops:
+                kept.append((chunk, pair, stops))
+            else:
+                apart += chunk
+        for word, pair in zip(apart, self.encoders.encode(apart)):
+            if pair:
+                kept.append(([word], pair, [[len(ids)] for ids in pair]))
+            else:
+                self.places[word] = -1
+                self.chars += len(word)
+        self._keep(kept)
+
+    def _stops(self, words: list[str], pair) -> list[np.ndarray] | None:
+        """Where each word's ids end on both sides, if they do."""
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        found = []
+        for ids, length in zip(pair, (self.encoders.a_len, self.encoders.b_len)):
+            token_ends = np.cumsum(length[ids])
+            at = np.searchsorted(token_ends, ends)
+            if not np.array_equal(token_ends[at], ends):
+                return None
+            found.append(at + 1)
+        return found
+
+    def _keep(self, kept: list[tuple]) -> None:
+        words = [w for chunk, _, _ in kept for w in chunk]
+        first = len(self.stops[0]) - 1
+        self.places.update(zip(words, range(first, first + len(words))))
+        self.chars += sum(map(len, words))
+        for side in range(2):
+            ids = [pair[side] for _, pair, _ in kept]
+            sizes = [np.diff(stops[side], prepend=0) for _, _, stops in kept]
+            self.ids[side] = np.concatenate([self.ids[side], *ids])
+            self.stops[side] = np.cumsum(np.concatenate([[0], np.diff(self.stops[side]), *sizes]), dtype=np.int64)
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each pair, one after the other."""
     ends = np.cumsum(lengths)
@@ -192,7 +289,7 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, lows: np.ndarray, highs:
 
 
 def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, a_lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each side in each group. ``a_lasts``: the last token of each segment on side a."""
+    """Tokens of each side in each group. ``a_lasts``: the last token of each word, or segment, on side a."""
     lows = np.concatenate([[0], a_lasts[:-1] + 1])
     shared = shared_cuts(a_ends, b_ends, lows, a_lasts)
     shared[a_lasts] = True
@@ -203,18 +300,20 @@ def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, a_lasts: np.ndarray) ->
 
 def _aligner(byte_file: str, piece_file: str):
     encoders = Encoders(byte_file, piece_file)
+    words = _Words(encoders)
     a_len, b_len = encoders.a_len, encoders.b_len
     empty = np.zeros(0, np.int32)
 
     def group(segments: list[tuple[int, str]]) -> Iterator[tuple[int, tuple | None]]:
         """(text number, its four lists or None) for each segment."""
-        found = encoders.encode([segment for _, segment in segments])
+        found = words.encode([segment for _, segment in segments])
         good = [pair for pair in found if pair is not None]
         lists = []
         if good:
-            a, b = (np.concatenate(side) for side in zip(*good))
-            a_stops, b_stops = (np.cumsum([len(x) for x in side]) for side in zip(*good))
-            a_sizes, b_sizes = group_sizes(np.cumsum(a_len[a]), np.cumsum(b_len[b]), a_stops - 1)
+            a, b, word_stops = (np.concatenate(side) for side in zip(*good))
+            a_stops, b_stops, n_words = (np.cumsum([len(x) for x in side]) for side in zip(*good))
+            word_stops += np.repeat(a_stops - np.diff(a_stops, prepend=0), np.diff(n_words, prepend=0))
+            a_sizes, b_sizes = group_sizes(np.cumsum(a_len[a]), np.cumsum(b_len[b]), word_stops - 1)
             stops = np.searchsorted(np.cumsum(a_sizes), a_stops) + 1
             parts = [np.split(x, s[:-1]) for x, s in ((a, a_stops), (b, b_stops), (a_sizes, stops), (b_sizes, stops))]
             lists = list(zip(*parts))

@@ -101,6 +101,43 @@ def test_tokens_of_anything(tools, encoders, text):
     test_tokens_of_whole_texts(tools, encoders, text)
 
 
+def assert_words_give_whole_texts(encoders, words, texts):
+    for want, got in zip(encoders.encode(texts), words.encode(texts)):
+        assert (want is None) == (got is None)
+        if got is not None:
+            assert [x.tolist() for x in want] == [x.tolist() for x in got[:2]] and got[2][-1] == len(got[0])
+
+
+def test_words_give_the_tokens_of_whole_texts(encoders, monkeypatch):
+    words, texts = alignment._Words(encoders), ["", *filter(None, TEXTS)]
+    for size in (1, 3, len(texts)):
+        for at in range(0, len(texts), size):
+            assert_words_give_whole_texts(encoders, words, texts[at : at + size])
+    monkeypatch.setattr(alignment, "WORD_CHARS", 10)
+    monkeypatch.setattr(alignment, "WORDS_TOGETHER", 2)
+    for at in range(len(texts)):
+        assert_words_give_whole_texts(encoders, words, texts[at:])
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab '\n\t s　\u0085é,.0漢▁\u0301\x1c", max_size=40), min_size=1, max_size=5))
+def test_words_give_the_tokens_of_anything(encoders, texts):
+    words = alignment._Words(encoders)
+    assert_words_give_whole_texts(encoders, words, texts)
+    assert_words_give_whole_texts(encoders, words, texts[::-1])
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    encoded, encode = [], alignment.Encoders.encode
+    monkeypatch.setattr(alignment.Encoders, "encode", lambda self, texts: encoded.extend(texts) or encode(self, texts))
+    run = alignment._aligner(BYTES, PIECES)
+    texts = [" ".join(f"word{i * j % 97}" for i in range(200)) for j in range(1, 50)]
+    first = run(texts)
+    assert sum(map(len, encoded)) < 1000
+    assert [[x.tolist() for x in row] for row in run(texts)] == [[x.tolist() for x in row] for row in first]
+    assert sum(map(len, encoded)) < 1000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 6), min_size=1, max_size=60), st.lists(st.integers(1, 6), min_size=1, max_size=60))
 def test_halving_finds_every_shared_cut(a, b):
