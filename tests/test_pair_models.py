@@ -84,6 +84,36 @@ def test_very_long_pairs_are_cut_in_proportion(spark):
     assert seen.filter("e <> ''").groupBy("part", "e").agg(F.first("n_e").alias("n")).agg(F.sum("n")).first()[0] == len(words)
 
 
+def test_parts_and_the_first_step_are_not_shuffled_row_by_row(spark, monkeypatch):
+    plans, written = {}, lexical.order.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(lexical.order, "written", noted)
+    lexical.learn(pair_frame(spark, sentences(30)), "id", steps=1)
+    assert "Join" not in plans["cooccurrences"] and "Aggregate" not in plans["cooccurrences"]
+    assert "Window" not in plans["word-counts"]
+
+
+def test_parts_hold_their_words_with_counts(spark):
+    rows = [(1, "a b a c d", "x y"), (2, None, "z z"), (None, "a", "x"), (3, "a", " "), (4, "B b", "Y x y X y w w")]
+    df = spark.createDataFrame(rows, "id long, en string, ko string")
+    got = Counter()
+    for r in lexical.cooccurrences(df, "id", "en", "ko", part=2).collect():
+        got[r.row, r.part, r.e, r.n_e, r.f, r.n_f] += 1
+    want = Counter()
+    for row, en, ko in rows:
+        e, f = (en or "").lower().split(), ko.lower().split()
+        parts = max(1, math.ceil(max(len(e), len(f)) / 2)) if f and row else 0
+        for part in range(parts):
+            own = Counter(["", *(w for at, w in enumerate(e) if at * parts // len(e) == part)])
+            other = Counter(w for at, w in enumerate(f) if at * parts // len(f) == part)
+            want.update((row, part, a, n, b, m) for a, n in own.items() for b, m in other.items())
+    assert got == want
+
+
 def plain_kneser_ney(texts, size):
     grams = Counter()
     for text in texts:
