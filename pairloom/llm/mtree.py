@@ -12,9 +12,11 @@ bound, and gets a k-th best score. In the second it goes to the nodes that the c
 rule out at that score. Within a node, pages are visited in the order of their bounds; a page is ruled out
 by distances stored for its parent before its own distance is computed, and entries likewise.
 
-Queries travel to nodes in blocks, as rows of bytes; vectors are dealt once. The driver and each task hold
-the root, which grows with the square root of n, and a task one node and one block at a time. Bounds
-have slack for rounding; scores are exact: whole-number products in doubles as long as they stay below
+Nodes are put into groups of about ``GROUP_BYTES``. In each round a query travels once to each group that has a
+node for it, in blocks, as rows of bytes, and meets the nodes of the group there; neither side is broadcast. The
+driver and each task hold the root, which grows with the square root of n, and a task one group and one block
+at a time. The routing vectors are the first by hash; tasks send the driver those below a cut, about as many as
+are wanted from all of them together. Bounds have slack for rounding; scores are exact: whole-number products in doubles as long as they stay below
 2**53, in Python's numbers beyond (then held within the range of a long).
 
 Rows with a null id, a null vector, or a null or non-finite component take no part; shorter vectors are
@@ -33,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import saved
+from pairloom.llm.common import arrow_bytes, saved
 from pairloom.llm.vectors import as_bytes, best_of_each, folded, in_blocks, matrix, query_rows
 
 PAGE = 64
 SLACK = 1e-7
+# Bytes of nodes that a task holds.
+GROUP_BYTES = 64 << 20
 _LONG = 2**63 - 2
 
 
@@ -96,6 +100,7 @@ def _node(table: pa.Table, routes: np.ndarray, most: float, dims: int) -> dict:
     np.maximum.at(radii, page, distance)
     return {
         "radius": float(to_centre.max()),
+        "n": len(vectors),
         "vectors": vectors[order].tobytes(),
         "ids": np.array([i for row in order.tolist() for i in ids[row]], np.int64).tobytes(),
         "id_counts": np.array([len(ids[row]) for row in order.tolist()], np.int64).tobytes(),
@@ -107,10 +112,8 @@ def _node(table: pa.Table, routes: np.ndarray, most: float, dims: int) -> dict:
     }
 
 
-_NODE = (
-    "route int, part long, radius double, vectors binary, ids binary, id_counts binary, distance binary, "
-    "page_sizes binary, page_radius binary, page_vector binary, page_distance binary"
-)
+_BLOBS = "vectors ids id_counts distance page_sizes page_radius page_vector page_distance".split()
+_NODE = "route int, part long, radius double, n long, " + ", ".join(f"{name} binary" for name in _BLOBS)
 
 
 def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -126,7 +129,7 @@ def _search(
 ):
     """(scores, ids) of the k best in a node, one row per query of a block; id -1 where there are fewer.
 
-    Where ``hides`` is true, rows of the query's ``hidden`` id do not count.
+    Scores below a query's floor do not count. Where ``hides`` is true, rows of the query's ``hidden`` id do not count.
     Every query goes through the pages in its own order. In each round, the queries whose next page is
     the same are scored together.
     """
@@ -176,6 +179,10 @@ def _search(
             own = np.concatenate([ids[a:b] for a, b in zip(first.tolist(), last.tolist())])
             found = found[:, column]
             found[hides[some][:, None] & (own[None, :] == hidden[some][:, None])] = _NONE
+            wins = (found >= floors[some][:, None]) & (found != _NONE)
+            some, found, own = some[wins.any(axis=1)], found[wins.any(axis=1)][:, wins.any(axis=0)], own[wins.any(axis=0)]
+            if not len(some):
+                continue
             all_scores = np.hstack([best[some], found])
             all_ids = np.hstack([best_ids[some], np.broadcast_to(own, (len(some), len(own)))])
             top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
@@ -186,6 +193,22 @@ def _search(
     return best, best_ids
 
 
+def _first_by_hash(points: DataFrame, wanted: int, n: int) -> list:
+    """The ``wanted`` first of ``n`` different vectors, by hash.
+
+    Each task would send as many as are wanted; so those above a cut, which few of the wanted reach, stay where
+    they are.
+    """
+    most = wanted + 8 * math.isqrt(wanted) + 16
+    while True:
+        cut = min(2**63 - 1, 2**64 * most // n - 2**63)
+        below = points.select("vec").filter(F.xxhash64("vec") <= F.lit(cut))
+        chosen = below.orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
+        if len(chosen) == wanted or cut == 2**63 - 1:
+            return chosen
+        most *= 2
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` its k highest scores.
 
@@ -209,7 +232,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
 
     most = points.select("vec").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
     # About sqrt(n) routing vectors; so many rows come to the driver.
-    chosen = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_routes).collect()
+    chosen = _first_by_hash(points, n_routes, n)
     routes = spark.sparkContext.broadcast(matrix([bytes(r.vec) for r in chosen], dims).copy())
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,78 +259,120 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                          **{c: [v] for c, v in node.items()}})
 
     nodes = saved(split.groupBy("route", "part").applyInArrow(build, _NODE), "mtree-nodes")
-    # About sqrt(n) rows of three numbers.
-    directory = spark.sparkContext.broadcast(
-        [(r.route, r.part, r.radius) for r in nodes.select("route", "part", "radius").collect()]
+    # About sqrt(n) rows of four numbers. Nodes are numbered, those of near routing vectors one after another.
+    directory = nodes.select("route", "part", "radius", "n").collect()
+    around = lifted(routes.value, most)
+    outward = _distances(around, around[:1])[:, 0]
+    directory.sort(key=lambda r: (outward[r.route], r.route, r.part))
+    ends = np.cumsum([r.n for r in directory])
+    n_groups = max(spark.sparkContext.defaultParallelism, -(-int(ends[-1]) * 8 * (dims + 4) // GROUP_BYTES))
+    # By the vectors before the middle of each node.
+    middles = ends - np.array([r.n for r in directory]) / 2
+    of_group = np.unique((middles * n_groups / ends[-1]).astype(np.int64), return_inverse=True)[1]
+    n_groups, n_nodes = int(of_group.max()) + 1, len(directory)
+    root = spark.sparkContext.broadcast(
+        (np.array([r.route for r in directory]), np.array([r.radius for r in directory]), of_group)
     )
+    numbers = [(r.route, r.part, i, int(of_group[i])) for i, r in enumerate(directory)]
+    numbers = spark.createDataFrame(numbers, "route int, part long, number int, to int")
+    in_groups = nodes.join(F.broadcast(numbers), ["route", "part"]).select("to", "number", F.array(*_BLOBS).alias("blobs"))
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With the node that has the least lower bound."""
+        route, radius, _ = root.value
+        centres = lifted(routes.value, most)[route]
+        for batch in batches:
+            if batch.num_rows:
+                vectors = matrix(batch.column(1).to_pylist(), dims)
+                flat = np.hstack([vectors, np.zeros((len(vectors), 1))])
+                first = [(_distances(flat[i : i + 512], centres) - radius).argmin(axis=1) for i in range(0, len(flat), 512)]
+                yield batch.append_column("first", pa.array(np.concatenate(first).astype(np.int32)))
 
-    def blocks(first_round: bool):
-        """Deal each batch of queries to nodes: one row per node, with the queries that go there."""
+    def deal(first_round: bool):
+        """Deal each batch of queries to groups: one row per group, with the queries that go there."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            route, part, radius = (np.array(c) for c in zip(*directory.value))
-            around = lifted(routes.value, most)[route]
+            route, radius, group = root.value
+            centres, begins = lifted(routes.value, most)[route], np.searchsorted(group, np.arange(n_groups))
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
-                    vectors = matrix(some.column(1).to_pylist(), dims)
-                    flat = np.hstack([vectors, np.zeros((len(vectors), 1))])
-                    bounds = _distances(flat, around) - radius
-                    first = bounds.argmin(axis=1)
-                    qids = some.column(0).to_numpy()
+                    qids, floors, owns, firsts = (some.column(c).to_numpy() for c in ("qid", "floor", "own", "first"))
+                    hides = some.column("hides").to_numpy(zero_copy_only=False)
+                    vectors = matrix(some.column("vec").to_pylist(), dims)
                     if first_round:
-                        goes = np.zeros(bounds.shape, bool)
-                        goes[np.arange(len(first)), first] = True
-                        floors = np.full(len(qids), _NONE)
+                        goes = group[firsts][:, None] == np.arange(n_groups)[None, :]
                     else:
-                        floors = some.column("floor").to_numpy()
+                        flat = np.hstack([vectors, np.zeros((len(vectors), 1))])
                         reach = _reach(floors, np.einsum("ij,ij->i", vectors, vectors), most)
-                        goes = bounds <= reach[:, None]
-                        goes[np.arange(len(first)), first] = False
-                    for node in np.flatnonzero(goes.any(axis=0)).tolist():
-                        who = np.flatnonzero(goes[:, node])
+                        opens = _distances(flat, centres) - radius <= reach[:, None]
+                        opens[np.arange(len(firsts)), firsts] = False
+                        goes = np.logical_or.reduceat(opens, begins, axis=1)
+                    for to in np.flatnonzero(goes.any(axis=0)).tolist():
+                        who = np.flatnonzero(goes[:, to])
+                        blobs = [c[who].tobytes() for c in (qids, vectors, floors, owns, hides, firsts)]
+                        # After the nodes, whose numbers are smaller.
                         yield pa.RecordBatch.from_pydict(
-                            {
-                                "route": pa.array([route[node]], pa.int32()),
-                                "part": pa.array([part[node]], pa.int64()),
-                                "qids": [qids[who].tobytes()],
-                                "qvecs": [vectors[who].tobytes()],
-                                "floors": [floors[who].tobytes()],
-                                "owns": [some.column("own").to_numpy()[who].tobytes()],
-                                "hides": [some.column("hides").to_numpy(zero_copy_only=False)[who].tobytes()],
-                            }
-                        )
+                            {"to": pa.array([to], pa.int32()), "number": pa.array([n_nodes], pa.int32()),
+                             "blobs": pa.array([blobs], pa.list_(pa.binary()))}
+                        )
 
         return run
 
-    block = "route int, part long, qids binary, qvecs binary, floors binary, owns binary, hides binary"
-
-    def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        around = lifted(routes.value, most)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                qids, floors = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"], np.int64)
-                queries_ = matrix(row["qvecs"], dims)
-                owns, hides = np.frombuffer(row["owns"], np.int64), np.frombuffer(row["hides"], bool)
-                scores, ids = _search(row, around[row["route"]], queries_, floors, owns, hides, k + 1, most)
-                real = scores != _NONE
-                yield pa.RecordBatch.from_pydict(
-                    {"qid": np.repeat(qids, real.sum(axis=1)), "vec_id": ids[real], "score": scores[real]}
-                )
+    def visit(first_round: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            route, radius, _ = root.value
+            centres = lifted(routes.value, most)[route]
+            at, held = None, {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    to, number, blobs = (batch.column(c)[i].as_py() for c in ("to", "number", "blobs"))
+                    if to != at:
+                        at, held = to, {}
+                    if number < n_nodes:
+                        held[number] = dict(zip(_BLOBS, blobs))
+                        continue
+                    qids, floors, owns = (np.frombuffer(blobs[c], np.int64) for c in (0, 2, 3))
+                    queries_, hides, firsts = matrix(blobs[1], dims), np.frombuffer(blobs[4], bool), np.frombuffer(blobs[5], np.int32)
+                    flat = np.hstack([queries_, np.zeros((len(queries_), 1))])
+                    norms, floors = np.einsum("ij,ij->i", queries_, queries_), floors.copy()
+                    best, best_ids = np.full((len(qids), k + 1), _NONE), np.full((len(qids), k + 1), -1, np.int64)
+                    for number, node in held.items():
+                        centre = centres[number]
+                        goes = firsts == number
+                        if not first_round:
+                            goes = ~goes & (_distances(flat, centre[None, :])[:, 0] - radius[number] <= _reach(floors, norms, most))
+                        who = np.flatnonzero(goes)
+                        if not len(who):
+                            continue
+                        found = _search(node, centre, queries_[who], floors[who], owns[who], hides[who], k + 1, most)
+                        scores, ids = (np.hstack([a[who], b]) for a, b in zip((best, best_ids), found))
+                        top = np.lexsort((ids, -scores), axis=1)[:, : k + 1]
+                        best[who], best_ids[who] = np.take_along_axis(scores, top, axis=1), np.take_along_axis(ids, top, axis=1)
+                        floors = np.maximum(floors, best[:, -1])
+                    real = best != _NONE
+                    yield pa.RecordBatch.from_pydict(
+                        {"qid": np.repeat(qids, real.sum(axis=1)), "vec_id": best_ids[real], "score": best[real]}
+                    )
 
-    def visited(dealt: DataFrame) -> DataFrame:
-        joined = dealt.join(nodes, ["route", "part"])
-        return joined.mapInArrow(visit, "qid long, vec_id long, score long")
+        return run
 
-    different = in_blocks(queries)
-    first = saved(visited(different.mapInArrow(blocks(True), block)), "mtree-first")
+    def visited(questions: DataFrame, first_round: bool) -> DataFrame:
+        dealt = questions.mapInArrow(deal(first_round), "to int, number int, blobs array<binary>")
+        met = in_groups.unionByName(dealt).repartitionById(n_groups, F.col("to")).sortWithinPartitions("to", "number")
+        found = met.mapInArrow(visit(first_round), "qid long, vec_id long, score long")
+        with arrow_bytes(spark):
+            return saved(found, "mtree-found")
+
+    different = in_blocks(queries).mapInArrow(nearest, "qid long, vec binary, own long, hides boolean, first int")
+    different = saved(different, "mtree-queries")
+    asked = different.withColumn("floor", F.lit(int(_NONE)).cast("bigint"))
+    first = visited(asked, True)
     floors = first.groupBy(F.col("qid").alias("q")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     with_floor = different.join(floors, F.col("qid") == F.col("q"), "left").select(
-        "qid", "vec", F.when(F.col("n") > k, F.col("floor")).otherwise(int(_NONE)).alias("floor"), "own", "hides"
+        *different.columns, F.when(F.col("n") > k, F.col("floor")).otherwise(int(_NONE)).alias("floor")
     )
-    second = visited(with_floor.mapInArrow(blocks(False), block))
-    return best_of_each(queries, first.unionByName(second), k)
+    return best_of_each(queries, first.unionByName(visited(with_floor, False)), k)
 
 
 def _no_results(queries: DataFrame) -> DataFrame:

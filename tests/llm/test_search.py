@@ -242,6 +242,62 @@ def test_repeated_rows_leave_others_their_places(spark, operator, every, k):
         assert {r.vec_id for r in mtree.search(frame(spark, empty)).collect() if r.query_id == 50} == {1, 2, 3, 100}
 
 
+def broadcast_lines(plan):
+    """Lines of a plan that stand below a broadcast exchange."""
+    depth, out = None, []
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*("))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        elif depth is not None:
+            out.append(line)
+    return out
+
+
+def test_neither_queries_nor_nodes_are_broadcast(spark, vectors, monkeypatch):
+    """However large a table Spark may broadcast, blocks of queries and nodes are dealt out."""
+    plans, saved = [], mtree.saved
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df, *args)
+
+    monkeypatch.setattr(mtree, "saved", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = mtree.search(frame(spark, vectors))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line for plan in plans for line in broadcast_lines(plan)]
+    assert lines and not [line for line in lines if "MapInArrow" in line or "page_vector" in line]
+
+
+def test_routing_vectors_are_cut_before_the_driver_gets_them(spark, monkeypatch):
+    points = spark.range(5000).select(F.encode(F.col("id").cast("string"), "utf-8").alias("vec")).repartition(8)
+    want = [r.vec for r in points.orderBy(F.xxhash64("vec"), "vec").limit(70).collect()]
+    kept, order_by = [], type(points).orderBy
+
+    def counted(df, *args, **kwargs):
+        kept.append(df.count())
+        return order_by(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(points), "orderBy", counted)
+    assert [r.vec for r in mtree._first_by_hash(points, 70, 5000)] == want and kept[-1] < 250
+    assert len(mtree._first_by_hash(points.limit(3), 3, 3)) == 3
+    assert len(mtree._first_by_hash(points, 5000, 5000)) == 5000
+
+
+def test_groups_of_one_node_and_of_all(spark, vectors, monkeypatch):
+    rows = [r for r in vectors if r[0] != 100 or r[1] != [0.25] * 8]
+    want = {k: v[0] for k, v in naive_top([(k, np.floor(256 * v)) for k, v in usable(rows, True)], 50, 5).items()}
+    for size in (1000, 1 << 40):
+        monkeypatch.setattr(mtree, "GROUP_BYTES", size)
+        assert by_query(mtree.search(frame(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("page", [64, 4096])
 def test_approximate_search(spark, vectors, monkeypatch, page):
     monkeypatch.setattr(hash_forest, "PAGE", page)
