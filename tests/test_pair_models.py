@@ -7,10 +7,11 @@ import random
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import fluency, groups, joins, lexical
+from pairloom.operators import fluency, groups, joins, lexical, word_pairs
 
 DICTIONARY = {w: w[::-1] + "o" for w in "house tree water light stone river green small door night bird road".split()}
 
@@ -114,6 +115,62 @@ def test_parts_hold_their_words_with_counts(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "limits",
+    [
+        {"TARGET": 400},
+        {"TARGET": 400, "CHUNK": 50},
+        {"TARGET": 400, "HOT": 60, "CHUNK": 50},
+        {"TARGET": 400, "HOT": 60, "MOST_ROWS": 5, "MOST_WORDS": 5},
+        {"CHUNK": 1 << 40, "MOST_ROWS": 5},
+    ],
+)
+def test_chances_do_not_depend_on_buckets(spark, monkeypatch, limits):
+    """Many buckets, target words alone or in several of them, totals joined, and words by hash."""
+    for name, value in limits.items():
+        monkeypatch.setattr(word_pairs, name, value)
+    rows = [*sentences(120), (200, "", "x x y"), (201, "house", ""), (202, "HOUSE  house tree", "esuoho x")]
+    df = pair_frame(spark, rows)
+    model = lexical.learn(df, "id", steps=3)
+    want = plain_model1([(i, a, b) for i, a, b in rows if b], 3)
+    got = {(r.e, r.f): (r.t, r.n_seen) for r in model.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k][0], want[k], rel_tol=1e-9) for k in got)
+    seen = Counter(k for _, a, b in rows for e in {"", *a.lower().split()} for k in {(e, f) for f in b.split()})
+    assert {k: n for k, (_, n) in got.items()} == seen
+    # The pairs that chances are learned from, and the same pairs as another table.
+    own = {r.id: r.lexical for r in lexical.score(df, model, "id").collect()}
+    other = {r.id: r.lexical for r in lexical.score(df.filter("true"), model, "id").collect()}
+    assert set(own) == set(other) == {i for i, _, b in rows if b}
+    assert all(math.isclose(own[i], other[i], rel_tol=1e-9) for i in own)
+
+
+def test_no_pair_of_words_is_written_or_shuffled_by_itself(spark, monkeypatch):
+    """A step hands on numbers of words, not of pairs of words, and the first one needs no pass over the pairs."""
+    n_rows, written = Counter(), word_pairs.order.written
+
+    def noted(df, label):
+        out = written(df, label)
+        n_rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lexical.order, "written", noted)
+    rows = sentences(200)
+    df = pair_frame(spark, rows)
+    lexical.score(df, lexical.learn(df, "id", steps=2), "id").count()
+    words = {w for _, a, b in rows for w in ("", *a.split(), *b.split())}
+    assert sum(n_rows.values()) <= 2 * len(words) + 4
+
+
+@pytest.mark.parametrize("values", [[], [5], [-3, -2, 2**62], [1 - 2**63, 2**63 - 1], [9, 3, -4], range(300), [7, 7, 0]])
+def test_packed_numbers_come_back(values):
+    a = np.array(values, np.int64)
+    for grows in (False, True):
+        assert word_pairs._whole(*word_pairs._planes(a, grows)).astype(np.int64).tolist() == list(values)
+    lists = {"e": np.array([1, 2, 7, 0, 3, 5]), "sizes": np.array([3, 0, 1, 2]), "words": a}
+    back = word_pairs.unpacked(word_pairs.packed(dict(lists)))
+    assert {k: v.tolist() for k, v in back.items()} == {k: v.tolist() for k, v in lists.items()}
+
+
 def plain_kneser_ney(texts, size):
     grams = Counter()
     for text in texts:
